@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, toxicity
+from plumbline.llm import decontaminate, jaccard, mixing, pii, toxicity
 from plumbline.llm.common import id_bucket, materialize, table
+from plumbline.llm.queries import KEY, MIX
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,9 +24,28 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard.keep_one_per_group(docs).select(*COLUMNS)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, its personal data replaced; n_chars follows the text."""
+    out = pii.pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mix: source of the mix, block, slot and position."""
+    return mixing.mix(docs, MIX)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("n-gram Jaccard join", one_per_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", replace_pii),
+    ("mixing sources to target weights", mix_sources),
 ]
 
 #: The first stage is learned, so no SQL states these rows.

@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, toxicity
+from plumbline.llm import decontaminate, jaccard, mixing, pii, toxicity
 from plumbline.llm.common import id_bucket, table
 
 
+#: Production parameters: target weights of the mix, key of the surrogates.
+MIX = {"src0": 4.0, **{f"src{i}": 2.0 if i % 3 == 0 else 1.0 for i in range(1, 20)}}
+KEY = "plumbline-surrogates-1"
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX).select("doc_id", "mix_source", "block", "slot", "position")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_bucket(F.col("doc_id"), 5) == 0
@@ -23,8 +40,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_jaccard": op7_jaccard,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
