@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, mixing, pii, toxicity
+from plumbline.llm import decontaminate, jaccard, languages, licenses, mixing, pii, quality, toxicity, urls
 from plumbline.llm.common import id_bucket, table
 
 
@@ -24,6 +24,26 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_captures(urls.captures_of(pages), urls.entries_of(pages))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("rejected_by")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 3) == 1
+    crf = languages.fit(docs.where(~held_out))
+    return languages.label(docs, crf, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_switches")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
@@ -42,9 +62,98 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_jaccard": op7_jaccard,
+    "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TEMPLATES = licenses.templates()
+_GRAMS = ", ".join(f"({i}, {at}, '{a} {b}', {len(ws) - 1}, {len(ws) // 8})" for i, _, _, ws in _TEMPLATES for at, (a, b) in enumerate(zip(ws, ws[1:], strict=False)))
+_LABELS = ", ".join(f"({i}, '{label}', {str(base).lower()})" for i, label, base, _ in _TEMPLATES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+with p as (
+  select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::\d*)?([^?#]*)', 1)) h,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::\d*)?([^?#]*)', 2), '/'), lambda s: s <> '') seg
+  from pages),
+named as (
+  select pattern, min(page_id) first from (
+    select page_id, h pattern from p where h <> '' union all select page_id, h || '/' || seg[1] from p where h <> '' and len(seg) > 0) group by 1),
+entries as (
+  select case when length(pattern) % 3 = 0 then 'allow' else 'block' end list, pattern, k,
+    timestamp '2024-01-01' + to_seconds((first * 104729 + 432000 * k) % 2592000) since
+  from named cross join (select unnest(range(5)) k)),
+dated as (select list, pattern, since, max(case when k % 2 = 0 then 'add' else 'remove' end) act from entries group by all),
+spans as (select * from (select *, lead(since) over (partition by list, pattern order by since) until from dated) where act = 'add'),
+asks as (
+  select page_id, url, timestamp '2024-01-01' + to_seconds((page_id * 7919) % 2592000) seen, unnest(
+    case when h = '' then cast([] as varchar[]) else
+      list_concat(list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.')),
+                  list_transform(range(1, len(seg) + 1), lambda i: h || '/' || array_to_string(seg[1:i], '/'))) end) ask
+  from p),
+hits as (select a.page_id, s.list, s.pattern from asks a join spans s on a.ask = s.pattern and a.seen >= s.since and (s.until is null or a.seen < s.until)),
+best as (select page_id, count(*) n, max(row(length(pattern), case when list = 'block' then 1 else 0 end, list, pattern)) b from hits group by 1)
+select p.page_id capture_id, timestamp '2024-01-01' + to_seconds((p.page_id * 7919) % 2592000) fetched_at, coalesce(b[3], 'none') verdict, b[4] pattern, coalesce(n, 0) n_active
+from p left join best using (page_id)
+""",
+    "op4_quality": r"""
+with d as (
+  select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+lines as (
+  select doc_id, sum(n - 1) dup from (
+    select doc_id, line, count(*) n from (select doc_id, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by all) group by 1),
+win as (select doc_id, s, array_to_string(ws[s:s + 4], ' ') g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) s from d where len(ws) > 4)),
+twice as (select doc_id, s from (select *, count(*) over (partition by doc_id, g) n from win) where n > 1),
+rep as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(s, s + 5)) p from twice) group by 1),
+c as (
+  select d.doc_id, t, ws, len(ws) n_words, length(array_to_string(ws, '')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+    coalesce(l.dup, 0) n_dup_lines, coalesce(r.n, 0) n_repeat_words
+  from d left join lines l using (doc_id) left join rep r using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from c)
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed,
+  not (base_failed or not (2 * n_words <= word_chars and word_chars <= 15 * n_words) or 10 * n_symbols > 3 * n_words
+    or 10 * n_dup_lines > 3 * len(string_split(t, chr(10))) or 2 * len(regexp_extract_all(t, '[A-Z]')) > word_chars
+    or 10 * len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]'))) < 7 * n_words or 20 * len(list_distinct(ws)) < n_words) kept
+from b
+""",
+    "op7_jaccard": r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+g as (
+  select distinct doc_id, g from (
+    select doc_id, array_to_string(ws[s:s + 4], ' ') g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) s from d where len(ws) > 0))),
+n as (select doc_id, count(*) n, string_agg(g, chr(10) order by g) whole from g group by 1),
+links as (
+  select a, b from (select x.doc_id a, y.doc_id b, count(*) c from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by all)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+grp as (select a, min(b) m from reach group by 1),
+cls as (select doc_id, min(doc_id) over (partition by whole) c from n),
+cnt as (select a, count(*) n from links group by 1)
+select d.doc_id, coalesce(c, d.doc_id) class_id, least(d.doc_id, coalesce(m, d.doc_id)) group_id, coalesce(cnt.n, 0) n_links
+from d left join cls on cls.doc_id = d.doc_id left join grp on grp.a = d.doc_id left join cnt on cnt.a = d.doc_id
+""",
+    "op9_licenses": rf"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') ws from documents),
+tpl(template, at, g, n_grams, slack) as (values {_GRAMS}),
+lab(template, label, base) as (values {_LABELS}),
+pairs as (select doc_id, pos, ws[pos + 1] || ' ' || ws[pos + 2] g from (select doc_id, ws, unnest(range(0, len(ws) - 1)) pos from d where len(ws) > 1)),
+votes as (select doc_id, template, n_grams, slack, pos - at diag, list(at) ats from pairs join tpl using (g) group by all),
+runs as (
+  select *, sum(fresh) over (partition by doc_id, template order by diag) span from (
+    select *, case when diag - lag(diag) over (partition by doc_id, template order by diag) <= slack then 0 else 1 end fresh from votes)),
+spans as (select doc_id, template, n_grams, span, min(diag) start, len(list_distinct(flatten(list(ats)))) found from runs group by all),
+m as (select *, base and found = n_grams is_base, (base and found = n_grams) or (not base and found / n_grams >= 0.8) good from spans join lab using (template)),
+s as (
+  select doc_id, count_if(is_base) n_base, min(start) filter (is_base) f, max(start) filter (is_base) l, max(found / n_grams) score,
+    array_to_string(list_sort(coalesce(list(distinct label) filter (is_base), [])), ',') bl, array_to_string(list_sort(coalesce(list(distinct label) filter (good), [])), ',') al
+  from m group by 1)
+select d.doc_id, len(ws)::bigint n_words, coalesce(n_base, 0)::bigint n_base, f::bigint first_word, l::bigint last_word, coalesce(bl, '') base_labels, coalesce(al, '') labels, coalesce(score, 0.0)::double score
+from d left join s using (doc_id)
+""",
+}
