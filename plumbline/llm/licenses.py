@@ -66,9 +66,12 @@ def words(text: Column) -> Column:
 
 def grams(ws: Column) -> Column:
     """Hashes of the 2-grams, then one mark at the place of the last word that tells the number of words."""
-    n = F.size(ws)
-    pairs = F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1))))
-    return F.concat(pairs, F.array(F.when(n == 0, F.lit(_NONE).cast("bigint")).otherwise(F.lit(_SOME).cast("bigint"))))
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return F.concat(pairs, F.array(F.when(n == 0, F.lit(_NONE).cast("bigint")).otherwise(F.lit(_SOME).cast("bigint"))))
+
+    return F.get(F.transform(F.array(ws), of), F.lit(0))  # the words are made once, however often they are used
 
 
 def template_table(spark, rows: list[tuple[int, str, bool, list[str]]]) -> DataFrame:
@@ -86,7 +89,8 @@ def spans(docs: DataFrame, rows: list[tuple[int, str, bool, list[str]]] | None =
     """
     spark = docs.sparkSession
     rows = templates() if rows is None else rows
-    each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(grams(words(F.col("text")))).alias("pos", "h"))
+    each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), grams(words(F.col("text"))).alias("grams"))
+    each = each.select("doc_id", "row", F.posexplode("grams").alias("pos", "h"))
     table = template_table(spark, rows)
     small = sum(len(ws) for *_, ws in rows) <= MAX_TEMPLATE_GRAMS
     hits = each.join(F.broadcast(table) if small else table, "h").select("row", "doc_id", "template", "n_grams", "slack", "at", F.when(F.col("h") == _NONE, 0).when(F.col("h") == _SOME, F.col("pos") + 1).otherwise(F.col("pos") - F.col("at")).alias("diagonal"))

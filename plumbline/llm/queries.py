@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, languages, licenses, mixing, pii, quality, toxicity, urls
+from plumbline.llm import decontaminate, jaccard, languages, licenses, mixing, passages, pii, quality, toxicity, urls
 from plumbline.llm.common import id_bucket, table
 
 
@@ -40,6 +40,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.label(docs, crf, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_switches")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op7_jaccard": op7_jaccard,
+    "op8_passages": op8_passages,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
 }
@@ -140,10 +145,10 @@ from d left join cls on cls.doc_id = d.doc_id left join grp on grp.a = d.doc_id
     "op9_licenses": rf"""
 with d as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') ws from documents),
-tpl(template, at, g, n_grams, slack) as (values {_GRAMS}),
+tpl(template, spot, g, n_grams, slack) as (values {_GRAMS}),
 lab(template, label, base) as (values {_LABELS}),
 pairs as (select doc_id, pos, ws[pos + 1] || ' ' || ws[pos + 2] g from (select doc_id, ws, unnest(range(0, len(ws) - 1)) pos from d where len(ws) > 1)),
-votes as (select doc_id, template, n_grams, slack, pos - at diag, list(at) ats from pairs join tpl using (g) group by all),
+votes as (select doc_id, template, n_grams, slack, pos - spot diag, list(spot) ats from pairs join tpl using (g) group by all),
 runs as (
   select *, sum(fresh) over (partition by doc_id, template order by diag) span from (
     select *, case when diag - lag(diag) over (partition by doc_id, template order by diag) <= slack then 0 else 1 end fresh from votes)),

@@ -32,11 +32,15 @@ def host(url: Column) -> Column:
 
 def patterns(url: Column) -> Column:
     """All patterns that cover a URL: suffixes of the host, then the host with each path prefix."""
-    labels = F.split(host(url), r"\.")
-    segments = F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda s: s != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(segments) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"))))
-    return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(F.concat(suffixes, prefixes))
+    def of(h: Column) -> Column:
+        labels = F.split(h, r"\.")
+        segments = F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda s: s != "")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        longer = lambda paths, s: F.concat(paths, F.array(F.concat(F.get(paths, F.size(paths) - 1), F.lit("/"), s)))
+        prefixes = F.aggregate(segments, F.array(h), longer)
+        return F.when(h == "", F.array().cast("array<string>")).otherwise(F.concat(suffixes, F.slice(prefixes, F.lit(2), F.size(segments))))
+
+    return F.get(F.transform(F.array(host(url)), of), F.lit(0))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
