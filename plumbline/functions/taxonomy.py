@@ -33,7 +33,7 @@ def website_category(raw: Column) -> Column:
 
 def main_category(fine: Column) -> Column:
     """Of names joined by |, the main category of the best priority; Other for none."""
-    names = F.filter(F.transform(F.split(F.coalesce(fine, F.lit("")), r"\|"), F.trim), lambda c: c != "")
+    names = F.filter(F.transform(F.split(F.coalesce(fine, F.lit("")), r"\|"), lambda v: F.trim(v)), lambda c: c != "")
     ranks = F.transform(names, lambda c: F.coalesce(_map({f: PRIORITY[m] for f, m in FINE.items()})[c], F.lit(PRIORITY["Other"])))
     order = F.array(*[F.lit(m) for m in PRIORITY])
     return F.coalesce(F.get(order, F.array_min(ranks)), F.lit("Other"))
@@ -41,4 +41,4 @@ def main_category(fine: Column) -> Column:
 
 def unknown_categories(fine: Column) -> Column:
     known = F.array(*[F.lit(f) for f in FINE])
-    return F.array_except(F.filter(F.transform(F.split(F.coalesce(fine, F.lit("")), r"\|"), F.trim), lambda c: c != ""), known)
+    return F.array_except(F.filter(F.transform(F.split(F.coalesce(fine, F.lit("")), r"\|"), lambda v: F.trim(v)), lambda c: c != ""), known)

@@ -12,7 +12,7 @@ from plumbline.functions import constants as K
 
 def any_of(text: Column, needles: list[str]) -> Column:
     """Whether text contains one of the literals; false for null."""
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles]), F.lit(False))
+    return F.coalesce(text.rlike("|".join(rf"\Q{n}\E" for n in needles)), F.lit(False))
 
 
 def text_or_null(value: Column) -> Column:
@@ -80,7 +80,7 @@ def combine_errors(*messages: Column) -> Column:
 
 def string_list(values: Column) -> Column:
     """Trimmed, without blanks, each once in order."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def decode_list(json: Column) -> Column:

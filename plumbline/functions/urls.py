@@ -13,6 +13,11 @@ from plumbline.functions.text import any_of
 _PARTS = r"^\s*(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d*))?([^?#;]*)(?:;[^?#]*)?(\?[^#]*)?"
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once; also keeps long expressions out of the generated code."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -28,11 +33,13 @@ def path(url: Column) -> Column:
 def registrable_domain(value: Column) -> Column:
     """The last labels of a host or URL up to one before the longest public suffix; a bare suffix is itself; null without a host."""
     bare = F.lower(F.regexp_replace(F.regexp_extract(F.trim(value), r"^([^/?#:]+)", 1), r"^\.+|\.+$", ""))
-    host = F.coalesce(hostname(value), F.nullif(bare, F.lit("")))
     long = F.array(*[F.lit(s) for s in K.PUBLIC_SUFFIXES])
-    tail = lambda n: F.substring_index(host, ".", -n)
-    two = F.array_contains(long, tail(2))
-    return F.when(host.isNull(), None).when(host.rlike(r"^[\d.]+$"), host).when(two, tail(3)).otherwise(tail(2))
+
+    def of(host: Column) -> Column:
+        tail = lambda n: F.substring_index(host, ".", -n)
+        return F.when(host.isNull(), None).when(host.rlike(r"^[\d.]+$"), host).when(F.array_contains(long, tail(2)), tail(3)).otherwise(tail(2))
+
+    return _let(F.coalesce(hostname(value), F.nullif(bare, F.lit(""))), of)
 
 
 def normalize_policy_url(url: Column) -> Column:
@@ -59,10 +66,14 @@ def clean_href(href: Column) -> Column:
 
 def join_url(base: Column, href: Column) -> Column:
     """Resolve href against base: absolute, //host, /path, ?query or a path beside the base's."""
-    root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2), F.when(_part(base, 3) == "", "").otherwise(F.concat(F.lit(":"), _part(base, 3))))
-    beside = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = F.concat(root, beside, F.regexp_replace(href, r"^(\./)+", ""))
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(_part(base, 1), F.lit(":"), href)).when(F.startswith(href, F.lit("/")), F.concat(root, href)).when(F.startswith(href, F.lit("?")), F.concat(root, path(base), href)).otherwise(joined)
+    def of(x: Column) -> Column:
+        scheme, host, port, at, href = (x[n] for n in ("scheme", "host", "port", "at", "href"))
+        root = F.concat(scheme, F.lit("://"), host, F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)))
+        joined = F.concat(root, F.regexp_replace(at, r"[^/]*$", ""), F.regexp_replace(href, r"^(\./)+", ""))
+        begins = lambda s: F.startswith(href, F.lit(s))
+        return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(begins("//"), F.concat(scheme, F.lit(":"), href)).when(begins("/"), F.concat(root, href)).when(begins("?"), F.concat(root, at, href)).otherwise(joined)
+
+    return _let(F.struct(_part(base, 1).alias("scheme"), _part(base, 2).alias("host"), _part(base, 3).alias("port"), path(base).alias("at"), href.alias("href")), of)
 
 
 def is_http(url: Column) -> Column:
@@ -75,8 +86,8 @@ def squeeze(text: Column) -> Column:
 
 def score_link(anchor: Column, url: Column, same_site: Column) -> Column:
     """How likely a link leads to a privacy policy."""
-    t, u = F.lower(squeeze(anchor)), F.lower(url)
     add = lambda cond, v: F.when(cond, v).otherwise(0.0)
+    t, u = F.lower(squeeze(anchor)), F.lower(url)
     return add(any_of(u, K.URL_SIGNALS), 5.0) + add(any_of(u, ["cookie"]), -1.0) + add(any_of(t, K.PRIVACY_WORDS), 4.0) + add(any_of(t, K.COOKIE_WORDS), -0.5) + add(any_of(u, K.NOT_POLICY_URL), -2.0) + F.when(same_site, 0.8).otherwise(-0.8)
 
 

@@ -198,7 +198,7 @@ def _(spark, sf):
 _RATES = {"success": "status = 'ok'", "policy": "has_policy", "english": "is_english", "words_100": "word_count >= 100", "words_500": "word_count >= 500", "words_1000": "word_count >= 1000", "third_party": "third_party_count > 0", "third_party_policy": "third_party_with_policy_count > 0", "third_party_english": "third_party_with_english_policy_count > 0"}
 
 
-@query("catalog_metrics", SEARCH + "select count(*) total, " + ", ".join(f"round(count_if({c}) / count(*) * 100, 2) {n}_rate" for n, c in _RATES.items()) + ", sum(third_party_count)::bigint third_party_count, sum(third_party_with_policy_count)::bigint third_party_with_policy_count, sum(third_party_with_english_policy_count)::bigint third_party_with_english_policy_count from search")
+@query("catalog_metrics", SEARCH + "select count(*) total, " + ", ".join(f"round(count(*) filter ({c}) / count(*) * 100, 2) {n}_rate" for n, c in _RATES.items()) + ", sum(third_party_count)::bigint third_party_count, sum(third_party_with_policy_count)::bigint third_party_with_policy_count, sum(third_party_with_english_policy_count)::bigint third_party_with_english_policy_count from search")
 def _(spark, sf):
     return C.quality_metrics(_search(spark, sf))
 
@@ -209,14 +209,14 @@ def _(spark, sf):
 
 
 @query("latency_percentiles", """
-with r as (select event_type op, event_id, value ms, row_number() over (partition by event_type order by event_id desc) at from events),
-a as (select op, list_sort(list(ms)) v, count(*)::int n, median(ms) m from r where at <= 200 group by 1)
+with r as (select event_type op, event_id, value ms, row_number() over (partition by event_type order by event_id desc) no from events),
+a as (select op, list_sort(list(ms)) v, count(*)::int n, median(ms) m from r where no <= 200 group by 1)
 select op, n, round(m, 3) p50, round(v[least(n - 1, floor(n * 0.95)::int) + 1], 3) p95 from a""")
 def _(spark, sf):
     return C.latency_percentiles(A.table(spark, sf, "events").select(F.col("event_type").alias("op"), F.col("event_id").alias("seq"), F.col("value").alias("ms")))
 
 
-@query("ingestion_audit", "select count(*) total, count_if(o_orderstatus = 'F') completed, sum(o_custkey)::bigint processed_sites, sum(o_orderkey % 3)::bigint errors from orders")
+@query("ingestion_audit", "select count(*) total, count(*) filter (o_orderstatus = 'F') completed, sum(o_custkey)::bigint processed_sites, sum(o_orderkey % 3)::bigint errors from orders")
 def _(spark, sf):
     o = A.table(spark, sf, "orders")
     return C.ingestion_audit(o.select(F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), F.col("o_custkey").alias("processed_sites"), (F.col("o_orderkey") % 3).alias("error_count")))
@@ -271,15 +271,15 @@ def _(spark, sf):
 
 
 @query("summary_overview", OCC + """, q as (select *, status = 'ok' and en and coalesce(word_count, 0) >= 100 and tp_en > 0 qualified from res)
-select count(*) processed_sites, count_if(status = 'ok') ok_sites, round(count_if(status = 'ok') / count(*) * 100, 2) success_rate, max(rank) last_processed_rank, arg_max(site, rank) last_processed_site,
-  max(rank) filter (status = 'ok') last_successful_rank, arg_max(site, rank) filter (status = 'ok') last_successful_site, count_if(en) english_policy_count, count_if(qualified) qualified_site_count from q""")
+select count(*) processed_sites, count(*) filter (status = 'ok') ok_sites, round(count(*) filter (status = 'ok') / count(*) * 100, 2) success_rate, max(rank) last_processed_rank, arg_max(site, rank) last_processed_site,
+  max(rank) filter (status = 'ok') last_successful_rank, arg_max(site, rank) filter (status = 'ok') last_successful_site, count(*) filter (en) english_policy_count, count(*) filter (qualified) qualified_site_count from q""")
 def _(spark, sf):
     return summary.overview(A.site_results(spark, sf))
 
 
-@query("third_party_counters", OCC + """select count(*) total, count_if(mapped) mapped, count_if(not mapped) unmapped, count_if(mapped and policy_url is null) no_policy_url, count_if(radar) radar_mapped, count_if(tdb) trackerdb_mapped,
+@query("third_party_counters", OCC + """select count(*) total, count(*) filter (mapped) mapped, count(*) filter (not mapped) unmapped, count(*) filter (mapped and policy_url is null) no_policy_url, count(*) filter (radar) radar_mapped, count(*) filter (tdb) trackerdb_mapped,
   count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) unique_mapped, count(distinct count_key) filter (mapped and policy_url is not null) unique_with_policy, count(distinct count_key) filter (radar) unique_radar,
-  count(distinct count_key) filter (tdb) unique_trackerdb, count(distinct count_key) filter (not radar and not tdb) unique_unmapped, greatest(0, count(*) - count_if(radar) - count_if(tdb)) without_source from occ""")
+  count(distinct count_key) filter (tdb) unique_trackerdb, count(distinct count_key) filter (not radar and not tdb) unique_unmapped, greatest(0, count(*) - count(*) filter (radar) - count(*) filter (tdb)) without_source from occ""")
 def _(spark, sf):
     return summary.third_party_counters(A.site_results(spark, sf))
 
@@ -295,8 +295,8 @@ def _(spark, sf):
 
 
 @query("entity_rollup", OCC + """, e as (select entity, count(*) n, coalesce(sum(prevalence), 0) t, greatest(max(prevalence), 0) m from occ where entity is not null group by 1 order by n desc, entity limit 20),
-c as (select entity, category, row_number() over (partition by entity order by count(*) desc, category) at from occ join ncats using (service_key) where entity is not null group by 1, 2)
-select entity, n, round(t / n, 6) prevalence_avg, round(coalesce(m, 0), 6) prevalence_max, coalesce((select string_agg(category, ', ' order by at) from c where c.entity = e.entity and at <= 3), '') categories from e""")
+c as (select entity, category, row_number() over (partition by entity order by count(*) desc, category) no from occ join ncats using (service_key) where entity is not null group by 1, 2)
+select entity, n, round(t / n, 6) prevalence_avg, round(coalesce(m, 0), 6) prevalence_max, coalesce((select string_agg(category, ', ' order by no) from c where c.entity = e.entity and no <= 3), '') categories from e""")
 def _(spark, sf):
     return summary.entities(A.site_results(spark, sf)).withColumns({"prevalence_avg": F.round("prevalence_avg", 6), "prevalence_max": F.round("prevalence_max", 6)})
 
@@ -326,14 +326,14 @@ def _(spark, sf):
     return summary.figure_distribution(A.site_results(spark, sf))
 
 
-@query("figure_overview", OCC + """, a as (select count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) mapped_services, count(distinct count_key) filter (mapped and policy_url is not null) services_with_policy from occ where en), s as (select count(*) processed, count_if(en) english from res)
+@query("figure_overview", OCC + """, a as (select count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) mapped_services, count(distinct count_key) filter (mapped and policy_url is not null) services_with_policy from occ where en), s as (select count(*) processed, count(*) filter (en) english from res)
 select *, case when unique_services > 0 then round(mapped_services / unique_services * 100, 4) else 0.0 end coverage_pct from s, a""")
 def _(spark, sf):
     return summary.figure_overview(A.site_results(spark, sf))
 
 
-@query("live_summary", OCC + """, a as (select count(*) total, count_if(mapped) mapped, count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) unique_mapped, count(distinct count_key) filter (not mapped) unique_unmapped from occ),
-s as (select count(*) processed_sites, count_if(status = 'ok') ok_sites, round(count_if(status = 'ok') / count(*) * 100, 2) success_rate from res) select * from s, a""")
+@query("live_summary", OCC + """, a as (select count(*) total, count(*) filter (mapped) mapped, count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) unique_mapped, count(distinct count_key) filter (not mapped) unique_unmapped from occ),
+s as (select count(*) processed_sites, count(*) filter (status = 'ok') ok_sites, round(count(*) filter (status = 'ok') / count(*) * 100, 2) success_rate from res) select * from s, a""")
 def _(spark, sf):
     return summary.live_summary(A.site_results(spark, sf))
 
@@ -466,7 +466,7 @@ def _(spark, sf):
     return pages.main_text(A.table(spark, sf, "pages"))
 
 
-@query("fallback_candidates", "select url, (n - 1)::int ord, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || p target, 2.8 score from pages, (select unnest([" + ", ".join(f"'{p}'" for p in K.PRIVACY_PATHS) + "]) p, generate_subscripts([" + ", ".join(f"'{p}'" for p in K.PRIVACY_PATHS) + "], 1) n)")
+@query("fallback_candidates", "select url, (n - 1)::int ord, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || p target, 2.8::double score from pages, (select unnest([" + ", ".join(f"'{p}'" for p in K.PRIVACY_PATHS) + "]) p, generate_subscripts([" + ", ".join(f"'{p}'" for p in K.PRIVACY_PATHS) + "], 1) n)")
 def _(spark, sf):
     return pages.fallback_candidates(A.table(spark, sf, "pages"))
 
@@ -484,7 +484,7 @@ def _(spark, sf):
 
 
 @query("fetch_plan", P + """x as (select 1), t as (select s.site site_etld1, v.service_domain tp, v.policy_url url_key, coalesce(v.prevalence, -1) p from pairs join sites s using (site_key) join services v using (service_key) where v.policy_url is not null),
-r as (select *, row_number() over (partition by site_etld1, url_key order by p desc, tp) at from t), l as (select site_etld1, url_key, tp leader, row_number() over (partition by site_etld1 order by p desc, tp)::int fetch_no from r where at = 1)
+r as (select *, row_number() over (partition by site_etld1, url_key order by p desc, tp) no from t), l as (select site_etld1, url_key, tp leader, row_number() over (partition by site_etld1 order by p desc, tp)::int fetch_no from r where no = 1)
 select r.site_etld1, r.tp third_party_etld1, r.url_key, leader, fetch_no from r join l using (site_etld1, url_key) where fetch_no <= 3""")
 def _(spark, sf):
     occ = A.site_services(spark, sf).join(A.sites(spark, sf).select("site_key", F.col("site").alias("site_etld1")), "site_key").join(A.services(spark, sf), "service_key")
@@ -508,13 +508,13 @@ def _cache(spark, sf):
 
 @query("cache_aliases", """
 with recursive s as (select s_suppkey k, case when s_suppkey % 5 = 0 then s_suppkey + case when s_suppkey % 10 = 0 then 5 else 1 end end nxt from supplier),
-w(k, at, n) as (select k, k, 0 from s union all select w.k, s.nxt, n + 1 from w join s on s.k = w.at where s.nxt is not null and n < 8)
-select 'https://k/' || s0.k "key", 'https://k/' || max(case when s.k is not null and s.nxt is null then w.at end) target from s s0 join w on w.k = s0.k left join s on s.k = w.at group by s0.k""")
+w(k, cur, n) as (select k, k, 0 from s union all select w.k, s.nxt, n + 1 from w join s on s.k = w.cur where s.nxt is not null and n < 8)
+select 'https://k/' || s0.k "key", 'https://k/' || max(case when s.k is not null and s.nxt is null then w.cur end) target from s s0 join w on w.k = s0.k left join s on s.k = w.cur group by s0.k""")
 def _(spark, sf):
     return annotation.resolve_aliases(_cache(spark, sf))
 
 
-@query("cache_stats", "select 'total' \"name\", count(*) n from supplier union all select 'fetched', count_if(s_suppkey % 5 <> 0) from supplier union all select 'failed', 0 from (select 1) union all select 'status 200', count(*) from supplier")
+@query("cache_stats", "select 'total' \"name\", count(*) n from supplier union all select 'fetched', count(*) filter (s_suppkey % 5 <> 0) from supplier union all select 'failed', 0 from (select 1) union all select 'status 200', count(*) from supplier")
 def _(spark, sf):
     return annotation.cache_stats(_cache(spark, sf))
 
@@ -545,12 +545,12 @@ def _(spark, sf):
 _EV = "with e as (select event_id seq, ts, case event_type when 'error' then 'site_failed' when 'view' then 'site_started' when 'click' then 'site_finished' when 'purchase' then 'site_finished' when 'signup' then 'site_stage' else event_type end type, 'run' || (user_id % 7) run_id, 'site' || user_id site from events) "
 
 
-@query("run_progress", _EV + "select run_id, count(distinct site) filter (type = 'site_started') started, count_if(type = 'site_finished') finished, count_if(type = 'site_failed') failed, max(seq) last_seq from e group by 1")
+@query("run_progress", _EV + "select run_id, count(distinct site) filter (type = 'site_started') started, count(*) filter (type = 'site_finished') finished, count(*) filter (type = 'site_failed') failed, max(seq) last_seq from e group by 1")
 def _(spark, sf):
     return E.run_progress(A.events(spark, sf))
 
 
-@query("recent_completed", _EV + "select run_id, site, seq, at::int \"at\" from (select *, row_number() over (partition by run_id order by seq desc) at from (select run_id, site, max(seq) seq from e where type = 'site_finished' group by all)) where at <= 15")
+@query("recent_completed", _EV + "select run_id, site, seq, no::int \"at\" from (select *, row_number() over (partition by run_id order by seq desc) no from (select run_id, site, max(seq) seq from e where type = 'site_finished' group by all)) where no <= 15")
 def _(spark, sf):
     return E.recent_completed(A.events(spark, sf), per_site=True)
 
@@ -595,10 +595,10 @@ def _(spark, sf):
 
 @query("eta_samples", """
 with s as (select event_type run_id, (event_id // 7)::int processed_sites, 100000 total_sites, epoch_ms(ts) timestamp_ms from events),
-g as (select run_id, processed_sites, total_sites, max(timestamp_ms) timestamp_ms from s group by all), l as (select *, max(timestamp_ms) over (partition by run_id) m from g), w as (select *, row_number() over (partition by run_id order by timestamp_ms desc) at from l where m - timestamp_ms <= 21600000)
-select run_id, processed_sites, total_sites, timestamp_ms from w where at <= 180""")
+g as (select run_id, processed_sites, total_sites, max(timestamp_ms) timestamp_ms from s group by all), l as (select *, max(timestamp_ms) over (partition by run_id) m from g), w as (select *, row_number() over (partition by run_id order by timestamp_ms desc) no from l where m - timestamp_ms <= 21600000)
+select run_id, processed_sites, total_sites, timestamp_ms from w where no <= 180""")
 def _(spark, sf):
-    return E.eta_samples(A.table(spark, sf, "events").select(F.col("event_type").alias("run_id"), F.floor(F.col("event_id") / 7).cast("int").alias("processed_sites"), F.lit(100000).alias("total_sites"), F.unix_millis("ts").alias("timestamp_ms"))).select("run_id", "processed_sites", "total_sites", "timestamp_ms")
+    return E.eta_samples(A.table(spark, sf, "events").select(F.col("event_type").alias("run_id"), F.floor(F.col("event_id") / 7).cast("int").alias("processed_sites"), F.lit(100000).alias("total_sites"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"))).select("run_id", "processed_sites", "total_sites", "timestamp_ms")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
