@@ -242,7 +242,10 @@ def annotated_records(statements: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def phrases(statements: DataFrame) -> DataFrame:
     """doc_id, chunk_index, statement_no, field, block_index, phrase."""
-    each = F.concat(*[F.transform(f, lambda p, f=f: F.struct(F.lit(f).alias("field"), p["block_index"].alias("block_index"), p["phrase"].alias("phrase"))) for f in FIELDS])
+    def of(f: str):
+        return F.transform(f, lambda p: F.struct(F.lit(f).alias("field"), p["block_index"].alias("block_index"), p["phrase"].alias("phrase")))
+
+    each = F.concat(*map(of, FIELDS))
     return statements.select("doc_id", "chunk_index", "statement_no", F.explode(each).alias("p")).select("doc_id", "chunk_index", "statement_no", "p.*")
 
 
@@ -305,11 +308,11 @@ def mark_stale(status: DataFrame, now: str, reason: str = "interrupted") -> Data
 
 def annotation_stats(status: DataFrame, statements: DataFrame) -> DataFrame:
     """Of each (site, tp): statements, completed, status (pending by default, completed with statements)."""
-    c = statements.groupBy("site", "tp").agg(F.count(F.lit(1)).alias("n"))
-    df = status.select("site", "tp", "status").join(c, status["site"].eqNullSafe(c["site"]) & status["tp"].eqNullSafe(c["tp"]), "full")
+    c = statements.groupBy(F.col("site").alias("__site"), F.col("tp").alias("__tp")).agg(F.count(F.lit(1)).alias("n"))
+    df = status.select("site", "tp", "status").join(c, F.col("site").eqNullSafe(F.col("__site")) & F.col("tp").eqNullSafe(F.col("__tp")), "full")
     n = F.coalesce("n", F.lit(0))
-    state = F.coalesce(status["status"], F.when(n > 0, "completed").otherwise("pending"))
-    return df.select(F.coalesce(status["site"], c["site"]).alias("site"), F.coalesce(status["tp"], c["tp"]).alias("tp"), n.alias("statements"), state.isin("completed", "reused").alias("completed"), state.alias("status"))
+    state = F.coalesce("status", F.when(n > 0, "completed").otherwise("pending"))
+    return df.select(F.coalesce("site", "__site").alias("site"), F.coalesce("tp", "__tp").alias("tp"), n.alias("statements"), state.isin("completed", "reused").alias("completed"), state.alias("status"))
 
 
 def entity_sets(statements: DataFrame) -> DataFrame:

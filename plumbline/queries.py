@@ -594,12 +594,152 @@ def _(spark, sf):
 
 
 @query("eta_samples", """
-with s as (select event_type run_id, (event_id // 7)::int processed_sites, 100000 total_sites, epoch_ms(ts) timestamp_ms from events),
+with s as (select event_type run_id, (event_id // 7)::int processed_sites, 100000 total_sites, epoch_us(ts) // 1000 timestamp_ms from events),
 g as (select run_id, processed_sites, total_sites, max(timestamp_ms) timestamp_ms from s group by all), l as (select *, max(timestamp_ms) over (partition by run_id) m from g), w as (select *, row_number() over (partition by run_id order by timestamp_ms desc) no from l where m - timestamp_ms <= 21600000)
 select run_id, processed_sites, total_sites, timestamp_ms from w where no <= 180""")
 def _(spark, sf):
     return E.eta_samples(A.table(spark, sf, "events").select(F.col("event_type").alias("run_id"), F.floor(F.col("event_id") / 7).cast("int").alias("processed_sites"), F.lit(100000).alias("total_sites"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"))).select("run_id", "processed_sites", "total_sites", "timestamp_ms")
 
 
+# ---- more of the inventory
+
+def _texts(spark, sf):
+    """First-party and third-party policy texts (run_id, site_etld1, service_domain, text)."""
+    c, d = _catalog(spark, sf), A.table(spark, sf, "documents").select("doc_id", "text")
+    own = c.site_policies.select("run_id", "site_etld1", F.lit(None).cast("string").alias("service_domain"), F.col("document_id").alias("doc_id"))
+    tp = c.site_services.where("fetched_policy_document_id is not null").select("run_id", "site_etld1", "service_domain", F.col("fetched_policy_document_id").alias("doc_id"))
+    return own.union(tp).join(d, "doc_id").drop("doc_id")
+
+
+@query("policy_metrics", SEARCH + "select s.site site_etld1, coalesce(s.word_count, 0) words, coalesce(third_party_with_english_policy_count, 0)::int english from sites s join search x on x.run_id = s.run_id and x.site_etld1 = s.site")
+def _(spark, sf):
+    df = summary.enrich_policy_metrics(A.site_results(spark, sf), _texts(spark, sf))
+    return df.select("site_etld1", F.col("first_party_policy_word_count").alias("words"), F.col("third_party_with_english_policy_count").alias("english"))
+
+
+@query("english_flags", P + "x as (select 1) select site site_etld1, coalesce(is_english, case when site_key % 2 = 0 then true end) policy_is_english from sites")
+def _(spark, sf):
+    res = A.site_results(spark, sf)
+    marks = res.where("ingest_seq % 2 = 0").select("site_etld1", F.lit(True).alias("policy_is_english"))
+    return summary.recover_english_flag(res, marks).select("site_etld1", "policy_is_english")
+
+
+@query("scrape_markers", P + "x as (select 1) select site site_etld1, status, run_id, strlen(text)::int policy_text_len, is_english policy_is_english from sites join documents d using (doc_id) where text <> ''")
+def _(spark, sf):
+    from plumbline.sources import sinks
+
+    return sinks.scrape_markers(A.site_results(spark, sf).withColumn("ended_at", F.lit(None).cast("string")), _texts(spark, sf)).drop("scraped_at")
+
+
+@query("qualified_artifacts", SEARCH + "select run_id, site_etld1 from search where is_english and third_party_with_policy_count > 0")
+def _(spark, sf):
+    from plumbline.sources import sinks
+
+    return sinks.qualified_sites(A.site_results(spark, sf), _texts(spark, sf)).select("run_id", "site_etld1")
+
+
+@query("first_writers", "with a as (select s_suppkey seq, 'p' || s_suppkey path, 'http://h' || (s_suppkey % 17) || '.com/' k from supplier) select seq, path, first_value(path) over (partition by k order by seq) canonical_path, path = first_value(path) over (partition by k order by seq) is_canonical from a")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    a = A.table(spark, sf, "supplier").select(k.alias("seq"), F.concat(F.lit("HTTP://H"), (k % 17).cast("string"), F.when(k % 2 == 0, ".com:80").otherwise(".com/#x")).alias("url"), F.concat(F.lit("p"), k.cast("string")).alias("path"))
+    return annotation.first_writer(a).drop("url")
+
+
+@query("usage_totals", "select greatest(sum(case when event_id % 5 <> 0 then user_id * 1000 else 0 end), max(case when event_id % 5 = 0 then user_id else 0 end))::bigint tokens_in, greatest(sum(case when event_id % 5 <> 0 then event_id else 0 end), max(case when event_id % 5 = 0 then event_id else 0 end))::bigint tokens_out from events")
+def _(spark, sf):
+    i, u = F.col("event_id"), F.col("user_id")
+    done = F.concat(F.lit("[done] x | "), F.format_string("%,d", u * 1000), F.lit("↑/"), F.format_string("%,d", i), F.lit("↓"))
+    use = F.concat(F.lit("[usage] prompt_tokens="), u.cast("string"), F.lit(" completion_tokens = "), i.cast("string"))
+    return annotation.usage_totals(A.table(spark, sf, "events").select(F.when(i % 5 == 0, use).otherwise(done).alias("line")))
+
+
+@query("third_party_domains", r"""
+with p as (select page_id, url, array_to_string(string_split(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.')[-2:], '.') own from pages)
+select page_id, array_to_string(list_sort(list_distinct(list_filter(['t' || (page_id % 7) || '.co.uk', 'tracker.net', own], lambda x: x <> own))), '|') third_parties from p""")
+def _(spark, sf):
+    p = A.table(spark, sf, "pages").select("page_id", "url")
+    k = (F.col("page_id") % 7).cast("string")
+    asked = F.array(F.concat(F.lit("https://cdn.t"), k, F.lit(".co.uk/a.js")), F.lit("http://a.b.tracker.net:8080/x"), F.col("url"), F.lit("data:text/plain,x"))
+    r = p.select(F.concat_ws("#", "url", "page_id").alias("site_url"), F.explode(asked).alias("url"), F.lit("request").alias("event_type"))
+    return mapping.third_parties(r).select(F.substring_index("site_url", "#", -1).cast("long").alias("page_id"), F.array_join("third_parties", "|").alias("third_parties"))
+
+
+@query("site_entity_exclusion", P + """x as (select 1), e as (select s.site site_etld1, case when s.site_key % 4 = 0 then 'NATION_' || (s.site_key % 25) end ent from sites s)
+select s.site site_etld1, count(*) n from pairs join sites s using (site_key) join services v using (service_key) join e on e.site_etld1 = s.site where not coalesce(v.entity = e.ent, false) group by 1""")
+def _(spark, sf):
+    s = A.sites(spark, sf).select("site_key", F.col("site").alias("site_etld1"))
+    idx = s.where("site_key % 4 = 0").select(F.col("site_etld1").alias("etld1"), F.concat(F.lit("NATION_"), (F.col("site_key") % 25).cast("string")).alias("entity"))
+    ents = mapping.site_entities(s, idx.where("length(entity) < 9"), idx)
+    mapped = A.site_services(spark, sf).join(s, "site_key").join(A.services(spark, sf), "service_key").select("site_etld1", "entity")
+    return mapping.exclude_same_entity(mapped, ents).groupBy("site_etld1").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cache_compaction", """
+with c as (select s_suppkey seq, 'https://k/' || s_suppkey k, 'https://f/' || (s_suppkey % 13) f, 't' || (s_suppkey % 26 // 13) t from supplier),
+r as (select *, row_number() over (partition by f order by seq) no, first_value(t) over (partition by f order by seq) t0 from c)
+select f "key", t as text, null alias_of from r where no = 1 union all select k, t, null from r where t <> t0 union all select k, null, f from r where t = t0""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    c = A.table(spark, sf, "supplier").select(k.alias("seq"), F.concat(F.lit("https://k/"), k.cast("string")).alias("key"), F.concat(F.lit("t"), F.floor(k % 26 / 13).cast("string")).alias("text"), F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("extraction_method"), F.lit(None).cast("string").alias("error_message"), F.concat(F.lit("https://f/"), (k % 13).cast("string")).alias("final_url"), F.lit(None).cast("string").alias("alias_of"))
+    return annotation.compact_cache(c).select("key", "text", "alias_of")
+
+
+@query("outbox_replay", """
+with r as (select o_orderkey ingest_seq, o_custkey site from orders), b as (select o_orderkey event_id, o_custkey + o_orderkey % 2 site, o_orderkey * 2 pos from orders where o_orderkey % 3 = 0),
+p as (select event_id, b.site, coalesce(max(case when ingest_seq = pos then ingest_seq end), max(ingest_seq)) ingest_seq from b join r on r.site = b.site group by 1, 2)
+select event_id::varchar event_id, ingest_seq from p union all select event_id::varchar, null from b where site not in (select site from r)""")
+def _(spark, sf):
+    o = A.table(spark, sf, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    res = o.select(F.lit("r").alias("run_id"), c.cast("string").alias("site"), k.alias("ingest_seq"))
+    box = o.where(k % 3 == 0).select(k.cast("string").alias("event_id"), F.lit("r").alias("run_id"), (c + k % 2).cast("string").alias("site"), (k * 2).alias("result_offset"), F.lit(0).alias("attempt_count"), F.lit(None).cast("string").alias("last_error"))
+    done, failed = E.replay_outbox(box, res)
+    return done.select("event_id", "ingest_seq").union(failed.select("event_id", F.lit(None).cast("long")))
+
+
+@query("event_envelopes", "select event_id, 'run' || (user_id % 7) run_id, 'site' || user_id site, case when event_id % 2 = 0 then 'exit' else 'log' end phase, case when event_id % 2 = 0 then 'process_exit code=' || event_id % 4 || ' signal=none' end message from events where event_type <> 'view'")
+def _(spark, sf):
+    e = A.table(spark, sf, "events")
+    i = F.col("event_id")
+    pay = F.to_json(F.struct(F.concat(F.lit("run"), (F.col("user_id") % 7).cast("string")).alias("run_id"), F.concat(F.lit(" site"), F.col("user_id").cast("string")).alias("target_site"), (i % 4).alias("code"), i.alias("tokens_in")))
+    raw = e.select(F.when(F.col("event_type") == "view", "").otherwise(F.concat("event_type", F.when(i % 2 == 0, ":exit").otherwise(":log"))).alias("channel"), F.col("ts").alias("timestamp"), pay.alias("payload"))
+    return E.normalize(raw).select(F.col("metrics")["tokens_in"].cast("long").alias("event_id"), "run_id", "site", "phase", "message")
+
+
+def _statements(spark, sf):
+    """Statements that answers made of each chunk's own words lead to."""
+    ch = statements.blocks_and_chunks(A.table(spark, sf, "documents"), 200)
+    w = lambda i: F.get(F.split("chunk.text", r"\s+"), F.lit(i))
+    whole = F.to_json(F.struct(F.array(w(2)).alias("action"), F.array(w(4), w(5)).alias("data"), F.array(w(7)).alias("purpose"), (F.length(w(1)) > 4).alias("prohibition")))
+    said = F.concat(F.lit("["), whole, F.lit(", "), F.to_json(F.struct(w(3).alias("action"))), F.lit(",]"))
+    resp = ch.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.concat(F.lit("<think>x</think>```json\n"), said, F.lit("\n```")).alias("response"))
+    return ch, statements.extract_statements(ch, resp)
+
+
+@query("statements")
+def _(spark, sf):
+    ch, st = _statements(spark, sf)
+    return statements.annotated_records(statements.dedup_statements(st), ch).select("doc_id", "chunk_index", F.to_json("action").alias("action"), F.to_json("data").alias("data"), "prohibition", F.length("source_text").alias("source_chars"))
+
+
+@query("phrase_frequency")
+def _(spark, sf):
+    return statements.phrase_frequency(statements.phrases(_statements(spark, sf)[1]))
+
+
+@query("block_coverage")
+def _(spark, sf):
+    ch, st = _statements(spark, sf)
+    return statements.block_coverage(statements.phrases(st), ch)
+
+
+@query("annotation_stats", P + "x as (select 1) select s.site, null::varchar tp, count(l_orderkey) statements, coalesce(max(case when s.site_key % 3 = 0 then 'failed' end), case when count(l_orderkey) > 0 then 'completed' else 'pending' end) = 'completed' completed, coalesce(max(case when s.site_key % 3 = 0 then 'failed' end), case when count(l_orderkey) > 0 then 'completed' else 'pending' end) status from sites s left join lineitem on l_orderkey = s.site_key where s.site_key % 3 = 0 or l_orderkey is not null group by s.site, s.site_key")
+def _(spark, sf):
+    s = A.sites(spark, sf).select("site_key", "site")
+    tp = F.lit(None).cast("string").alias("tp")
+    st = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("site_key")).join(s, "site_key").select("site", tp)
+    return statements.annotation_stats(s.where("site_key % 3 = 0").select("site", tp, F.lit("failed").alias("status")), st)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_buckets(spark, sf_dir)
