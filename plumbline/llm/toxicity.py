@@ -23,13 +23,14 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import WORD_CACHE, materialize, with_columns_py
+from plumbline.llm.common import WORD_CACHE, WordHashes, ascii_words, materialize, rolling, with_columns_py
 
 #: Bound on the labelled rows the model is fitted on, on the features it keeps.
 MAX_LABELLED, MAX_FEATURES = 20_000, 50_000
@@ -126,45 +127,70 @@ def log_odds(counts: DataFrame, key: str, n1: int, n0: int, prior_docs: float) -
     y1 and y0 count the toxic and harmless documents with the feature. The
     Dirichlet prior has half a document for each feature, and prior_docs more
     that are spread as in all labelled text. delta is the difference of the
-    smoothed log-odds, z its size in standard errors.
+    smoothed log-odds, z the signed root of the deviance of the two counts from
+    the classes' shares, which is standard normal for harmless features.
     """
     n_of = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
     by = counts.groupBy(key).agg(n_of(1).alias("y1"), n_of(0).alias("y0"), F.count_distinct("word").alias("n_words"))
     a = F.lit(0.5) + F.lit(prior_docs / (n1 + n0)) * (F.col("y1") + F.col("y0"))
     up = lambda y, n: F.log((y + a) / (F.lit(float(n) + prior_docs + 1) - F.least(y, F.lit(n))))
     by = by.withColumn("delta", up(F.col("y1"), n1) - up(F.col("y0"), n0))
-    return by.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
+    y1, y0, share = F.col("y1"), F.col("y0"), n1 / (n1 + n0)
+    term = lambda y, p: F.when(y > 0, y * F.log(y / ((y1 + y0) * p))).otherwise(0.0)
+    deviance = 2 * (term(y1, share) + term(y0, 1 - share))
+    return by.withColumn("z", F.signum(y1 / (y1 + y0) - F.lit(share)) * F.sqrt(F.greatest(deviance, F.lit(0.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_features: int = MAX_FEATURES, drift: float = 0.5, min_z: float = 3.2) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_features: int = MAX_FEATURES, drift: float = 0.5, odds: float = 0.2) -> ToxicityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic); at most about max_rows labelled rows.
 
-    Conflicting labels of one document count as toxic; null labels as none.
+    Conflicting labels of one document count as toxic; null labels as none. A
+    feature is significant when less than odds of the tested ones would look so by chance.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = max_rows / max(known.count(), 1)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     known = known.limit(int(max_rows * 1.1))
-    sample = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    sample = materialize(one_of_each(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")))
     n1, n0 = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     model = ToxicityModel(drift=drift)
     if not n1 or not n0:
         return model
     words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
     words = materialize(words.groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n")))
+    least = NormalDist().inv_cdf(1 - odds / max(words.select("word").distinct().count(), 1000))
     heads = words.select("toxic", "n", "word", F.explode(F.array(*[F.when(F.length("word") >= p, F.substring("word", 1, p)) for p in PREFIXES])).alias("head")).where("head is not null")
-    tops = log_odds(heads, "head", n1, n0, 10.0).where(F.col("n_words") >= 4).where((F.col("y1") >= 12) & (F.col("z") >= min_z) & (F.col("delta") >= 2.0))
+    tops = log_odds(heads, "head", n1, n0, 10.0).where(F.col("n_words") >= 4).where((F.col("y1") >= 8) & (F.col("z") >= least) & (F.col("delta") >= 2.0))
     model.prefixes = {r.head: r.delta for r in tops.orderBy(F.col("z").desc(), "head").limit(max_features).select("head", "delta").collect()}
     at = F.array(*[F.lit(p) for p in model.prefixes]) if model.prefixes else F.array(F.lit(""))
     under = F.arrays_overlap(at, F.array(*[F.substring("word", 1, p) for p in PREFIXES]))
-    seen = log_odds(words, "word", n1, n0, 10.0).where((F.col("z") >= min_z) & (F.col("y1") >= 5) | under & (F.col("y1") + F.col("y0") >= 8))
+    seen = log_odds(words, "word", n1, n0, 10.0).where((F.col("z") >= least) & (F.col("y1") >= 5) | under & (F.col("y1") + F.col("y0") >= 8))
     for r in seen.orderBy(F.col("z").desc(), "word").limit(max_features).select("word", "delta", "z").collect():
-        model.words[r.word] = r.delta if r.z > 1 else 0.0
+        model.words[r.word] = r.delta if r.z > 2 else 0.0
     _calibrate(model, sample)
     return model
 
 
+def one_of_each(sample: DataFrame) -> DataFrame:
+    """One labelled text of those that share their least word 5-gram hash.
+
+    Copies and near copies agree in it, and would otherwise make every rare
+    word of a copied text look like evidence.
+    """
+    def make():
+        words = WordHashes()
+
+        def least(text):
+            h = words.of(ascii_words(text))
+            return (int(rolling(h, min(5, len(h))).min().view(np.int64)),) if len(h) else (None,)
+
+        return lambda texts: [least(t) for t in texts]
+
+    keyed = with_columns_py(sample, "text", make, [T.StructField("least", T.LongType())])
+    return keyed.groupBy("least").agg(F.max_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("r.*")
+
+
 def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
     fields = [T.StructField("n", T.IntegerType()), T.StructField("segs", T.ArrayType(T.DoubleType())), T.StructField("hits", T.ArrayType(T.DoubleType()))]
 
@@ -198,11 +224,12 @@ def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
     x = np.array([model.features(r.segs, r.n) for r, h in zip(seen, has, strict=True) if h])
     t = y[has].astype(float)
     if len(x) and 0 < t.sum() < len(t):
-        mu, sd = x.mean(0), x.std(0) + 1e-9
+        mu, sd = x.mean(0), np.maximum(x.std(0), 1e-3)
         u, w = np.c_[(x - mu) / sd, np.ones(len(x))], np.zeros(3)
-        for _ in range(50):  # Newton steps with a small ridge
+        for _ in range(100):  # Newton steps of bounded length, with a ridge
             p = 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-            w -= np.linalg.solve((u * (p * (1 - p))[:, None]).T @ u + 0.1 * np.eye(3), u.T @ (p - t) + 0.1 * w)
+            step = np.linalg.solve((u * (p * (1 - p))[:, None]).T @ u + np.eye(3), u.T @ (p - t) + w)
+            w -= step * min(1.0, 1.0 / (np.linalg.norm(step) + 1e-12))
         model.slopes = tuple(float(v) for v in w[:2] / sd)
         model.bias = float(w[2] - (w[:2] * mu / sd).sum())
     none = ~has
