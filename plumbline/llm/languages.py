@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -38,12 +39,28 @@ HASHED, CHAIN, EPOCHS = 1 << 16, 64, 25
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class FeatureIds(dict):
+    """Place of a feature in the hashed table; remembers a bounded number."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > WORD_CACHE:
+            self.clear()
+        i = self[feature] = xxhash.xxh3_64_intdigest(feature.encode()) % HASHED
+        return i
+
+
+_IDS = FeatureIds()
+
+
 def features(word: str) -> list[int]:
-    """Hashed features: the word, affixes of 1 to 4 letters, n-grams of 2 and 3."""
+    """Hashed features: the word, affixes of 1 to 4 letters, n-grams of 2 and 3; of a word over 40 letters its end only."""
     w = f"<{word}>"
-    found = {f"w{w}"} | {f"p{w[:n]}" for n in range(2, 6)} | {f"s{w[-n:]}" for n in range(2, 6)}
-    found |= {f"g{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)}
-    return [xxhash.xxh3_64_intdigest(f.encode()) % HASHED for f in found] if len(word) <= 40 else [xxhash.xxh3_64_intdigest(f"s{w[-4:]}".encode()) % HASHED]
+    if len(word) > 40:
+        return [_IDS["S" + w[-4:]]]
+    found = ["P" + w[:2], "P" + w[:3], "P" + w[:4], "P" + w[:5], "S" + w[-2:], "S" + w[-3:], "S" + w[-4:], "S" + w[-5:]]
+    found += [w[i : i + 2] for i in range(len(w) - 1)]
+    found += [w[i : i + 3] for i in range(len(w) - 2)]
+    return [xxhash.xxh3_64_intdigest(w) % HASHED, *map(_IDS.__getitem__, found)]
 
 
 @dataclass
@@ -54,23 +71,29 @@ class Crf:
 
 
 class Emissions(dict):
-    """A word's row in a growing table of emission scores; starts over when full."""
+    """A word's row in a growing table of emission scores."""
 
     def __init__(self, crf: Crf):
         super().__init__()
         self.crf = crf
-        self.table = np.zeros((1024, len(crf.langs)), np.float32)
-        self.letters = np.zeros(1024, np.float32)
-
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.table):
+        self.table = np.zeros((4096, len(crf.langs)), np.float32)
+        self.letters = np.zeros(4096, np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        """Add rows for new words, all at once."""
+        if not words:
+            return
+        n, m = len(self), len(words)
+        while n + m > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.table[n] = self.crf.weights[features(word)].mean(0) * 4
-        self.letters[n] = len(word)
-        self[word] = n
-        return n
+        found = [features(w) for w in words]
+        sizes = np.fromiter(map(len, found), int, m)
+        flat = np.fromiter(chain.from_iterable(found), int, sizes.sum())
+        sums = np.add.reduceat(self.crf.weights[flat], np.r_[0, sizes.cumsum()[:-1]])
+        self.table[n : n + m] = sums / sizes[:, None] * 4
+        self.letters[n : n + m] = np.fromiter(map(len, words), int, m)
+        self.update(zip(words, range(n, n + m), strict=True))
 
 
 def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,17 +195,19 @@ class Tagger:
             self.known = Emissions(self.crf)
         words = [_WORD.findall(t.lower()) if t else [] for t in texts]
         n = np.array([len(w) for w in words])
-        ids = np.fromiter((self.known[w] for ws in words for w in ws), int, n.sum())
+        flat = list(chain.from_iterable(words))
+        self.known.learn(list(set(flat).difference(self.known)))
+        ids = np.fromiter(map(self.known.__getitem__, flat), int, len(flat))
         owner = np.repeat(np.arange(len(texts)), n)
         first = np.r_[0, n.cumsum()[:-1]]
         place = np.arange(len(ids)) - first[owner]
         chains = -(-n // CHAIN)
-        chain = np.r_[0, chains.cumsum()[:-1]][owner] + place // CHAIN
+        at_chain = np.r_[0, chains.cumsum()[:-1]][owner] + place // CHAIN
         out = np.empty((len(ids), len(self.crf.langs)), np.float32)
         total = int(chains.sum())
         for a in range(0, total, 1024):
-            lo, hi = np.searchsorted(chain, [a, a + 1024])
-            at = (chain[lo:hi] - a, place[lo:hi] % CHAIN)
+            lo, hi = np.searchsorted(at_chain, [a, a + 1024])
+            at = (at_chain[lo:hi] - a, place[lo:hi] % CHAIN)
             count = min(1024, total - a)
             e = np.zeros((count, CHAIN, len(self.crf.langs)), np.float32)
             mask = np.zeros((count, CHAIN), bool)
