@@ -235,3 +235,22 @@ def test_name_collisions_are_resolved(spark):
         assert sorted(r.text for r in pii.pseudonymize(docs, "k").collect()) == sorted(got)
     finally:
         pii.MAX_LITERAL = few
+
+
+def test_passages_of_earlier_fragments(spark):
+    """Words that an earlier document has in an exact run of 50 or more are covered, whatever earlier fragments hold."""
+    rng, rows = random.Random(5), []
+    for case in range(12):
+        whole = prose(90, 900 + case).split()
+        parts = [whole[:45], whole[45:], whole[20:66]] if case % 2 else [whole[:40], whole[30:75]]
+        rows += [(100 * case + i, f"{prose(30, 7000 + 10 * case + i)} {' '.join(x)} {prose(rng.randint(0, 30), 8000 + 10 * case + i)}") for i, x in enumerate([*parts, whole, whole[:60] if case % 3 else whole, whole])]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = {i: t.split() for i, t in rows}
+    covered = {(r.doc_id, x) for r in got for x in range(r.start, r.end)}
+    assert all(r.home_id < r.doc_id and words[r.doc_id][r.start : r.end] == words[r.home_id][r.home_start : r.home_end] for r in got if r.identity == 1)
+    seen, want = set(), set()
+    for i, ws in words.items():
+        runs = [tuple(ws[x : x + 50]) for x in range(len(ws) - 49)]
+        want |= {(i, x + y) for x, run in enumerate(runs) if run in seen for y in range(50)}
+        seen |= set(runs)
+    assert want and want <= covered

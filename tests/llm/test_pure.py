@@ -156,3 +156,13 @@ def test_forward_backward_is_enumeration():
 
 def test_tokens_of_toxicity_are_letters_and_digits():
     assert toxicity._TOKEN.findall("a_b c1!d") == ["a", "b", "c1", "d"] and re.fullmatch(r"\w+", "a_b")
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 40), st.integers(1, 9)), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_fewest_spans_cover_all_words(spans):
+    spans = [(d, 0, a, a + n) for d, a, n in spans]
+    got = passages.fewest(spans)
+    words = lambda rows: {(d, x) for d, _, a, b in rows for x in range(a, b)}
+    assert set(got) <= set(spans) and words(got) == words(spans)
+    assert all(sum(a <= x < b for d, _, a, b in got if d == e) <= 2 for e, x in words(got))
