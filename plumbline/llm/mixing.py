@@ -6,9 +6,11 @@ ceil(i / w); in every slot the released block of the earliest deadline goes next
 At any slot the number of blocks that a source has had differs by less than one
 from weight times slots.
 
-Weights are fractions p / Q, so the schedule repeats after Q slots: only one period
-of it is computed on the driver (Q is a parameter), and every block's slot
-follows from its number by arithmetic inside Spark. When a source runs out, a new
+Weights are taken as the decimal fractions they are written as, p / Q of the total in
+lowest terms, so the schedule repeats after exactly Q slots: one period of it is computed on
+the driver, or the whole phase where that is shorter, and every block's slot follows
+from its number by arithmetic inside Spark. Nothing is rounded, so no source
+drifts from its weight. When a source runs out, a new
 phase begins with the weights of those that are left, scaled up to one; there
 are as many phases as sources at most. No row is dropped or repeated.
 
@@ -35,12 +37,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import materialize
 
 OTHER = "(other)"
-#: Documents of a block; slots of a period; documents of an ordering bucket.
+#: Documents of a block; slots in a row of the table of slots; documents of an ordering bucket.
 BLOCK_DOCS, PERIOD, BUCKET_DOCS = 16, 1000, 2000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainder, at least one each."""
+    """Whole slots of a given period for each source, by largest remainder, at least one each; only near the weights, so phases uses exact."""
     total = sum(weights.values())
     period = max(period, 4 * len(weights))
     exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
@@ -55,34 +57,52 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return got
 
 
-def pattern(slots: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, by earliest deadline first among what is released."""
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the proportion of the weights as they are written, in lowest terms; their sum is the period."""
+    parts = {s: Fraction(str(w)) for s, w in weights.items()}
+    least = math.lcm(*(x.denominator for x in parts.values()))
+    whole = {s: int(x * least) for s, x in parts.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def pattern(slots: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks by earliest deadline first among what is released.
+
+    For one period, or up to the slot with the last of a source's blocks where that comes first.
+    """
     period = sum(slots.values())
-    due = [[] for _ in range(period)]  # released at a slot: (deadline, source, number)
-    for s, p in slots.items():
-        for i in range(1, p + 1):
-            due[(i - 1) * period // p].append((-(-i * period // p), s, i))
+    wait = [(0, s, 1) for s in sorted(slots)]  # (release, source, number): the next block of a source
     ready, out = [], {s: [] for s in slots}
     for t in range(period):
-        for job in due[t]:
-            heappush(ready, job)
-        deadline, s, _ = heappop(ready)
+        while wait and wait[0][0] <= t:
+            _, s, i = heappop(wait)
+            heappush(ready, (-(-i * period // slots[s]), s, i))
+        deadline, s, i = heappop(ready)
         assert deadline > t, "the weights are feasible, so no deadline passes"
         out[s].append(t)
+        if blocks and i == blocks[s]:
+            break
+        heappush(wait, (i * period // slots[s], s, i + 1))
     return out
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """Phases of the schedule: first slot, period, and for each active source its first block and slots."""
+    """Phases of the schedule: first slot, period, and for each active source its first block and slots.
+
+    Of a phase that is longer than its period one period is listed, of others every slot;
+    period has no part in this: the schedule's own period is exact. mix cuts its table by it.
+    """
     left = {s: n for s, n in blocks.items() if n > 0}
     out, slot, used = [], 0, dict.fromkeys(left, 0)
     while left:
-        got = shares({s: weights[s] for s in left}, period)
-        at, q = pattern(got), sum(got.values())
-        ends = {s: (n - 1) // got[s] * q + at[s][(n - 1) % got[s]] for s, n in left.items()}
-        length = min(ends.values()) + 1
-        took = {s: length // q * got[s] + bisect_left(at[s], length % q) for s in left}
-        out.append({"slot": slot, "period": q, "sources": {s: {"first": used[s], "took": took[s], "at": at[s]} for s in left}})
+        got = exact({s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1))  # sources of weight zero come last
+        at, q = pattern(got, left), sum(got.values())
+        if (length := sum(map(len, at.values()))) == q:
+            ends = {s: (left[s] - 1) // n * q + at[s][(left[s] - 1) % n] for s, n in got.items()}
+            length = min(ends.values()) + 1
+        took = {s: length // q * got[s] + bisect_left(at[s], length % q) for s in got}
+        out.append({"slot": slot, "period": q, "sources": {s: {"first": used[s], "took": took[s], "at": at[s]} for s in got}})
         slot += length
         for s, n in took.items():
             used[s] += n
@@ -105,10 +125,10 @@ def mix(docs: DataFrame, weights: dict[str, float], other_weight: float = 0.01,
     plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, all_weights, period)
     parts = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(-(-n // bucket_docs)))])
     rows = rows.withColumn("__bucket", F.floor(F.col("__h") * parts[F.col("mix_source")] / F.lit(1 << 31)).cast("long"))
-    return _place(spark, rows, docs, counts, plan, block_docs)
+    return _place(spark, rows, docs, counts, plan, block_docs, period)
 
 
-def _place(spark, rows: DataFrame, docs: DataFrame, counts: dict[str, int], plan: list[dict], block_docs: int) -> DataFrame:
+def _place(spark, rows: DataFrame, docs: DataFrame, counts: dict[str, int], plan: list[dict], block_docs: int, cut: int) -> DataFrame:
     from pyspark.sql import Window
 
     key = ["mix_source", "__bucket"]
@@ -125,10 +145,11 @@ def _place(spark, rows: DataFrame, docs: DataFrame, counts: dict[str, int], plan
     rows = rows.withColumn("__rank", F.row_number().over(order) - 1).join(firsts, key)
     number = F.col("__first") + F.col("__rank")
     rows = rows.withColumn("block", F.floor(number / block_docs)).withColumn("__in", number % block_docs)
+    once = lambda x: range(0, x["took"], cut) if x["took"] == len(x["at"]) else [0]
     steps = spark.createDataFrame(
-        [(s, x["first"], x["first"] + x["took"], p["slot"], p["period"], x["at"]) for p in plan for s, x in p["sources"].items() if x["took"]],
+        [(s, x["first"] + i, x["first"] + (min(i + cut, x["took"]) if len(once(x)) > 1 else x["took"]), p["slot"], p["period"], x["at"][i : i + cut] if len(once(x)) > 1 else x["at"]) for p in plan for s, x in p["sources"].items() if x["took"] for i in once(x)],
         "mix_source string, first long, beyond long, start long, period long, at array<long>",
-    )  # at most a period's slots for each phase
+    )  # at most a period's slots for each phase, and no more than there are blocks
     near_phase = (F.col("r.mix_source") == F.col("s.mix_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("beyond"))
     mine = F.col("block") - F.col("first")
     slot = F.col("start") + F.floor(mine / F.size("at")) * F.col("period") + F.element_at("at", (mine % F.size("at") + 1).cast("int"))

@@ -4,13 +4,14 @@ import itertools
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import decontaminate, jaccard, languages, mixing, passages, quality, toxicity
+from plumbline.llm import decontaminate, jaccard, languages, mixing, passages, quality, queries, toxicity
 from plumbline.llm.common import WordHashes
 
 
@@ -166,3 +167,18 @@ def test_fewest_spans_cover_all_words(spans):
     words = lambda rows: {(d, x) for d, _, a, b in rows for x in range(a, b)}
     assert set(got) <= set(spans) and words(got) == words(spans)
     assert all(sum(a <= x < b for d, _, a, b in got if d == e) <= 2 for e, x in words(got))
+
+
+@pytest.mark.parametrize("weights", [queries.MIX, {**queries.MIX, mixing.OTHER: 0.01}, {"a": 0.12345, "b": 0.3, "c": 1 / 3}])
+def test_sources_keep_their_weights_over_many_periods(weights):
+    plan = mixing.phases(dict.fromkeys(weights, 12_000), weights, mixing.PERIOD)[0]
+    total, slots = sum(map(Fraction, map(str, weights.values()))), {}
+    for s, x in plan["sources"].items():
+        n = np.arange(x["took"])
+        slots[s] = plan["slot"] + n // len(x["at"]) * plan["period"] + np.array(x["at"])[n % len(x["at"])]
+    end = sum(map(len, slots.values()))
+    assert end > 25_000 and (np.sort(np.concatenate(list(slots.values()))) == np.arange(end)).all()
+    for s, at in slots.items():
+        share = Fraction(str(weights[s])) / total
+        for t in [*range(1, 3000), *range(end - 3000, end + 1)]:
+            assert abs(int(np.searchsorted(at, t)) - share * t) < 1
