@@ -13,11 +13,13 @@ replacement in every document and spelling:
 * Address octets stay octets, card numbers keep whether their check digit is right,
   domains keep their last label and are mapped alike for all addresses.
 * Names keep their title; given names are drawn by the hash from a list of the same
-  gender and script, so here two may meet.
+  gender and script, so here two may meet. From the second attempt on the family name is
+  shifted by a hash of the given name too, and after every GROW attempts it
+  gets a letter more, so there is always a name that nobody has.
 
 The collision check finds replacements that two entities share or that
 are themselves entities of the corpus, and gives those entities the next attempt
-(another hash) until none is left. There are few or none: they are sent as
+(another hash) until none is left, or fails after ROUNDS. There are few or none: they are sent as
 literals while below MAX_LITERAL, beyond that joined by entity.
 
 Defined results: a null or empty text stays as it is with no entities; rows
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
 
-MAX_LITERAL, ROUNDS = 1000, 8
+MAX_LITERAL, ROUNDS, GROW = 1000, 100, 8
 
 # Given names by script and gender, titles by gender.
 MALE = {"latin": ["James", "John", "Robert", "Michael", "David", "Thomas", "Daniel", "Peter", "Hans", "Pierre", "Carlos", "Juan"], "cyrillic": ["Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"]}
@@ -135,7 +137,7 @@ def _email(m: Column, seed: Column) -> Column:
     return F.concat(_shift(F.substring_index(m, "@", 1), F.concat_ws("|", seed, F.lower(host)), ALPHABETS), F.lit("@"), _shift(label, F.concat(F.lit("host|"), seed), ALPHABETS), F.substring(host, F.length(label) + 1, F.length(host)))
 
 
-def _name(m: Column, seed: Column) -> Column:
+def _name(m: Column, seed: Column, attempt: Column) -> Column:
     title = F.regexp_extract(m, rf"^(?:{_TITLES})\.? ", 0)
     name = F.substring(m, F.length(title) + 1, F.length(m))
     given = F.when(F.contains(name, F.lit(" ")), F.substring_index(name, " ", 1)).otherwise("")
@@ -145,7 +147,9 @@ def _name(m: Column, seed: Column) -> Column:
     cyrillic = given.rlike(r"^\p{IsCyrillic}")
     draw = lambda names: F.get(F.array(*[F.lit(x) for x in names]), (_hash(seed, F.lower(given)) % len(names)).cast("int"))
     new = F.when(female & cyrillic, draw(lists["cyrillic", "f"])).when(female, draw(lists["latin", "f"])).when(cyrillic, draw(lists["cyrillic", "m"])).otherwise(draw(lists["latin", "m"]))
-    return F.concat(title, F.when(given == "", "").otherwise(F.concat(new, F.lit(" "))), _shift(family, seed, SPOKEN))
+    own = F.when(attempt > 0, F.concat_ws("|", seed, F.lower(given))).otherwise(seed)
+    more = F.repeat(F.when(family.rlike(r"\p{IsCyrillic}$"), "а").otherwise("a"), F.floor(attempt / GROW).cast("int"))
+    return F.concat(title, F.when(given == "", "").otherwise(F.concat(new, F.lit(" "))), _shift(F.concat(family, more), own, SPOKEN))
 
 
 def surrogate(m: Column, key: str, attempt: Column) -> Column:
@@ -157,7 +161,7 @@ def surrogate(m: Column, key: str, attempt: Column) -> Column:
         .when(m.rlike(IS_SECRET), _shift(m, seed("secret"), HEX))
         .when(m.rlike(IS_CARD), _card(m, seed("card")))
         .when(m.rlike(IS_PHONE), _phone(m, seed("phone")))
-        .otherwise(_name(m, seed("name")))
+        .otherwise(_name(m, seed("name"), attempt))
     )
 
 
@@ -179,10 +183,10 @@ def collisions(found: DataFrame, key: str) -> DataFrame | None:
         real = put.join(found.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "entity")
         again = materialize(second.union(real).distinct().withColumn("again", F.lit(1)))
         if again.isEmpty():
-            break
+            return None if taken is None else materialize(taken.where("attempt > 0").select("kind", "entity", "attempt"))
         state = put.drop("new").join(again, ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
         taken = state
-    return None if taken is None else materialize(taken.where("attempt > 0").select("kind", "entity", "attempt"))
+    raise RuntimeError(f"replacements still collide after {ROUNDS} attempts: the entities leave too few of their formats")
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -254,3 +254,10 @@ def test_passages_of_earlier_fragments(spark):
         want |= {(i, x + y) for x, run in enumerate(runs) if run in seen for y in range(50)}
         seen |= set(runs)
     assert want and want <= covered
+
+
+def test_many_given_names_of_a_family(spark):
+    given = sorted({prose(1, i).capitalize() for i in range(900)} - {"Mr", "Mrs"})[:500]
+    rows = [(i, f"Mr {g} {s}") for i, (g, s) in enumerate((g, s) for g in given for s in ("Smith", "Li"))]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len({t.replace(" ", "").lower() for t in got}) == len(rows) and not set(got) & {t for _, t in rows}
