@@ -137,6 +137,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = materialize(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
     label = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("comp")))
+    if label.isEmpty():
+        return label
     for _ in range(max_rounds):
         near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("comp").alias("near"))
         step = label.join(near, label.node == near.u).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
