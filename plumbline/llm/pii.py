@@ -9,7 +9,9 @@ replacement in every document and spelling:
 * Characters are shifted within their own alphabet (digits, letters of a case and
   script, hexadecimal digits) by a keyed hash of what stands before them. Such a map
   can be undone from left to right, so different entities of a format stay
-  different, format and script stay, and no shift is zero, so no entity stays.
+  different, format and script stay, and no shift is zero, so no entity stays. Letters
+  and digits outside the listed alphabets have alphabets by rule: those of their case and
+  script in Unicode's tables, upper and lower case in one order.
 * Address octets stay octets, card numbers keep whether their check digit is right,
   domains keep their last label and are mapped alike for all addresses.
 * Names keep their title; given names are drawn by the hash from a list of the same
@@ -29,6 +31,10 @@ are carried along; columns named like the new ones are replaced.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +47,41 @@ MALE = {"latin": ["James", "John", "Robert", "Michael", "David", "Thomas", "Dani
 FEMALE = {"latin": ["Mary", "Anna", "Linda", "Susan", "Laura", "Emma", "Julia", "Sarah", "Ingrid", "Marie", "Carmen", "Elena"], "cyrillic": ["Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина"]}
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа"]
-# Alphabets within which characters are shifted.
+# Alphabets within which characters are shifted, lower and upper case in one order.
 DIGITS = "0123456789"
-ALPHABETS = [DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäåæçèéêëìíîïñòóôöøùúûüýß", "ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+ALPHABETS = [DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäåæçèéêëìíîïñòóôöøùúûüý", "ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 HEX = [DIGITS + "abcdef", "ABCDEF"]
-SPOKEN = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоу", "бвгджзклмнпрст", "АЕИОУ", "БВГДЖЗКЛМНПРСТ", "àáâäèéêëìíîïòóôöùúûü"]
+# The same letters as vowels and consonants, for names that can be spoken.
+SPOKEN = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäåæèéêëìíîïòóôöøùúûü", "çñý", "ÀÁÂÄÅÆÈÉÊËÌÍÎÏÒÓÔÖØÙÚÛÜ", "ÇÑÝ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
+
+
+@cache
+def other_alphabets(most: int = 256) -> list[str]:
+    """Alphabets of all letters and digits that ALPHABETS lacks: by category and script, of 2 to most characters."""
+    listed = set("".join(ALPHABETS))
+    groups: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
+    for c in map(chr, range(0x110000)):
+        kind = unicodedata.category(c)
+        if kind[0] not in "LN" or c in listed:
+            continue
+        other = c.lower() if kind == "Lu" else c.upper()
+        paired = kind in ("Lu", "Ll") and len(other) == 1 and other != c and other not in listed and (other.upper() if kind == "Lu" else other.lower()) == c and unicodedata.category(other) in ("Lu", "Ll")
+        upper = other if paired and kind == "Ll" else c
+        groups[kind, paired, unicodedata.name(upper, "").split(" ")[0]].append((upper, c))
+    out = []
+    for of in sorted({key[:2] for key in groups}):
+        scripts = [[c for _, c in sorted(groups[key])] for key in sorted(groups) if key[:2] == of]
+        alone = [s[0] for s in scripts if len(s) == 1]  # scripts of a single character share one alphabet
+        scripts = [s for s in scripts if len(s) > 1]
+        if len(alone) == 1 and scripts:
+            scripts[0] += alone
+        elif alone:
+            scripts.append(alone)
+        for letters in scripts:
+            parts = -(-len(letters) // most)
+            out += ["".join(letters[len(letters) * i // parts : len(letters) * (i + 1) // parts]) for i in range(parts)]
+    return out
+
 
 _GIVEN = "|".join(x for names in (*MALE.values(), *FEMALE.values()) for x in names)
 _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
@@ -87,7 +123,12 @@ def _shift(text: Column, seed: Column, alphabets: list[str]) -> Column:
     """Every character moved within its alphabet by a keyed hash of what stands before it."""
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
-        own = F.slice(F.filter(F.array(*[F.lit(a) for a in alphabets], c), lambda a: F.contains(a, c)), 1, 1)
+        having = lambda found: F.filter(found, lambda a: F.contains(a, c))
+        own = having(F.array(*[F.lit(a) for a in alphabets]))
+        if alphabets not in ([DIGITS], HEX):
+            rest = F.when(c.rlike(r"[\p{L}\p{N}]"), having(F.split(F.lit("|".join(other_alphabets())), r"\|"))).otherwise(F.array(c))
+            own = _let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(rest))
+        own = F.slice(F.concat(own, F.array(c)), 1, 1)
         h = _hash(seed, F.lower(F.regexp_replace(F.substring(text, F.lit(1), i - 1), r"[^\p{L}\p{N}]", "")))
         move = lambda a: F.substring(a, ((F.position(c, a) + h % F.greatest(F.length(a) - 1, F.lit(1))) % F.length(a) + 1).cast("int"), F.lit(1))
         return F.array_join(F.transform(own, move), "")
