@@ -22,13 +22,15 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share. Only where the cluster names none (tests) is one made."""
+    """The folder that all machines share. Only where none is named, and Spark runs on this machine alone (tests), is one made."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
     if hadoop.isDefined():
         return hadoop.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -55,8 +57,10 @@ def with_columns_py(df: DataFrame, text_col: str, make: Callable[[], Callable[[l
 
     make() runs once per task and returns a function from a list of texts to
     a list of tuples, one per text. Rows stay where they are: no shuffle.
+    Columns named like the new ones are replaced.
     """
-    keep = df.columns if keep is None else keep
+    new = {f.name for f in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     src = df.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else df.select(*keep)
     at = "__text" if text_col not in keep else text_col
     schema = T.StructType([df.schema[c] for c in keep] + fields)

@@ -12,7 +12,11 @@ line ends, the variety of words.
 
 Defined results: null and empty texts have zero counts and are rejected;
 rows are judged one by one, so null or repeated ids do not matter; columns not asked
-for are dropped.
+for are dropped, columns named like the new ones replaced.
+
+Five of the six rules read what the counts have made already, so the cascade saves most on
+the one that looks at every word. A rule's selectivity is measured on all of the sample, not
+on what earlier rules leave.
 """
 
 from __future__ import annotations

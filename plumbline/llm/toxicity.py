@@ -14,7 +14,7 @@
 
 Defined results: a null or empty text has no token, no segment and the score
 of a text with no evidence; documents of one id are scored row by row; other
-columns are carried along; an empty label table gives a model that finds
+columns are carried along, those named like the new ones replaced; an empty label table gives a model that finds
 nothing (score 0).
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import WORD_CACHE, WordHashes, ascii_words, materialize, rolling, with_columns_py
 
-#: Bound on the labelled rows the model is fitted on, on the features it keeps.
-MAX_LABELLED, MAX_FEATURES = 20_000, 50_000
+#: Bound on the labelled rows the model is fitted on; its features are words and prefixes of these.
+MAX_LABELLED = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -90,9 +91,11 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
     """All maximal scoring segments (start, end, score), by Ruzzo and Tompa.
 
     scores lists the tokens with positive or negative evidence as (position,
-    score); every token between two of them costs drift.
+    score); every token between two of them costs drift. A candidate keeps the
+    place of the nearest one to its left with a smaller sum left of it; whatever
+    lies between has a larger one and is passed over in one step.
     """
-    stack: list[list[float]] = []  # start, end, sum left of it, sum up to its end
+    stack: list[list[float]] = []  # start, end, sum left of it, sum up to its end, place of the one to the left
     total, last = 0.0, -1
     for at, s in scores:
         total -= drift * (at - last - 1)
@@ -102,16 +105,18 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
             continue
         new = [at, at, total, total + s]
         total += s
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+                stack.append([*new, j])
                 break
             new = [stack[j][0], new[1], stack[j][2], new[3]]
+            left = stack[j][4]
             del stack[j:]
-    return [(int(a), int(b), r - lo) for a, b, lo, r in stack]
+            j = left
+    return [(int(a), int(b), r - lo) for a, b, lo, r, _ in stack]
 
 
 def scan(text: str | None, scores: TokenScores, drift: float) -> tuple[int, list[tuple[int, int, float]]]:
@@ -141,7 +146,7 @@ def log_odds(counts: DataFrame, key: str, n1: int, n0: int, prior_docs: float) -
     return by.withColumn("z", F.signum(y1 / (y1 + y0) - F.lit(share)) * F.sqrt(F.greatest(deviance, F.lit(0.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_features: int = MAX_FEATURES, drift: float = 0.5, odds: float = 0.2) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, drift: float = 0.5, odds: float = 0.2) -> ToxicityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic); at most about max_rows labelled rows.
 
     Conflicting labels of one document count as toxic; null labels as none. A
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_fe
     share = max_rows / max(known.count(), 1)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    known = known.limit(int(max_rows * 1.1))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(int(max_rows * 1.1))
     sample = materialize(one_of_each(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")))
     n1, n0 = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     model = ToxicityModel(drift=drift)
@@ -162,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_fe
     least = NormalDist().inv_cdf(1 - odds / max(words.select("word").distinct().count(), 1000))
     heads = words.select("toxic", "n", "word", F.explode(F.array(*[F.when(F.length("word") >= p, F.substring("word", 1, p)) for p in PREFIXES])).alias("head")).where("head is not null")
     tops = log_odds(heads, "head", n1, n0, 10.0).where(F.col("n_words") >= 4).where((F.col("y1") >= 8) & (F.col("z") >= least) & (F.col("delta") >= 2.0))
-    model.prefixes = {r.head: r.delta for r in tops.orderBy(F.col("z").desc(), "head").limit(max_features).select("head", "delta").collect()}
+    model.prefixes = {r.head: r.delta for r in tops.select("head", "delta").collect()}
     at = F.array(*[F.lit(p) for p in model.prefixes]) if model.prefixes else F.array(F.lit(""))
     under = F.arrays_overlap(at, F.array(*[F.substring("word", 1, p) for p in PREFIXES]))
     seen = log_odds(words, "word", n1, n0, 10.0).where((F.col("z") >= least) & (F.col("y1") >= 5) | under & (F.col("y1") + F.col("y0") >= 8))
-    for r in seen.orderBy(F.col("z").desc(), "word").limit(max_features).select("word", "delta", "z").collect():
+    for r in seen.select("word", "delta", "z").collect():
         model.words[r.word] = r.delta if r.z > 2 else 0.0
     _calibrate(model, sample)
     return model
@@ -192,27 +197,32 @@ def one_of_each(sample: DataFrame) -> DataFrame:
 
 
 def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
-    fields = [T.StructField("n", T.IntegerType()), T.StructField("segs", T.ArrayType(T.DoubleType())), T.StructField("hits", T.ArrayType(T.DoubleType()))]
+    """Fit the extreme-value law and the logistic step; the driver gets a few numbers for each text and a count for each score."""
+    doubles = T.ArrayType(T.DoubleType())
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("segs", doubles), T.StructField("scores", doubles), T.StructField("times", T.ArrayType(T.IntegerType()))]
 
     def make():
         scores = model.scorer()
 
         def one(text):
             n, segs = scan(text, scores, model.drift)
-            hits = [s for s in map(scores.__getitem__, _TOKEN.findall(text.lower())) if s] if segs else []
-            return n, [s for *_, s in segs], hits
+            hits = Counter(s for s in map(scores.__getitem__, _TOKEN.findall(text.lower())) if s) if segs else {}
+            return n, [s for *_, s in segs], list(hits), list(hits.values())
 
         return lambda texts: [one(t or "") for t in texts]
 
-    seen = with_columns_py(sample, "text", make, fields, ["toxic"]).collect()
+    found = materialize(with_columns_py(sample, "text", make, fields, ["toxic"]).withColumn("best", F.coalesce(F.array_max("segs"), F.lit(0.0))))
+    seen = found.select("toxic", "n", "best").collect()
     y = np.array([r.toxic for r in seen])
     n = np.array([max(r.n, 1) for r in seen], float)
-    best = np.array([max(r.segs, default=0.0) for r in seen])
+    best = np.array([r.best for r in seen])
     calm = y == 0
-    hits = np.array([s for r in seen if not r.toxic for s in r.hits] or [max([*model.words.values(), *model.prefixes.values()], default=1.0)])
-    tokens = max(n[calm].sum(), len(hits) + 1.0)
+    counts = found.where("toxic = 0").select(F.explode(F.arrays_zip("scores", "times")).alias("h")).groupBy("h.scores").agg(F.sum("h.times").alias("times")).collect()
+    hits = np.array([r.scores for r in counts] or [max([*model.words.values(), *model.prefixes.values()], default=1.0)])
+    times = np.array([r.times for r in counts] or [1], float)
+    tokens = max(n[calm].sum(), times.sum() + 1.0)
     low, high = 1e-3, 5.0
-    moment = lambda lam: (np.exp(np.minimum(lam * hits, 50)).sum() + (tokens - len(hits)) * math.exp(-lam * model.drift)) / tokens - 1
+    moment = lambda lam: ((times * np.exp(np.minimum(lam * hits, 50))).sum() + (tokens - times.sum()) * math.exp(-lam * model.drift)) / tokens - 1
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if moment(mid) < 0 else (low, mid)
@@ -221,8 +231,11 @@ def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
     # K by maximum likelihood over the harmless texts' best segments
     model.log_k = math.log(max(got.sum(), 1) / max((n[calm] * np.exp(-model.lam * best[calm])).sum(), 1e-9))
     has = best > 0
-    x = np.array([model.features(r.segs, r.n) for r, h in zip(seen, has, strict=True) if h])
-    t = y[has].astype(float)
+    evidence = lambda s: F.lit(model.lam) * s - F.lit(model.log_k) - F.log(F.greatest("n", F.lit(1)))
+    sums = F.aggregate("segs", F.lit(0.0), lambda total, s: total + F.greatest(evidence(s), F.lit(0.0)))
+    rows = found.where("best > 0").select("toxic", evidence(F.col("best")).alias("a"), F.log1p(sums).alias("b")).orderBy("a", "b", "toxic").collect()
+    x = np.array([(r.a, r.b) for r in rows])
+    t = np.array([r.toxic for r in rows], float)
     if len(x) and 0 < t.sum() < len(t):
         mu, sd = x.mean(0), np.maximum(x.std(0), 1e-3)
         u, w = np.c_[(x - mu) / sd, np.ones(len(x))], np.zeros(3)
