@@ -1,8 +1,9 @@
 """Language ID of words in code-switched text by a linear-chain conditional random field.
 
 Every word has features - itself if it is in the learned lexicon, its prefixes and
-suffixes, its character n-grams - hashed into a weight table with a row for each
-language; transitions between neighbouring words' languages are learned with
+suffixes, its character n-grams - in a weight table with a row for each
+language. The lexicon is the words of LEXICON_RUNS training runs or more, with a place each; affixes and
+n-grams are hashed. Transitions between neighbouring words' languages are learned with
 them, by gradient ascent on the conditional likelihood. Forward-backward gives
 every word its probability of each language; a document's language is the one with the
 largest expected number of letters.
@@ -22,10 +23,12 @@ row every text is und; columns not asked for are dropped.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,17 @@ from plumbline.llm.common import WORD_CACHE, with_columns_py
 
 #: Bounds of the labelled sample: documents of a language, runs of words that one gives (spread over its whole text).
 DOCS_PER_LANGUAGE, RUNS_PER_DOC = 300, 16
-HASHED, CHAIN, EPOCHS = 1 << 16, 64, 25
-_WORD = re.compile(r"[^\W\d_]+")
+HASHED, CHAIN, EPOCHS = 1 << 16, 64, 12
+LEXICON_RUNS = 3
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower case. The plain pattern takes some numerals too, so words with such are cut again."""
+    words = _WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in _LETTERS.findall(w)]
 
 
 class FeatureIds(dict):
@@ -52,15 +64,16 @@ class FeatureIds(dict):
 _IDS = FeatureIds()
 
 
-def features(word: str) -> list[int]:
-    """Hashed features: the word, affixes of 1 to 4 letters, n-grams of 2 and 3; of a word over 40 letters its end only."""
+def features(word: str, lexicon: dict[str, int]) -> list[int]:
+    """Places of a word's features: itself in the lexicon, affixes of 1 to 4 letters, n-grams of 2 and 3."""
     w = f"<{word}>"
-    if len(word) > 40:
-        return [_IDS["S" + w[-4:]]]
     found = ["P" + w[:2], "P" + w[:3], "P" + w[:4], "P" + w[:5], "S" + w[-2:], "S" + w[-3:], "S" + w[-4:], "S" + w[-5:]]
     found += [w[i : i + 2] for i in range(len(w) - 1)]
     found += [w[i : i + 3] for i in range(len(w) - 2)]
-    return [xxhash.xxh3_64_intdigest(w) % HASHED, *map(_IDS.__getitem__, found)]
+    places = list(map(_IDS.__getitem__, found))
+    if (own := lexicon.get(word)) is not None:
+        places.append(HASHED + own)
+    return places
 
 
 @dataclass
@@ -68,6 +81,7 @@ class Crf:
     langs: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((HASHED, 0), np.float32))
     trans: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    lexicon: dict[str, int] = field(default_factory=dict)
 
 
 class Emissions(dict):
@@ -87,7 +101,7 @@ class Emissions(dict):
         while n + m > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        found = [features(w) for w in words]
+        found = [features(w, self.crf.lexicon) for w in words]
         sizes = np.fromiter(map(len, found), int, m)
         flat = np.fromiter(chain.from_iterable(found), int, sizes.sum())
         sums = np.add.reduceat(self.crf.weights[flat], np.r_[0, sizes.cumsum()[:-1]])
@@ -124,11 +138,11 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tupl
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, runs_per_doc: int = RUNS_PER_DOC, epochs: int = EPOCHS, seed: int = 7) -> Crf:
     """Learn from the text and non-null lang of docs; a bounded hash sample of each language's rows is used."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(256).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Crf()
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int((1 << 20) * min(1.0, docs_per_language / n)) + 1))])
-    taken = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")]).limit(2 * docs_per_language * len(counts))
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")]).distinct()
     cut = with_columns_py(taken, "text", lambda: lambda texts: [(word_runs(t, runs_per_doc, seed),) for t in texts], [T.StructField("runs", T.ArrayType(T.StringType()))], ["lang"])
     langs = sorted(counts)
     runs = [(langs.index(lang), run.split(" ")) for lang, run in sorted((r.lang, run) for r in cut.collect() for run in r.runs)]
@@ -137,7 +151,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, runs_per_do
 
 def word_runs(text: str, most: int, seed: int) -> list[str]:
     """Up to most runs of 4 to 40 words, evenly spread over the whole text."""
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     rng = np.random.default_rng([seed, len(words)])
     starts = range(0, len(words), max(24, -(-len(words) // most)))
     return [" ".join(words[a : a + int(rng.integers(4, 40))]) for a in starts]
@@ -148,11 +162,17 @@ def _train(langs: list[str], runs: list[tuple[int, list[str]]], epochs: int, rng
     n_lang = len(langs)
     words = sorted({w for _, ws in runs for w in ws})
     row = {w: i for i, w in enumerate(words)}
-    feats = [features(w) for w in words]
-    flat = np.concatenate([np.array(f) for f in feats]) if feats else np.empty(0, int)
+    runs_of = Counter(w for _, ws in runs for w in set(ws))
+    lexicon = {w: i for i, w in enumerate(w for w in words if runs_of[w] >= LEXICON_RUNS)}
+    feats = [features(w, lexicon) for w in words]
+    # only places that some training word has are learned; the others stay 0
+    used, flat = np.unique(np.concatenate([np.array(f) for f in feats]), return_inverse=True)
     owner = np.repeat(np.arange(len(words)), [len(f) for f in feats])
+    first = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
+    by_place = np.argsort(flat, kind="stable")
+    place_first = np.searchsorted(flat[by_place], np.arange(len(used)))
     size = np.array([len(f) for f in feats], float)
-    weights, trans = np.zeros((HASHED, n_lang)), np.eye(n_lang) * 2.0
+    weights, trans = np.zeros((len(used), n_lang)), np.eye(n_lang) * 2.0
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, trans)]
     step = 0
     for _ in range(epochs):
@@ -166,23 +186,24 @@ def _train(langs: list[str], runs: list[tuple[int, list[str]]], epochs: int, rng
         for part in np.array_split(rng.permutation(chains), max(1, chains // 400)):
             step += 1
             x, y = tokens[part], gold[part]
-            base = np.stack([np.bincount(owner, weights[flat, k], len(words)) for k in range(n_lang)], 1) / size[:, None] * 4
+            base = np.add.reduceat(weights[flat], first) / size[:, None] * 4
             e = base[x]
             m, alpha, _ = forward_backward(e, np.ones(x.shape, bool), trans)
             err = np.eye(n_lang)[y] - m
             by_word = np.stack([np.bincount(x.ravel(), err[..., k].ravel(), len(words)) for k in range(n_lang)], 1) / size[:, None] * 4
-            g_w = np.stack([np.bincount(flat, by_word[owner, k], HASHED) for k in range(n_lang)], 1) / x.size - 1e-7 * weights
+            g_w = np.add.reduceat(by_word[owner[by_place]], place_first) / x.size - 1e-7 * weights
             move, p = np.exp(trans), np.exp(e - e.max(2, keepdims=True))
             right = m[:, 1:] / np.maximum((alpha[:, :-1] @ move) * p[:, 1:], 1e-30)  # expected transitions
             g_t = move * np.einsum("nti,ntj->ij", alpha[:, :-1], right * p[:, 1:])
-            seen = np.zeros((n_lang, n_lang))
-            np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+            seen = np.bincount((y[:, :-1] * n_lang + y[:, 1:]).ravel(), minlength=n_lang * n_lang).reshape(n_lang, n_lang)
             g_t = (seen - g_t) / x.size
             for value, grad, mom, rate in ((weights, g_w, moments[0], 0.1), (trans, g_t, moments[1], 0.02)):
                 mom[0][:] = 0.9 * mom[0] + 0.1 * grad
                 mom[1][:] = 0.99 * mom[1] + 0.01 * grad**2
                 value += rate * (mom[0] / (1 - 0.9**step)) / (np.sqrt(mom[1] / (1 - 0.99**step)) + 1e-8)
-    return Crf(langs, weights.astype(np.float32), trans)
+    table = np.zeros((HASHED + len(lexicon), n_lang), np.float32)
+    table[used] = weights
+    return Crf(langs, table, trans, lexicon)
 
 
 class Tagger:
@@ -193,7 +214,7 @@ class Tagger:
         """For all words of all texts, in order: owner text, number of letters, language probabilities."""
         if len(self.known) > WORD_CACHE:
             self.known = Emissions(self.crf)
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         n = np.array([len(w) for w in words])
         flat = list(chain.from_iterable(words))
         self.known.learn(list(set(flat).difference(self.known)))
