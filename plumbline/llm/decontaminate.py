@@ -28,6 +28,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.common import SLICE_ROWS, ids_join, materialize
 
@@ -151,7 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER
                 cols = [ids.take(pa.array([r[0] for r in rows], pa.int64()))]
                 yield pa.RecordBatch.from_pydict({"doc_id": cols[0], "item_id": pa.array([r[1] for r in rows]).cast(item_type), **{c: pa.array([r[k] for r in rows], pa.int32()) for k, c in enumerate(("distance", "start", "end"), 2)}})
 
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+        item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
         parts.append(docs.mapInArrow(run, schema))
     if not parts:
         return spark.createDataFrame([], schema)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -296,3 +297,48 @@ def test_fuzzy_passages(spark):
 
 def test_nth_places():
     assert passages.ordinals(np.array([5, 7, 5, 5, 7])).tolist() == [0, 0, 1, 2, 1]
+
+
+def script(text):
+    return {unicodedata.name(c).split()[0] for c in text if c.isalpha()}
+
+
+def test_no_entity_stays_in_any_script(spark):
+    rng = random.Random(4)
+    letters = {"greek": "άέαβγδώςσ", "polish": "łżćńąęó", "cyrillic": "йфхцчшщъыьэюяё", "armenian": "աբգդեզէը", "turkish": "ğşçöü", "plain": "abcxyz"}
+    names = [f"{rng.choice(('Mr.', 'Mrs', 'Herr', 'Frau'))} {''.join(rng.choices(ls, k=rng.randint(4, 9))).title()}" for ls in letters.values() for _ in range(40)]
+    names += ["Mr. Παπαδόπουλος", "Mrs. Łżć", "Herr Чыж", "Mr. Ünlü", "Mr. Ĳsselßtein"]
+    mails = ["李明@例え.jp", "имя.ёж@почта.рф", "اب@x.org", "\U00010400\U00010428@x.org", "ab٣@x.org", "ｆｕｌｌ@x.org", "한글@x.org"]
+    rows = list(dict.fromkeys([*names, *mails]))
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    bare = lambda t: re.sub(r"^\w+\.? ", "", t) if "@" not in t else t.split("@")[0]
+    for old, new in zip(rows, got, strict=True):
+        assert bare(new).lower() != bare(old).lower() and len(new) >= len(old) and script(new) == script(old), (old, new)
+        if "@" not in old:
+            assert old.split(" ")[0] == new.split(" ")[0] and bare(new)[0].isupper()
+    key = lambda t: re.sub(r"\W", "", bare(t)).lower() if "@" not in t else t.lower()
+    assert len(set(map(key, got))) == len(set(map(key, rows)))  # as many people as before
+    both = pii.pseudonymize(spark.createDataFrame([(1, "Mr Łżćów und Mr ŁŻĆÓW, ÉÀB@x.org und éàb@x.org")], "doc_id long, text string"), "k").first().text
+    a, b = re.findall(r"Mr (\w+)", both)
+    c, d = re.findall(r"(\S+)@", both)
+    assert a.lower() == b.lower() and c.lower() == d.lower()
+
+
+def test_alphabets_hold_every_letter_once():
+    held = "".join([*pii.ALPHABETS, *pii.other_alphabets()])
+    assert len(set(held)) == len(held) and all(len(a) > 1 for a in pii.other_alphabets())
+    assert all(c in held for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LN")
+    assert sorted("".join(pii.SPOKEN)) == sorted("".join(a for a in pii.ALPHABETS if a != pii.DIGITS))
+
+
+def test_new_columns_replace_those_of_their_names(spark):
+    docs = spark.createDataFrame([(1, prose(60, 5), "x", 7, 0.5, 1, "y")], "doc_id long, text string, kept string, n_words int, score double, predicted int, lang_pred string")
+    assert quality.judge(docs).first().kept is True
+    assert toxicity.score(docs, toxicity.ToxicityModel()).first().predicted == 0
+    assert languages.label(docs, languages.Crf()).first().lang_pred == "und"
+
+
+def test_numerals_are_no_letters():
+    assert languages.words_of("½ ² Ⅷ 12") == [] and languages.words_of("Été2½x Ⅷa") == ["été", "x", "a"]
+    long = languages.features("ab" * 500, {})
+    assert len(long) > 1500 and len(languages.features("ab", {"ab": 3})) == len(languages.features("ab", {})) + 1

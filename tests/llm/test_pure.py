@@ -182,3 +182,32 @@ def test_sources_keep_their_weights_over_many_periods(weights):
         share = Fraction(str(weights[s])) / total
         for t in [*range(1, 3000), *range(end - 3000, end + 1)]:
             assert abs(int(np.searchsorted(at, t)) - share * t) < 1
+
+
+class Counted(float):
+    """A number that counts how often it is compared."""
+
+    n = 0
+
+    def __add__(self, o):
+        return Counted(float(self) + float(o))
+
+    __radd__ = __add__
+
+    def __sub__(self, o):
+        return Counted(float(self) - float(o))
+
+    def __ge__(self, o):
+        Counted.n += 1
+        return float(self) >= float(o)
+
+
+@pytest.mark.parametrize("gap", [1, 9, 40])
+def test_segments_take_linear_time(gap):
+    took = []
+    for n in (1000, 4000):
+        Counted.n = 0
+        rng = random.Random(2)
+        toxicity.segments([(gap * i, Counted(rng.choice((1.5, 2.5, 4.0)))) for i in range(n)], 0.5)
+        took.append(Counted.n)
+    assert took[1] <= 4.5 * took[0] and took[1] <= 8 * 4000
