@@ -56,10 +56,11 @@ SPOKEN = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "
 
 
 @cache
-def other_alphabets(most: int = 256) -> list[str]:
-    """Alphabets of all letters and digits that ALPHABETS lacks: by category and script, of 2 to most characters."""
+def other_letters(most: int = 256) -> tuple[list[str], list[tuple[int, int]]]:
+    """What ALPHABETS lacks: alphabets of letters that have two cases, and of single ones; runs (first code point, length) of one category and script."""
     listed = set("".join(ALPHABETS))
-    groups: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
+    cased: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
+    runs: list[list] = []
     for c in map(chr, range(0x110000)):
         kind = unicodedata.category(c)
         if kind[0] not in "LN" or c in listed:
@@ -67,20 +68,26 @@ def other_alphabets(most: int = 256) -> list[str]:
         other = c.lower() if kind == "Lu" else c.upper()
         paired = kind in ("Lu", "Ll") and len(other) == 1 and other != c and other not in listed and (other.upper() if kind == "Lu" else other.lower()) == c and unicodedata.category(other) in ("Lu", "Ll")
         upper = other if paired and kind == "Ll" else c
-        groups[kind, paired, unicodedata.name(upper, "").split(" ")[0]].append((upper, c))
-    out = []
-    for of in sorted({key[:2] for key in groups}):
-        scripts = [[c for _, c in sorted(groups[key])] for key in sorted(groups) if key[:2] == of]
-        alone = [s[0] for s in scripts if len(s) == 1]  # scripts of a single character share one alphabet
-        scripts = [s for s in scripts if len(s) > 1]
-        if len(alone) == 1 and scripts:
-            scripts[0] += alone
-        elif alone:
-            scripts.append(alone)
-        for letters in scripts:
-            parts = -(-len(letters) // most)
-            out += ["".join(letters[len(letters) * i // parts : len(letters) * (i + 1) // parts]) for i in range(parts)]
-    return out
+        script = unicodedata.name(upper, "").split(" ")[0]
+        if paired:
+            cased[kind, script].append((upper, c))
+        elif runs and runs[-1][:2] == [kind, script] and runs[-1][2] + runs[-1][3] == ord(c):
+            runs[-1][3] += 1
+        else:
+            runs.append([kind, script, ord(c), 1])
+    for key in [key for key, group in cased.items() if len(group) == 1]:  # a script of one pair joins the largest
+        cased[key[0], "LATIN"] += cased.pop(key)
+    single: dict[tuple, str] = defaultdict(str)
+    for kind, script, at, n in runs:
+        single[kind, script] += chr(at) if n == 1 else ""
+    for wider in (lambda key: (key[0], ""), lambda key: ("", "")):  # what is alone in its script, then in its category
+        for key in [key for key, letters in single.items() if len(letters) == 1]:
+            single[wider(key)] += single.pop(key)
+    out = [s for s in single.values() if s]
+    for group in cased.values():
+        letters, parts = [c for _, c in sorted(group)], -(-len(group) // most)
+        out += ["".join(letters[len(letters) * i // parts : len(letters) * (i + 1) // parts]) for i in range(parts)]
+    return out, [(at, n) for _, _, at, n in runs if n > 1]
 
 
 _GIVEN = "|".join(x for names in (*MALE.values(), *FEMALE.values()) for x in names)
@@ -123,15 +130,19 @@ def _shift(text: Column, seed: Column, alphabets: list[str]) -> Column:
     """Every character moved within its alphabet by a keyed hash of what stands before it."""
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
-        having = lambda found: F.filter(found, lambda a: F.contains(a, c))
-        own = having(F.array(*[F.lit(a) for a in alphabets]))
-        if alphabets not in ([DIGITS], HEX):
-            rest = F.when(c.rlike(r"[\p{L}\p{N}]"), having(F.split(F.lit("|".join(other_alphabets())), r"\|"))).otherwise(F.array(c))
-            own = _let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(rest))
-        own = F.slice(F.concat(own, F.array(c)), 1, 1)
         h = _hash(seed, F.lower(F.regexp_replace(F.substring(text, F.lit(1), i - 1), r"[^\p{L}\p{N}]", "")))
-        move = lambda a: F.substring(a, ((F.position(c, a) + h % F.greatest(F.length(a) - 1, F.lit(1))) % F.length(a) + 1).cast("int"), F.lit(1))
-        return F.array_join(F.transform(own, move), "")
+        by = lambda at, n: (at + 1 + h % F.greatest(n - 1, F.lit(1))) % n
+        move = lambda a: F.substring(a, (by(F.position(c, a) - 1, F.length(a)) + 1).cast("int"), F.lit(1))
+        moved = lambda found: F.get(F.transform(F.slice(F.filter(found, lambda a: F.contains(a, c)), 1, 1), move), F.lit(0))
+        own = moved(F.array(*[F.lit(a) for a in alphabets]))
+        if alphabets in ([DIGITS], HEX):
+            return F.coalesce(own, c)
+        others, runs = other_letters()
+        step = lambda r: F.decode(F.unhex(F.lpad(F.hex(r["at"] + by(F.ascii(c) - r["at"], r["n"])), 8, "0")), "UTF-32")
+        table = F.from_json(F.lit("[" + ",".join(f'{{"at":{at},"n":{n}}}' for at, n in runs) + "]"), "array<struct<at:int,n:int>>")
+        near = F.get(F.transform(F.slice(F.filter(table, lambda r: (F.ascii(c) >= r["at"]) & (F.ascii(c) < r["at"] + r["n"])), 1, 1), step), F.lit(0))
+        rest = F.coalesce(moved(F.split(F.lit("|".join(others)), r"\|")), near)
+        return F.coalesce(own, F.when(c.rlike(r"[\p{L}\p{N}]"), rest), c)
 
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
 
