@@ -83,7 +83,9 @@ def other_letters(most: int = 256) -> tuple[list[str], list[tuple[int, int]]]:
     for wider in (lambda key: (key[0], ""), lambda key: ("", "")):  # what is alone in its script, then in its category
         for key in [key for key, letters in single.items() if len(letters) == 1]:
             single[wider(key)] += single.pop(key)
-    out = [s for s in single.values() if s]
+    out = sorted((s for s in single.values() if s), key=len)
+    if len(out[0]) == 1:
+        out[-1] += out.pop(0)
     for group in cased.values():
         letters, parts = [c for _, c in sorted(group)], -(-len(group) // most)
         out += ["".join(letters[len(letters) * i // parts : len(letters) * (i + 1) // parts]) for i in range(parts)]
