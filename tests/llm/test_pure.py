@@ -211,3 +211,13 @@ def test_segments_take_linear_time(gap):
         toxicity.segments([(gap * i, Counted(rng.choice((1.5, 2.5, 4.0)))) for i in range(n)], 0.5)
         took.append(Counted.n)
     assert took[1] <= 4.5 * took[0] and took[1] <= 8 * 4000
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=60), st.integers(1, 50))
+@settings(max_examples=200, deadline=None)
+def test_least_places(values, window):
+    h = np.array(values, np.uint64) << np.uint64(40)
+    want = [x + int(h[x : x + window].argmin()) for x in range(len(h) - window + 1)]
+    assert passages.least_places(h, window).tolist() == want
+    if want:
+        assert passages.minimizers(h, window).tolist() == sorted(set(want))
