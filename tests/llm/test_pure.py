@@ -125,6 +125,9 @@ def test_best_chain(points):
         f.append(k + max([0] + [f[j] - gap * (a - x + b - y) for j, (x, y) in enumerate(pts[:i]) if x < a and y < b]))
     got = passages.chain(np.array([p[0] for p in points]), np.array([p[1] for p in points]))
     assert got[0][4] == pytest.approx(max(f))
+    x = np.array(sorted({p[0] // 2 for p in points}))  # an exact run
+    apart = passages.chain(np.r_[x, 500], np.r_[x + 7, 900])  # the same run beside a match elsewhere takes the long way
+    assert passages.chain(x, x + 7)[0] == pytest.approx(apart[0]) or len(x) == 1
 
 
 @given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=40))
