@@ -59,13 +59,13 @@ def services(spark, sf):
 
 def service_categories(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    li = li.where("l_quantity = 50 and l_tax = 0").select("l_suppkey", "l_partkey")
+    li = li.select("l_suppkey", "l_partkey").distinct()
     return li.join(p.select("p_partkey", "p_type"), li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("service_key"), _named(F.col("p_type"), PART_TYPES).alias("category")).distinct()
 
 
 def site_services(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    li = li.where("l_quantity >= 45").select("l_orderkey", "l_suppkey")
+    li = li.select("l_orderkey", "l_suppkey")
     return o.select("o_orderkey", "o_custkey").join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("site_key"), F.col("l_suppkey").alias("service_key")).distinct()
 
 
@@ -117,6 +117,6 @@ services as (
     case when s_suppkey % 4 <> 3 then 'https://' || lower(n_name) || '.example.com/privacy/' || (s_suppkey % 5) end policy_url,
     case when s_suppkey % 3 = 0 then 'domains/a.json' end radar_file, case when s_suppkey % 3 = 1 then 'patterns/b.eno' end pattern_file
   from supplier join nation on s_nationkey = n_nationkey),
-cats as (select distinct l_suppkey service_key, {_case('p_type', PART_TYPES)} category from lineitem join part on l_partkey = p_partkey where l_quantity = 50 and l_tax = 0),
-pairs as (select distinct o_custkey site_key, l_suppkey service_key from orders join lineitem on o_orderkey = l_orderkey where l_quantity >= 45),
+cats as (select distinct l_suppkey service_key, {_case('p_type', PART_TYPES)} category from lineitem join part on l_partkey = p_partkey),
+pairs as (select distinct o_custkey site_key, l_suppkey service_key from orders join lineitem on o_orderkey = l_orderkey),
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -94,8 +95,9 @@ def to_bool(value: Column) -> Column:
 
 
 def estimate_tokens(amount: Column, unit: Column) -> Column:
-    """Of words (times 1.33), kilobytes (times 256) or characters (a quarter)."""
-    return F.round(F.when(unit == "words", amount * 1.33).when(unit == "kb", amount * 1024 / 4).otherwise(amount / 4)).cast("long")
+    """Of tokens, words (times 1.33), kilobytes (times 256) or characters (a quarter); negative amounts count as 0."""
+    v = F.greatest(amount.cast("double"), F.lit(0.0))
+    return F.floor(F.when(unit == "tokens", v).when(unit == "words", v * 1.33).when(unit == "kb", v * 1024 / 4).otherwise(v / 4) + 0.5)
 
 
 def match_count(text: Column, needle: Column) -> Column:
@@ -133,12 +135,27 @@ def site_status(home_ok: Column, has_policy: Column, reason: Column, error: Colu
     return F.when(F.coalesce(error, F.lit("")) != "", "exception").when(no(home_ok), "home_fetch_failed").when(no(has_policy) & reason.isNotNull(), "non_browsable").when(no(has_policy), "policy_not_found").otherwise("ok")
 
 
-def annotation_cost(chars: Column, per_chunk: int = 2000, out_tokens: tuple[int, int, int] = (200, 400, 800), usd_in: float = 0.15, usd_out: float = 0.6) -> dict[str, Column]:
-    """Chunks and low, typical and high token and dollar bands of annotating a text of so many characters."""
-    chunks = F.greatest(F.ceil(chars / per_chunk), F.lit(1)).cast("long")
-    tokens_in = F.round(chars / 4).cast("long")
-    out = {"chunks": chunks, "tokens_in": tokens_in}
-    for band, n in zip(("low", "typical", "high"), out_tokens, strict=True):
-        out[f"tokens_out_{band}"] = chunks * n
-        out[f"usd_{band}"] = (tokens_in * usd_in + chunks * n * usd_out) / 1e6
+def _rounded(c: Column) -> Column:
+    return F.floor(c + 0.5)
+
+
+def annotation_cost(amount: Column, unit: Column, model: Column | None = None, token_limit: int = 500, exhaustion_check: bool = True) -> dict[str, Column]:
+    """Tokens, chunks, and low, typical and high prompt and output tokens and dollars of annotating a text of so many units.
+
+    A chunk brings 0.78 of the token limit in new text. Every chunk adds a prompt and, where the
+    check for exhausted chunks is on, 0.45 further calls. Unknown models cost what the default one does.
+    """
+    tokens = F.greatest(F.lit(1).cast("long"), estimate_tokens(amount, unit))
+    per_chunk = max(120, math.floor(max(100, token_limit) * 0.78 + 0.5))
+    chunks = F.greatest(F.lit(1).cast("long"), F.ceil(tokens / per_chunk))
+    out = {"tokens": tokens, "chunks": chunks}
+    default = K.MODEL_PRICES["gpt-4o-mini"]
+    price = [F.lit(default[side]) for side in (0, 1)]
+    if model is not None:
+        price = [F.coalesce(F.create_map(*[F.lit(x) for m, p in K.MODEL_PRICES.items() for x in (m, p[side])])[model], F.lit(default[side])) for side in (0, 1)]
+    for band, (factor, prompt, call, share) in K.COST_BANDS.items():
+        more = prompt + (math.floor(0.45 * call + 0.5) if exhaustion_check else 0)
+        out[f"tokens_in_{band}"] = _rounded(tokens * factor + chunks * more)
+        out[f"tokens_out_{band}"] = _rounded(tokens * share)
+        out[f"usd_{band}"] = out[f"tokens_in_{band}"] / 1e6 * price[0] + out[f"tokens_out_{band}"] / 1e6 * price[1]
     return out

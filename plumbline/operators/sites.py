@@ -36,8 +36,8 @@ def unique_ranked(ranked: DataFrame, n: int, start_after: int = 0, suffixes: lis
 
 
 def load_dataset(sites: DataFrame, n: int, start_after: int = 0) -> DataFrame:
-    """Rows of (seq, tranco_id, domain, ...) after a rank first, then each domain's first row, in file order, the first n."""
-    rank = F.coalesce(F.expr("try_cast(trim(tranco_id) as int)"), F.col("seq").cast("int"))
+    """Rows of (seq: number of the row, from 1; tranco_id, domain, ...) after a rank first, then each domain's first row, in file order, the first n."""
+    rank = F.coalesce(F.expr("try_cast(trim(tranco_id) as bigint)"), F.col("seq"))
     df = sites.withColumns({"rank": rank, "__key": F.lower(F.trim("domain"))}).where("__key <> ''").where(F.col("rank") > start_after)
     first = F.row_number().over(Window.partitionBy("__key").orderBy("seq"))
     return df.withColumn("__at", first).where("__at = 1").drop("__at", "__key").orderBy("seq").limit(n)

@@ -177,11 +177,16 @@ def _forms(word: str) -> list[str]:
 
 
 def phrase_pattern(phrase: str) -> re.Pattern:
-    """Matches a phrase with other forms of its words and other marks between them."""
-    parts = []
-    for word, mark in re.findall(r"(\w+)|([^\w\s]+)", phrase):
-        parts.append("(?:" + "|".join(map(re.escape, _forms(word))) + ")" if word else f"(?:{re.escape(mark)})?")
-    return re.compile(r"\W*".join(parts) or r"(?!)", re.I)
+    """Matches a phrase with other forms of its words and other marks between them; words that a space parts stay apart."""
+    out, owed = "", False  # owed: white space since the last word
+    for space, word, mark in re.findall(r"(\s*)(?:(\w+)|([^\w\s]+))", phrase):
+        owed = owed or bool(space)
+        if word:
+            out += (r"\W+" if owed else r"\W*") * bool(out) + "(?:" + "|".join(map(re.escape, _forms(word))) + ")"
+            owed = False
+        elif not out:
+            out = f"(?:{re.escape(mark)})?"
+    return re.compile(out or r"(?!)", re.I)
 
 
 def align(blocks: list[dict], text: str, statement: dict) -> dict:

@@ -90,14 +90,14 @@ def site_categories(results: DataFrame, n: int = 20) -> DataFrame:
 
 
 def entities(results: DataFrame, n: int = 20, n_categories: int = 3) -> DataFrame:
-    """Entities by occurrences, with mean prevalence over all of them, largest prevalence and top categories."""
+    """Entities by occurrences, with mean prevalence over all of them, largest prevalence (both null where none is known) and top categories."""
     o = occurrences(results).where(F.trim("entity") != "").where("service_key is not null")
-    base = o.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("prevalence"), F.lit(0.0)).alias("total"), F.greatest(F.max("prevalence"), F.lit(0.0)).alias("prevalence_max"))
+    base = o.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("prevalence").alias("total"), F.when(F.count("prevalence") > 0, F.greatest(F.max("prevalence"), F.lit(0.0))).alias("prevalence_max"))
     base = top(base, n, "entity")
     cats = o.select("entity", F.explode("categories").alias("category")).groupBy("entity", "category").agg(F.count(F.lit(1)).alias("c"))
     ranked = cats.withColumn("at", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("c"), "category"))).where(F.col("at") <= n_categories)
     names = ranked.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "category"))), lambda x: x["category"]), ", ").alias("categories"))
-    return base.join(names, "entity", "left").select("entity", "n", (F.col("total") / F.col("n")).alias("prevalence_avg"), F.coalesce("prevalence_max", F.lit(0.0)).alias("prevalence_max"), F.coalesce("categories", F.lit("")).alias("categories"))
+    return base.join(names, "entity", "left").select("entity", "n", (F.col("total") / F.col("n")).alias("prevalence_avg"), "prevalence_max", F.coalesce("categories", F.lit("")).alias("categories"))
 
 
 def _grid(spark) -> DataFrame:

@@ -21,13 +21,13 @@ def audit_backlog(results: DataFrame, verified: DataFrame, overrides: DataFrame,
 
 
 def consistency_pairs(results: DataFrame, texts: DataFrame) -> DataFrame:
-    """Sites with a policy by their third parties with one, with both texts' lengths and word counts."""
+    """Of each run, sites with a policy by their third parties with one, with both texts' lengths and word counts."""
     from plumbline.functions.text import space_words
 
-    t = texts.select("site_etld1", "service_domain", F.length("text").alias("chars"), space_words(F.col("text")).alias("words"))
-    own = t.where("service_domain is null").select("site_etld1", F.col("chars").alias("site_chars"), F.col("words").alias("site_words"))
-    pairs = results.where("status = 'ok'").select("site_etld1", F.explode("third_parties").alias("tp")).where("tp.policy_url <> ''").select("site_etld1", F.col("tp.third_party_etld1").alias("service_domain"), F.col("tp.policy_url").alias("policy_url"))
-    return pairs.join(own, "site_etld1").join(t.where("service_domain is not null"), ["site_etld1", "service_domain"], "left")
+    t = texts.select("run_id", "site_etld1", "service_domain", F.length("text").alias("chars"), space_words(F.col("text")).alias("words"))
+    own = t.where("service_domain is null").select("run_id", "site_etld1", F.col("chars").alias("site_chars"), F.col("words").alias("site_words"))
+    pairs = results.where("status = 'ok'").select("run_id", "site_etld1", F.explode("third_parties").alias("tp")).where("tp.policy_url <> ''").select("run_id", "site_etld1", F.col("tp.third_party_etld1").alias("service_domain"), F.col("tp.policy_url").alias("policy_url"))
+    return pairs.join(own, ["run_id", "site_etld1"]).join(t.where("service_domain is not null"), ["run_id", "site_etld1", "service_domain"], "left")
 
 
 def line_window(lines: DataFrame, offset: int = 0, limit: int = 250) -> DataFrame:

@@ -110,10 +110,24 @@ def _(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", F.round(X.policy_likeliness(F.col("text")), 6).alias("score"))
 
 
-@query("token_cost", "select doc_id, greatest(ceil(length(text) / 2000), 1)::bigint chunks, round(length(text) / 4)::bigint tokens_in, (greatest(ceil(length(text) / 2000), 1) * 400)::bigint tokens_out_typical, round((round(length(text) / 4) * 0.15 + greatest(ceil(length(text) / 2000), 1) * 400 * 0.6) / 1e6, 9) usd_typical from documents")
-def _(spark, sf):
-    c = X.annotation_cost(F.length("text"))
-    return A.table(spark, sf, "documents").select("doc_id", c["chunks"].alias("chunks"), c["tokens_in"].alias("tokens_in"), c["tokens_out_typical"].alias("tokens_out_typical"), F.round(c["usd_typical"], 9).alias("usd_typical"))
+@query("token_cost", """
+with a as (
+  select doc_id, unit, model, floor(v + 0.5) t0, p_in, p_out from (
+    select doc_id, unit, case unit when 'tokens' then length(text)::double when 'words' then len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::double * 1.33::double when 'kb' then length(text)::double * 1024 / 4 else length(text)::double / 4 end v
+    from documents, (values ('tokens'), ('words'), ('kb'), ('chars')) u(unit)),
+    (values ('gpt-4o-mini', 0.15::double, 0.6::double), ('gpt-4o', 2.5, 10), ('gpt-4-turbo', 10, 30), ('gpt-3.5-turbo', 0.5, 1.5), ('local', 0, 0), ('no such model', 0.15, 0.6)) m(model, p_in, p_out)),
+b as (select *, greatest(t0, 1) t, greatest(ceil(greatest(t0, 1) / 390), 1) c from a),
+d as (
+  select *, floor(t * 2.1::double + c * 858 + 0.5) il, floor(t * 3::double + c * 1175 + 0.5) it, floor(t * 4.2::double + c * 1615 + 0.5) ih,
+    floor(t * 0.16::double + 0.5) ol, floor(t * 0.28::double + 0.5) ot, floor(t * 0.45::double + 0.5) oh from b)
+select doc_id, unit, model, t::bigint tokens, c::bigint chunks, il::bigint tokens_in_low, it::bigint tokens_in_typical, ih::bigint tokens_in_high, ol::bigint tokens_out_low, ot::bigint tokens_out_typical, oh::bigint tokens_out_high,
+  round(il / 1e6 * p_in + ol / 1e6 * p_out, 9) usd_low, round(it / 1e6 * p_in + ot / 1e6 * p_out, 9) usd_typical, round(ih / 1e6 * p_in + oh / 1e6 * p_out, 9) usd_high from d""")
+def _(spark, sf):
+    d = A.table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"), X.space_words(F.col("text")).alias("words"))
+    each = F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(m).alias("model")) for u in ("tokens", "words", "kb", "chars") for m in ("gpt-4o-mini", "gpt-4o", "gpt-4-turbo", "gpt-3.5-turbo", "local", "no such model")])
+    d = d.select("doc_id", "chars", "words", F.explode(each).alias("x")).select("doc_id", "chars", "words", "x.*")
+    c = X.annotation_cost(F.when(F.col("unit") == "words", F.col("words")).otherwise(F.col("chars")), F.col("unit"), F.col("model"))
+    return d.select("doc_id", "unit", "model", *[(F.round(v, 9) if k.startswith("usd") else v).alias(k) for k, v in c.items()])
 
 
 @query("token_estimates", "select doc_id, round(length(text) / 4)::bigint by_chars, round(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.33)::bigint by_words from documents")
@@ -294,9 +308,9 @@ def _(spark, sf):
     return summary.site_categories(A.site_results(spark, sf))
 
 
-@query("entity_rollup", OCC + """, e as (select entity, count(*) n, coalesce(sum(prevalence), 0) t, greatest(max(prevalence), 0) m from occ where entity is not null group by 1 order by n desc, entity limit 20),
+@query("entity_rollup", OCC + """, e as (select entity, count(*) n, sum(prevalence) t, case when count(prevalence) > 0 then greatest(max(prevalence), 0) end m from occ where entity is not null group by 1 order by n desc, entity limit 20),
 c as (select entity, category, row_number() over (partition by entity order by count(*) desc, category) no from occ join ncats using (service_key) where entity is not null group by 1, 2)
-select entity, n, round(t / n, 6) prevalence_avg, round(coalesce(m, 0), 6) prevalence_max, coalesce((select string_agg(category, ', ' order by no) from c where c.entity = e.entity and no <= 3), '') categories from e""")
+select entity, n, round(t / n, 6) prevalence_avg, round(m, 6) prevalence_max, coalesce((select string_agg(category, ', ' order by no) from c where c.entity = e.entity and no <= 3), '') categories from e""")
 def _(spark, sf):
     return summary.entities(A.site_results(spark, sf)).withColumns({"prevalence_avg": F.round("prevalence_avg", 6), "prevalence_max": F.round("prevalence_max", 6)})
 
@@ -367,13 +381,13 @@ def _(spark, sf):
 
 
 @query("consistency_pairs", P + """x as (select 1), t as (select doc_id, length(text) chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) words from documents)
-select s.site site_etld1, v.service_domain, v.policy_url, a.chars::int site_chars, a.words::int site_words, b.chars::int chars, b.words::int words from sites s join pairs using (site_key) join services v using (service_key) join t a on a.doc_id = s.doc_id left join t b on b.doc_id = v.service_key * 10 where s.status = 'ok' and v.policy_url is not null""")
+select s.run_id, s.site site_etld1, v.service_domain, v.policy_url, a.chars::int site_chars, a.words::int site_words, b.chars::int chars, b.words::int words from sites s join pairs using (site_key) join services v using (service_key) join t a on a.doc_id = s.doc_id left join t b on b.doc_id = v.service_key * 10 where s.status = 'ok' and v.policy_url is not null""")
 def _(spark, sf):
     d = A.table(spark, sf, "documents").select("doc_id", "text")
     c = _catalog(spark, sf)
-    own = c.site_policies.select("site_etld1", F.lit(None).cast("string").alias("service_domain"), F.col("document_id").alias("doc_id"))
-    tp = c.site_services.where("fetched_policy_document_id is not null").select("site_etld1", "service_domain", F.col("fetched_policy_document_id").alias("doc_id"))
-    return views.consistency_pairs(A.site_results(spark, sf), own.union(tp).join(d, "doc_id").select("site_etld1", "service_domain", "text"))
+    own = c.site_policies.select("run_id", "site_etld1", F.lit(None).cast("string").alias("service_domain"), F.col("document_id").alias("doc_id"))
+    tp = c.site_services.where("fetched_policy_document_id is not null").select("run_id", "site_etld1", "service_domain", F.col("fetched_policy_document_id").alias("doc_id"))
+    return views.consistency_pairs(A.site_results(spark, sf), own.union(tp).join(d, "doc_id").select("run_id", "site_etld1", "service_domain", "text"))
 
 
 @query("result_upsert", """

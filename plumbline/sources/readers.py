@@ -21,11 +21,24 @@ def read_jsonl_lenient(spark: SparkSession, path: str, fields: str) -> DataFrame
     return df.withColumns({"_error": F.when(F.col("_corrupt").isNotNull(), "invalid_json"), "raw": F.col("_corrupt")}).drop("_corrupt")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with seq, the number of the row from 1 without gaps. The driver gets one count for each partition."""
+    df = df.withColumn("__at", F.monotonically_increasing_id())  # partition in the upper bits, row in the lower 33
+    part = F.shiftright("__at", 33)
+    sizes = {r.p: r.n for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p] = total
+        total += sizes[p]
+    first = F.create_map(*[F.lit(x).cast("long") for item in before.items() for x in item])[part] if before else F.lit(0)
+    return df.withColumn("seq", first + F.col("__at") - F.shiftleft(part, 33) + 1).drop("__at")
+
+
 def read_site_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Site list with a header, every column as text; seq is the place in the file."""
-    df = spark.read.option("header", True).csv(path)
+    """Site list with a header, every column as text; seq is the row's number in the file, from 1."""
+    df = numbered(spark.read.option("header", True).csv(path))
     names = [f.name for f in schema("site_csv").fields]
-    return df.select(F.monotonically_increasing_id().alias("seq"), *[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in names])
+    return df.select("seq", *[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in names])
 
 
 def read_site_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -120,3 +120,31 @@ def test_event_frames(spark):
 @pytest.mark.parametrize("name", ["site_result", "policy_cache", "event", "tracker_entry"])
 def test_schemas_parse(name):
     assert len(schema(name)) > 5
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    from plumbline.operators import sites
+    from plumbline.sources import readers
+
+    df = readers.numbered(spark.range(0, 1000, 1, 7).withColumn("domain", F.concat(F.lit("d"), F.col("id").cast("string"))))
+    assert all(r.seq == r.id + 1 for r in df.collect())
+    got = sites.load_dataset(df.select("seq", "domain", F.lit(None).cast("string").alias("tranco_id")), 5, 990).collect()
+    assert [(r.domain, r["rank"]) for r in got] == [(f"d{i}", i + 1) for i in range(990, 995)]
+
+
+def test_phrases_keep_words_apart():
+    from plumbline.operators.statements import phrase_pattern
+
+    assert phrase_pattern("no tice").search("a notice") is None and phrase_pattern("no tice").search("no  tice")
+    assert phrase_pattern("e-mail address").search("Email addresses") and phrase_pattern("share, data").search("shares data")
+
+
+def test_cost_bands(spark):
+    from plumbline.functions import text as X
+
+    c = X.annotation_cost(F.lit(4000), F.lit("chars"), F.lit("gpt-4o"))
+    r = spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first()
+    assert (r.tokens, r.chunks, r.tokens_in_low, r.tokens_out_low) == (1000, 3, 2100 + 3 * 858, 160)
+    assert abs(r.usd_high - ((4200 + 3 * 1615) * 2.5 + 450 * 10) / 1e6) < 1e-12
+    est = lambda n, u: spark.range(1).select(X.estimate_tokens(F.lit(n), F.lit(u)).alias("x")).first().x
+    assert [est(10, "tokens"), est(10, "words"), est(2, "kb"), est(10, "chars"), est(-5, "words")] == [10, 13, 512, 3, 0]
