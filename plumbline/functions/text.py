@@ -107,9 +107,18 @@ def match_count(text: Column, needle: Column) -> Column:
 
 
 def format_eta(ms: Column) -> Column:
-    s = F.ceil(ms / 1000).cast("long")
+    """Rounded seconds as 1h 02m, 3m 04s or 5s; 0s for null and for no time left."""
+    s = F.floor(F.coalesce(F.greatest(ms, F.lit(0)), F.lit(0)) / 1000 + 0.5).cast("long")
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
-    return F.when(ms.isNull() | (ms < 0), None).when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, s % 60)).otherwise(F.format_string("%ds", s))
+
+
+def status_label(status: Column) -> Column:
+    """How a site's status is shown; unknown ones as they are."""
+    shown = status
+    for name, label in K.STATUS_LABELS.items():
+        shown = F.when(status == name, label).otherwise(shown)
+    return shown
 
 
 def looks_like_html(html: Column, need_link: bool = False) -> Column:
@@ -135,6 +144,13 @@ def site_status(home_ok: Column, has_policy: Column, reason: Column, error: Colu
     return F.when(F.coalesce(error, F.lit("")) != "", "exception").when(no(home_ok), "home_fetch_failed").when(no(has_policy) & reason.isNotNull(), "non_browsable").when(no(has_policy), "policy_not_found").otherwise("ok")
 
 
+def site_error(status: Column, error: Column, stage: Column) -> tuple[Column, Column]:
+    """Error code and stage of a status: timeouts have a code of their own, other exceptions none; only exceptions have a stage."""
+    broke = status == "exception"
+    code = F.when(broke & F.startswith(error, F.lit("site_timed_out_after_")), "site_timeout").when(~broke & (status != "ok"), status)
+    return code, F.when(broke, stage)
+
+
 def _rounded(c: Column) -> Column:
     return F.floor(c + 0.5)
 

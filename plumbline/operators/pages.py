@@ -59,12 +59,21 @@ def choose_policy(fetched: DataFrame) -> DataFrame:
     return a.select("url", F.coalesce("first.target", "best.target").alias("policy_target"), F.col("first").isNotNull().alias("is_good"))
 
 
+def top_candidates(candidates: DataFrame, n: int = 25) -> DataFrame:
+    """Of each page's candidates (url, target, score, ord, ...) the n best as one array, best first, the earlier on ties."""
+    best = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("score"), "ord"))
+    fields = [c for c in candidates.columns if c not in ("url", "ord")]
+    df = candidates.withColumn("at", best).where(F.col("at") <= n)
+    return df.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", *fields))), lambda c: F.struct(*[c[f].alias(f) for f in fields])).alias("candidates_top"))
+
+
 def page_quality(pages: DataFrame) -> DataFrame:
-    """url, text_len, n_links, is_html, reason (why it is not browsable, or null), likeliness: from each page's visible text."""
+    """url, text_len, n_links, is_html, reason (why it is not browsable, or null), likeliness: from each page's visible text and, where it is there, its status_code."""
+    status = F.col("status_code") if "status_code" in pages.columns else F.lit(None).cast("int")
     text = visible_text(F.col("html"))
     links = F.regexp_count("html", F.lit(r"(?is)<a\b[^>]*\bhref\b"))
-    df = pages.select("url", "html", text.alias("text"), links.alias("n_links"))
-    return df.select("url", F.length("text").alias("text_len"), "n_links", X.looks_like_html(F.col("html")).alias("is_html"), X.non_browsable_reason(F.lit(None).cast("int"), F.col("text"), F.col("n_links")).alias("reason"), X.policy_likeliness(F.col("text")).alias("likeliness"))
+    df = pages.select("url", "html", status.alias("status"), text.alias("text"), links.alias("n_links"))
+    return df.select("url", F.length("text").alias("text_len"), "n_links", X.looks_like_html(F.col("html")).alias("is_html"), X.non_browsable_reason(F.col("status"), F.col("text"), F.col("n_links")).alias("reason"), X.policy_likeliness(F.col("text")).alias("likeliness"))
 
 
 def visible_text(html):
@@ -116,14 +125,17 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def site_status(homes: DataFrame, policies: DataFrame) -> DataFrame:
-    """Status of each site from its home page (site, home_ok, reason, error) and its policy (site, policy_url)."""
+    """Status, error code and stage of each site from its home page (site, home_ok, reason, error and, where it is there, stage) and its policy (site, policy_url)."""
     df = homes.join(policies.select("site", F.col("policy_url").isNotNull().alias("has_policy")), "site", "left")
-    return df.withColumn("status", X.site_status(F.col("home_ok"), F.col("has_policy"), F.col("reason"), F.col("error"))).select("site", "status", F.when(F.col("status") == "non_browsable", F.col("reason")).alias("non_browsable_reason"))
+    df = df.withColumn("status", X.site_status(F.col("home_ok"), F.col("has_policy"), F.col("reason"), F.col("error")))
+    code, stage = X.site_error(F.col("status"), F.col("error"), F.col("stage") if "stage" in homes.columns else F.lit(None).cast("string"))
+    return df.select("site", "status", F.when(F.col("status") == "non_browsable", F.col("reason")).alias("non_browsable_reason"), code.alias("error_code"), stage.alias("error_stage"))
 
 
 def assemble_records(status: DataFrame, policies: DataFrame, mapped: DataFrame, fetches: DataFrame) -> DataFrame:
-    """One nested record for each site: its policy, its mapped third parties with their fetch method, its fetches."""
-    f = fetches.select("site", "third_party_etld1", "fetch_success", "status_code", "text_len", "extraction_method").dropDuplicates(["site", "third_party_etld1"])
+    """One nested record for each site: its policy, its mapped third parties with their fetch method, its fetches with the lengths of raw and clean text. Of repeated fetches the one with the most text stays."""
+    fields = [c for c in ("fetch_success", "status_code", "text_len", "text_len_raw", "extraction_method") if c in fetches.columns]
+    f = fetches.groupBy("site", "third_party_etld1").agg(F.max(F.struct("text_len", *[c for c in fields if c != "text_len"])).alias("f")).select("site", "third_party_etld1", *[F.col(f"f.{c}").alias(c) for c in fields])
     tps = mapped.join(f.select("site", "third_party_etld1", F.col("extraction_method").alias("policy_extraction_method")), ["site", "third_party_etld1"], "left")
     nest = lambda df, name: df.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("third_party_etld1", *[c for c in df.columns if c not in ("site", "third_party_etld1")]))).alias(name))
     pol = policies.select("site", F.struct(*[c for c in policies.columns if c != "site"]).alias("first_party_policy"))

@@ -8,9 +8,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import constants as K
+
 FIELDS = ["action", "data", "processor", "recipient", "purpose", "context"]
 PHRASES = "array<struct<block_index:int,phrase:string>>"
 CHUNKS = "array<struct<block_map:array<struct<index:int,start:int,end:int>>,text:string>>"
@@ -267,9 +269,10 @@ def statement_stats(statements: DataFrame) -> DataFrame:
     return a.select("statements", "documents", per(F.col("prohibitions"), F.col("statements"), 100).alias("prohibition_rate"), per(F.col("statements"), F.col("documents"), 1).alias("per_document"))
 
 
-def top_action(phrase_rows: DataFrame) -> DataFrame:
-    c = phrase_rows.where("field = 'action'").groupBy("doc_id", F.lower(F.trim("phrase")).alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("o"), "phrase")).alias("m")).select("doc_id", F.col("m.phrase").alias("top_action"))
+def top_action(phrase_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The most frequent action of each document, or site where key names one; ties by phrase."""
+    c = phrase_rows.where("field = 'action'").groupBy(key, F.lower(F.trim("phrase")).alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy(key).agg(F.min_by("phrase", F.struct(-F.col("n"), F.col("phrase"))).alias("top_action"))
 
 
 def block_coverage(phrase_rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -303,12 +306,18 @@ def highlight_spans(texts: DataFrame, needles: DataFrame, key: str = "doc_id") -
     return merge_spans(spans, [key])
 
 
-def mark_stale(status: DataFrame, now: str, reason: str = "interrupted") -> DataFrame:
-    """What was in progress becomes stopped, with the reason and the earlier status."""
-    from plumbline.functions.constants import IN_PROGRESS
+def set_status(rows: DataFrame, status: Column, now: str) -> DataFrame:
+    """Rows of annotation states with a new status: work that begins gets its first started_at, work that ends its finished_at."""
+    df = rows.withColumns({"status": status, "updated_at": F.lit(now)})
+    begins, ends = F.col("status").isin(K.IN_PROGRESS), F.col("status").isin(K.TERMINAL)
+    return df.withColumns({"started_at": F.when(begins, F.coalesce("started_at", F.lit(now))).otherwise(F.col("started_at")), "finished_at": F.when(ends, F.lit(now)).otherwise(F.col("finished_at"))})
+
 
-    stale = F.col("status").isin(IN_PROGRESS)
-    return status.withColumns({"previous_status": F.when(stale, F.col("status")).otherwise(F.col("previous_status")), "reason": F.when(stale, reason).otherwise(F.col("reason")), "finished_at": F.when(stale, now).otherwise(F.col("finished_at")), "updated_at": F.when(stale, now).otherwise(F.col("updated_at")), "status": F.when(stale, "stopped").otherwise(F.col("status"))})
+def mark_stale(status: DataFrame, now: str, reason: str = K.STALE_REASON) -> DataFrame:
+    """What was in progress becomes stopped and finished now, with the reason and the earlier status."""
+    stale = F.col("status").isin(K.IN_PROGRESS)
+    to = lambda c, new: F.when(stale, new).otherwise(F.col(c))
+    return status.withColumns({"previous_status": to("previous_status", F.col("status")), "reason": to("reason", F.lit(reason)), "finished_at": to("finished_at", F.lit(now)), "updated_at": to("updated_at", F.lit(now)), "status": to("status", F.lit("stopped"))})
 
 
 def annotation_stats(status: DataFrame, statements: DataFrame) -> DataFrame:
@@ -321,7 +330,8 @@ def annotation_stats(status: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def entity_sets(statements: DataFrame) -> DataFrame:
-    """Of each document and chunk: distinct lower-case action, data, processor and purpose phrases, and prohibitions."""
-    p = phrases(statements).where(F.col("field").isin("action", "data", "processor", "purpose"))
-    s = p.groupBy("doc_id", "chunk_index").agg(*[F.array_sort(F.collect_set(F.when(F.col("field") == f, F.lower("phrase")))).alias(f) for f in ("action", "data", "processor", "purpose")])
-    return s.join(statements.groupBy("doc_id", "chunk_index").agg(F.count_if("prohibition").alias("prohibitions")), ["doc_id", "chunk_index"])
+    """Of each document and chunk, and site and round where they are there: distinct lower-case action, data, processor and purpose phrases, and prohibitions."""
+    keys = [k for k in ("site", "doc_id", "chunk_index", "round") if k in statements.columns]
+    fields = ("action", "data", "processor", "purpose")
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform(f, lambda p: F.lower(p["phrase"])))))).alias(f) for f in fields]
+    return statements.groupBy(*keys).agg(*sets, F.count_if("prohibition").alias("prohibitions"))

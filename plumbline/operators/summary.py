@@ -117,6 +117,11 @@ def density_heatmap(results: DataFrame) -> DataFrame:
     return df.select("website_order", "website_category", "service_order", "service_category", n.alias("sites_with"), t.alias("sites_total"), F.when(t > 0, F.round(n / t * 100, 4)).otherwise(0.0).alias("pct"), (n == 0).alias("zero_overlap"))
 
 
+def heatmap_peak(heatmap: DataFrame) -> DataFrame:
+    """The largest share of the grid, for its scale; 0 without sites."""
+    return heatmap.agg(F.coalesce(F.max("pct"), F.lit(0.0)).alias("max_pct"))
+
+
 def figure_entities(results: DataFrame, n: int = 15) -> DataFrame:
     """English sites: categories of the top entities with their share of the entity's category counts."""
     o = occurrences(results).where("policy_is_english").where(F.trim("entity") != "")
@@ -136,13 +141,14 @@ def figure_distribution(results: DataFrame) -> DataFrame:
     return F.broadcast(order).join(web.unionByName(svc), ["kind", "category"], "left").select("kind", "position", "category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def figure_overview(results: DataFrame) -> DataFrame:
+def figure_overview(results: DataFrame, targeted: int | None = None) -> DataFrame:
+    """Sites asked for (at least those processed), processed and English ones, and the services of the English ones."""
     o = occurrences(results.where("policy_is_english"))
     uniq = lambda cond: F.count_distinct(F.when(cond, F.col("count_key")))
     a = o.agg(uniq(F.lit(True)).alias("unique_services"), uniq(F.col("mapped")).alias("mapped_services"), uniq(F.col("mapped") & F.col("has_policy")).alias("services_with_policy"))
     s = results.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.coalesce("policy_is_english", F.lit(False))).alias("english"))
     pct = F.when(F.col("unique_services") > 0, F.round(F.col("mapped_services") / F.col("unique_services") * 100, 4)).otherwise(0.0)
-    return s.crossJoin(a).withColumn("coverage_pct", pct)  # one row each
+    return s.crossJoin(a).withColumns({"coverage_pct": pct, "targeted": F.greatest("processed", F.lit(targeted or 0).cast("long"))})  # one row each
 
 
 def live_results(results: DataFrame) -> DataFrame:

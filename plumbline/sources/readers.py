@@ -81,6 +81,13 @@ def read_tracker_index(spark: SparkSession, path: str, source: str = "source_dom
     return df.select(F.lower("etld1").alias("etld1"), "e.*")
 
 
+def read_tree(spark: SparkSession, root: str, name: str = "*.json") -> DataFrame:
+    """Files under root as (path, text), paths from root on; for the trees that the tracker indexes are built from."""
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+    tail = root.rstrip("/").rsplit("/", 1)[-1]
+    return df.select(F.substring_index(F.col("_metadata.file_path"), f"/{tail}/", -1).alias("path"), F.col("value").alias("text"))
+
+
 def read_network_requests(df: DataFrame) -> DataFrame:
     """Requests and failed requests with a URL, from (site_url, network_requests array)."""
     r = df.select("site_url", F.explode("network_requests").alias("r")).select("site_url", "r.url", "r.event_type")

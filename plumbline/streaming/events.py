@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.functions import constants as K
 from plumbline.schemas import schema
 
 TYPES = ["run_started", "run_completed", "stage_started", "stage_finished", "site_started", "site_stage", "site_finished", "site_failed", "run_progress", "log"]
@@ -45,7 +46,21 @@ def replay(events: DataFrame, after: int, last: int = 500) -> DataFrame:
 
 
 def active_sites(events: DataFrame) -> DataFrame:
-    """Sites of each run that have started or moved on and not finished since; works on a batch and, in update mode, on a stream."""
+    """Sites of each run that have started or moved on and not finished since; a start of the run clears those before it.
+
+    Two aggregates and a join of a row for each run; active_sites_stream is the form for a stream.
+    """
+    start = events.where("type = 'run_started'").groupBy("run_id").agg(F.max("seq").alias("__start"))
+    last = _last_of_site(events).join(start, "run_id", "left")
+    return last.where(F.col("__start").isNull() | (F.col("seq") > F.col("__start"))).drop("__start")
+
+
+def active_sites_stream(events: DataFrame) -> DataFrame:
+    """The last event of each site that is under way, in update mode; a reader leaves out those before its run's last start."""
+    return _last_of_site(events)
+
+
+def _last_of_site(events: DataFrame) -> DataFrame:
     at = F.struct("seq", F.col("type").alias("type"), F.col("rank").alias("rank"))
     last = events.where(F.col("type").isin("site_started", "site_stage", "site_finished", "site_failed")).groupBy("run_id", "site").agg(F.max(at).alias("last"))
     return last.where(~F.col("last.type").isin("site_finished", "site_failed")).select("run_id", "site", F.col("last.type").alias("last_type"), F.col("last.rank").alias("rank"), F.col("last.seq").alias("seq"))
@@ -67,9 +82,17 @@ def recent_completed(events: DataFrame, n: int = 15, per_site: bool = False) ->
 
 def annotation_runs(events: DataFrame) -> DataFrame:
     """Of each (run_id, site): last status, and every metric's last value that was given."""
-    w = Window.partitionBy("run_id", "site").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = events.withColumns({m: F.last(m, ignorenulls=True).over(w) for m in METRICS}).withColumn("__at", F.row_number().over(Window.partitionBy("run_id", "site").orderBy(F.desc("seq"))))
-    return df.where("__at = 1").select("run_id", "site", "seq", "status", *[F.coalesce(m, F.lit(0)).alias(m) for m in METRICS])
+    given = lambda m: F.coalesce(F.max_by(m, F.when(F.col(m).isNotNull(), F.col("seq"))), F.lit(0))
+    return events.groupBy("run_id", "site").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"), *[given(m).alias(m) for m in METRICS])
+
+
+def annotation_totals(runs: DataFrame) -> DataFrame:
+    """Totals of each run over its sites' states: seen, processed (in a final state), completed, under way, tokens."""
+    state = F.col("status")
+    return runs.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("sites"), F.count_if(state.isin(K.TERMINAL)).alias("processed"), F.count_if(state.isin("completed", "reused")).alias("completed"), F.count_if(state.isin(K.IN_PROGRESS)).alias("active"),
+        F.sum(F.col("tokens_in").cast("long")).alias("tokens_in"), F.sum(F.col("tokens_out").cast("long")).alias("tokens_out"),
+    )
 
 
 def annotation_runs_stream(events: DataFrame) -> DataFrame:
@@ -142,19 +165,27 @@ def eta_samples(samples: DataFrame, hours: int = 6, most: int = 180) -> DataFram
     return df.withColumn("at", at).where(F.col("at") <= most).drop("last_ms", "at")
 
 
-def eta(samples: DataFrame, runs: DataFrame) -> DataFrame:
-    """Milliseconds left of each run (run_id, started_at_ms): 0.7 of the last 15 minutes' rate and 0.3 of the whole run's, or the one there is."""
+def eta(samples: DataFrame, runs: DataFrame, now_ms: Column | None = None) -> DataFrame:
+    """Milliseconds left of each run (run_id, started_at_ms): 0.7 of the last 15 minutes' rate and 0.3 of the whole run's, or the one there is.
+
+    The rate is taken at the last sample or, if that is later, now. The recent one starts at the
+    first sample of the window that is two sites back and 30 seconds away, else at the window's
+    first sample that is behind.
+    """
     last = samples.groupBy("run_id").agg(F.max(F.struct("timestamp_ms", "processed_sites", "total_sites")).alias("l"))
+    if now_ms is not None:
+        last = last.select("run_id", F.struct(F.greatest("l.timestamp_ms", now_ms).alias("timestamp_ms"), "l.processed_sites", "l.total_sites").alias("l"))
     df = samples.join(last, "run_id")
     sites, secs = F.col("l.processed_sites") - F.col("processed_sites"), (F.col("l.timestamp_ms") - F.col("timestamp_ms")) / 1000
-    near = (F.col("timestamp_ms") >= F.col("l.timestamp_ms") - 900_000) & (sites > 0) & (secs >= 30)
-    one = F.struct("timestamp_ms", (sites / secs).alias("rate"))
-    recent = df.groupBy("run_id", "l").agg(F.min(F.when(near & (sites >= 2), one)).alias("two"), F.min(F.when(near, one)).alias("any"))
+    near = (F.col("timestamp_ms") >= F.col("l.timestamp_ms") - 900_000) & (sites > 0)
+    one = F.struct("timestamp_ms", F.when(secs >= 30, sites / secs).alias("rate"))
+    recent = df.groupBy("run_id", "l").agg(F.min(F.when(near & (sites >= 2) & (secs >= 30), one)).alias("two"), F.min(F.when(near, one)).alias("any"))
     df = recent.join(runs, "run_id", "left")
     age = (F.col("l.timestamp_ms") - F.col("started_at_ms")) / 1000
-    life = F.when((F.col("started_at_ms") > 0) & (age >= 30) & (F.col("l.processed_sites") > 0), F.col("l.processed_sites") / age)
+    seen = F.col("l.processed_sites") > 0
+    life = F.when((F.col("started_at_ms") > 0) & (age >= 30) & seen, F.col("l.processed_sites") / age)
     fast = F.coalesce("two.rate", "any.rate")
-    rate = F.coalesce(fast * 0.7 + life * 0.3, fast, life)
+    rate = F.when(seen, F.coalesce(fast * 0.7 + life * 0.3, fast, life))
     left = F.greatest(F.col("l.total_sites") - F.col("l.processed_sites"), F.lit(0))
     return df.select("run_id", F.when(left == 0, 0).otherwise(F.ceil(left / rate * 1000)).cast("long").alias("eta_ms"))
 

@@ -55,7 +55,7 @@ def test_text_functions(spark):
     assert (got.a, got.b, got.c, got.d, got.e) == (True, False, True, 4, -10.0) and got.f == pytest.approx(2 / 400 - 1.5)
     reason = lambda code, t, n: one(spark, X.non_browsable_reason(F.lit(code), F.lit(t), F.lit(n)).alias("x")).x
     assert reason(503, "x", 9) == "http_status_503" and reason(200, "Access Denied " + "x" * 300, 9) == "error_page_text" and reason(200, "hi", 0) == "no_links_short_text" and reason(200, "hi", 1) == "very_sparse_page" and reason(200, "x" * 300, 0) is None
-    assert one(spark, X.string_list(F.array(F.lit(" a "), F.lit(""), F.lit("a"), F.lit("b"))).alias("a"), X.combine_errors(F.lit("x"), F.lit(" "), F.lit("y")).alias("b"), X.decode_list(F.lit("oops")).alias("c"), X.to_bool(F.lit(" YES")).alias("d"), X.match_count(F.lit("aAaa"), F.lit("aa")).alias("e"), X.format_eta(F.lit(3_725_000)).alias("f")) == Row(a=["a", "b"], b="x | y", c=[], d=True, e=2, f="1h 2m")
+    assert one(spark, X.string_list(F.array(F.lit(" a "), F.lit(""), F.lit("a"), F.lit("b"))).alias("a"), X.combine_errors(F.lit("x"), F.lit(" "), F.lit("y")).alias("b"), X.decode_list(F.lit("oops")).alias("c"), X.to_bool(F.lit(" YES")).alias("d"), X.match_count(F.lit("aAaa"), F.lit("aa")).alias("e"), X.format_eta(F.lit(3_725_000)).alias("f")) == Row(a=["a", "b"], b="x | y", c=[], d=True, e=2, f="1h 02m")
 
 
 def test_taxonomy(spark):
@@ -174,8 +174,11 @@ def test_mapping_takes_whole_entries(spark):
     reqs = spark.createDataFrame([("https://www.s.com", u, k) for u, k in (("https://x.t.com/a", "request"), ("https://s.com/b", "request"), ("ftp://z.com", "request"), ("https://q.com", "response"))], schema("network_request"))
     assert mapping.third_parties(reqs).first().third_parties == ["t.com"]
     pat = spark.createDataFrame([("p/a.eno", "name: A\ncategory: cat\norganization: org\n\n--- domains\n*.t.com\nu.org\n--- domains")], "path string, text string")
-    idx = mapping.trackerdb_index(pat, spark.createDataFrame([("org", "Org", "https://p", "o")], "org string, name string, privacy_policy_url string, path string"), spark.createDataFrame([("cat", "Cat")], "category string, name string"))
-    assert {r.etld1: (r.entity, r.categories) for r in idx.collect()} == {"t.com": ("Org", ["Cat"]), "u.org": ("Org", ["Cat"])}
+    more = spark.createDataFrame([("p/b.eno", "category: odd\n--- filters\nname: no\n--- filters\n--- domains\n\nv.com\nT.com\n"), ("p/c.eno", "--- domains\n--- domains\nname: C\nw.com: x")], "path string, text string")
+    files = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    idx = mapping.trackerdb_index(pat.union(more), files(("o/org.eno", "name: Org\nprivacyPolicyUrl: https://p")), files(("c/cat.eno", "name: Cat")))
+    got = {r.etld1: (r.entity, r.categories, r.policy_url, r.source_pattern_file, r.source_org_file) for r in idx.collect()}
+    assert got == {"t.com": ("Org", ["Cat", "odd"], "https://p", "p/a.eno", "o/org.eno"), "u.org": ("Org", ["Cat"], "https://p", "p/a.eno", "o/org.eno"), "v.com": ("b", ["odd"], None, "p/b.eno", None)}
 
 
 def test_plans_and_cache(spark):

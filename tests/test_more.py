@@ -65,10 +65,15 @@ def test_site_plan(spark):
 
 
 def test_radar_index_precedence(spark):
-    d = spark.createDataFrame([("A.com", "Own", "Disp", 0.5, ["x"], None, "ftp://no", "f1"), ("b.com", None, "Disp", None, [], "https://b", None, "f2")], "domain string, owner_name string, display_name string, prevalence double, categories array<string>, policy_url string, owner_policy_url string, source_file string")
-    e = spark.createDataFrame([("Own", "Shown", "https://own")], "name string, display_name string, policy_url string")
-    got = {r.etld1: (r.entity, r.policy_url) for r in mapping.radar_index(d, e).collect()}
-    assert got == {"a.com": ("Own", "https://own"), "b.com": ("Disp", "https://b")}
+    files = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    d = files(
+        ("d/a.json", '{"domain": "A.com", "owner": {"name": "Own", "displayName": "Disp", "policyUrl": "ftp://no"}, "prevalence": 0.5, "categories": ["x", 1]}'),
+        ("d/b.json", '{"domain": "b.com", "owner": {"name": "", "displayName": "Disp"}, "privacyPolicy": "https://b", "prevalence": {"overall": 2}}'),
+        ("d/c.com.json", '{"owner": "text", "entity": "Ent", "categories": "one", "prevalence": "0.5"}'), ("d/d.json", "no json"), ("d/e.json", "{}"), ("d/f.json", '{"domain": "b.com", "entity": "Last"}'),
+    )
+    e = files(("e/o.json", '{"name": "Own", "policy_url": "https://own"}'), ("e/Ent.json", '{"name": " ", "properties": {"policy": "https://ent"}}'))
+    got = {r.etld1: tuple(r[1:]) for r in mapping.radar_index(d, e).collect()}
+    assert got == {"a.com": ("Own", ["x"], 0.5, "https://own", "d/a.json"), "b.com": ("Last", [], None, None, "d/f.json"), "c.com": ("Ent", ["one"], None, "https://ent", "d/c.com.json")}
 
 
 def test_records(spark):
