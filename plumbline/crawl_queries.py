@@ -10,7 +10,7 @@ from plumbline.functions import text as X
 from plumbline.functions import urls
 from plumbline.operators import mapping, pages, sites, statements, summary, views
 from plumbline.plans import annotation
-from plumbline.queries import OCC, P, query
+from plumbline.queries import OCC, ORACLE_SQL, P, query
 from plumbline.streaming import events as E
 
 ANY = lambda col, words: "(" + " or ".join(f"contains({col}, '{w}')" for w in words) + ")"
@@ -122,10 +122,14 @@ _VISIBLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<sc
 _POLICY_SCORE = "least(len(list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> '')) / 400.0, 6.0) + least(" + " + ".join(f"contains(l, '{w}')::int" for w in K.POLICY_TERMS) + ", 6) * 1.2 - case when contains(l, 'cookie') and not " + ANY("l", ["privacy", "datenschutz", "confidential"]) + " then 1.5 else 0 end"
 
 
-@query("page_verdicts", rf"""
+_VERDICTS = rf"""
 with p as (select page_id, url, html, case when page_id % 17 = 0 then 404 else 200 end code, {_VISIBLE} t, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\b')) n from pages), q as (select *, lower(t) l from p)
 select url, length(t) text_len, n::int n_links, regexp_matches(html, '(?is)<\s*!doctype\s+html|<\s*html\b|<\s*head\b|<\s*body\b') is_html, case when code >= 400 then 'http_status_404' when regexp_matches(l, '{"|".join(K.ERROR_PAGES)}') then 'error_page_text' when length(t) < 200 and n = 0 then 'no_links_short_text' when length(t) < 80 and n <= 1 then 'very_sparse_page' end reason,
-  round(case when t = '' then -10 else {_POLICY_SCORE} end, 6) likeliness from q""")
+  round(case when t = '' then -10 else {_POLICY_SCORE} end, 6) likeliness from q"""
+ORACLE_SQL["page_quality"] = _VERDICTS.replace("then 404", "then 200")
+
+
+@query("page_verdicts", _VERDICTS)
 def _(spark, sf):
     p = A.table(spark, sf, "pages").withColumn("status_code", F.when(F.col("page_id") % 17 == 0, 404).otherwise(200))
     return pages.page_quality(p).withColumn("likeliness", F.round("likeliness", 6))

@@ -299,10 +299,14 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def highlight_spans(texts: DataFrame, needles: DataFrame, key: str = "doc_id") -> DataFrame:
     """All places, whatever the case, of each document's needles (key, field, phrase) in its text, merged."""
-    low, n = F.lower("text"), F.lower("phrase")
-    df = texts.join(needles.where("phrase <> ''"), key)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(low, i, F.length(n)) == n)
-    spans = df.select(key, "field", F.length("phrase").alias("size"), F.explode(starts).alias("s")).select(key, "field", (F.col("s") - 1).alias("start"), (F.col("s") - 1 + F.col("size")).alias("end"))
+    df = texts.join(needles.where("phrase <> ''"), key).withColumns({"low": F.lower("text"), "n": F.lower("phrase")})
+    # cut before every place, so that a place is the length of all pieces before it
+    before = F.concat(F.lit(r"(?=\Q"), F.replace("n", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    sizes = F.transform(F.split("low", before), F.length)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    later = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), none, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["starts"], F.array(a["at"] + x)).alias("starts")))["starts"]
+    starts = F.concat(F.when(F.startswith("low", F.col("n")), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), later)
+    spans = df.select(key, "field", F.length("phrase").alias("size"), F.explode(starts).alias("start")).select(key, "field", "start", (F.col("start") + F.col("size")).alias("end"))
     return merge_spans(spans, [key])
 
 

@@ -341,9 +341,9 @@ def _(spark, sf):
 
 
 @query("figure_overview", OCC + """, a as (select count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) mapped_services, count(distinct count_key) filter (mapped and policy_url is not null) services_with_policy from occ where en), s as (select count(*) processed, count(*) filter (en) english from res)
-select *, case when unique_services > 0 then round(mapped_services / unique_services * 100, 4) else 0.0 end coverage_pct from s, a""")
+select *, case when unique_services > 0 then round(mapped_services / unique_services * 100, 4) else 0.0 end coverage_pct, greatest(processed, 1000) targeted from s, a""")
 def _(spark, sf):
-    return summary.figure_overview(A.site_results(spark, sf))
+    return summary.figure_overview(A.site_results(spark, sf), 1000)
 
 
 @query("live_summary", OCC + """, a as (select count(*) total, count(*) filter (mapped) mapped, count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) unique_mapped, count(distinct count_key) filter (not mapped) unique_unmapped from occ),
@@ -472,7 +472,7 @@ def _(spark, sf):
 
 @query("page_quality")
 def _(spark, sf):
-    return pages.page_quality(A.table(spark, sf, "pages"))
+    return pages.page_quality(A.table(spark, sf, "pages")).withColumn("likeliness", F.round("likeliness", 6))
 
 
 @query("main_text")

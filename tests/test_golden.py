@@ -231,5 +231,8 @@ def test_statements(spark):
     assert statements.block_infos(ph, ch).count() == 2 and statements.entity_sets(st).first().prohibitions == 1 and statements.top_action(ph).first().top_action == "collect"
     spans = spark.createDataFrame([("d", 0, 5, "a"), ("d", 3, 9, "b"), ("d", 9, 12, "c")], "doc_id string, start int, end int, field string")
     assert sorted((r.start, r.end, r.field) for r in statements.merge_spans(spans, ["doc_id"]).collect()) == [(0, 9, "a"), (9, 12, "c")]
+    texts = spark.createDataFrame([("d", r"Aaa b\E. aaB\E."), ("e", ""), ("f", None)], "doc_id string, text string")
+    needles = spark.createDataFrame([(k, "a", p) for k in "def" for p in ("aa", r"B\E.")], "doc_id string, field string, phrase string")
+    assert sorted((r.doc_id, r.start, r.end) for r in statements.highlight_spans(texts, needles).collect()) == [("d", 0, 3), ("d", 4, 8), ("d", 9, 11), ("d", 11, 15)]
     status = spark.createDataFrame([("s", None, "extracting"), ("t", None, "completed")], "site string, tp string, status string").withColumns({c: F.lit(None).cast("string") for c in ("previous_status", "reason", "finished_at", "updated_at")})
     assert {r.site: (r.status, r.previous_status) for r in statements.mark_stale(status, "now").collect()} == {"s": ("stopped", "extracting"), "t": ("completed", None)}
