@@ -9,13 +9,15 @@ each hit is verified with Myers' bit-parallel edit distance in the window
 where the item would have to lie.
 
 The items are dealt into blocks of bounded size; each block is one pass over the
-documents and is all that is broadcast, so any number of items can be searched.
+documents and is all that is broadcast. Where there is more than one block, a pass
+is written to the shared folder and its block given up before the next is read, so
+any number of items is searched with the memory of one block.
 
 Defined results: null or empty texts and items match nothing; an item repeated
 under one id counts once; an item shorter than min_chars must occur exactly,
 between word ends; rows of one doc_id are searched row by row and the best match
-per (doc_id, item_id) is returned; null ids are kept as ids. Other columns of
-both tables are ignored.
+per (doc_id, item_id) is returned; null ids are kept as ids. drop_leaks judges every row
+by its own text, whatever its id. Other columns of both tables are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import SLICE_ROWS, ids_join, materialize
+from plumbline.llm.common import SLICE_ROWS, materialize
 
 #: Characters of one edit's share of an item; shorter items allow no edit; characters of items in a broadcast block.
 CHARS_PER_EDIT, MIN_CHARS, BLOCK_CHARS = 16, 32, 4_000_000
@@ -132,38 +135,72 @@ def read_items(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[in
     return item_blocks(((r.item_id, t) for r in rows.toLocalIterator() if (t := normal(r.text))), block_chars)
 
 
+def _search(docs: DataFrame, block: Broadcast, item_type: pa.DataType, schema: str, chars_per_edit: int, min_chars: int) -> DataFrame:
+    """Matches of one block of items in every row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block.value, chars_per_edit, min_chars)
+        for batch in batches:
+            rows = []
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                for j, text in enumerate(batch.column(1).slice(i, SLICE_ROWS).to_pylist(), i):
+                    rows += [(j, *hit) for hit in matcher.find(text)]
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            items = pa.array([r[1] for r in rows]).cast(item_type)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": items, **{c: pa.array([r[k] for r in rows], pa.int32()) for k, c in enumerate(("distance", "start", "end"), 2)}})
+
+    return docs.mapInArrow(run, schema)
+
+
+def _clean(docs: DataFrame, block: Broadcast, chars_per_edit: int, min_chars: int) -> DataFrame:
+    """The rows of docs in which no item of the block occurs; every row is judged by its own text."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block.value, chars_per_edit, min_chars)
+        for batch in batches:
+            kept: list[bool] = []
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                kept += [not matcher.find(text) for text in batch.column(at).slice(i, SLICE_ROWS).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _one_block(benchmark: DataFrame, block_chars: int) -> bool:
+    """Whether all items fit in one block, before they are normalised."""
+    size = benchmark.agg(F.coalesce(F.sum(F.length("text") + 2), F.lit(0)).alias("n")).first()
+    return size.n <= block_chars
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end: every test item that occurs in a document within its error budget."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start int, end int"
-    docs = docs.select("doc_id", "text")
-    parts = []
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    docs, single = docs.select("doc_id", "text"), _one_block(benchmark, block_chars)
+    out = None
     for block in read_items(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, chars_per_edit, min_chars)
-            for batch in batches:
-                ids, rows = batch.column(0), []
-                for i in range(0, batch.num_rows, SLICE_ROWS):
-                    for j, text in enumerate(batch.column(1).slice(i, SLICE_ROWS).to_pylist(), i):
-                        rows += [(j, *hit) for hit in matcher.find(text)]
-                cols = [ids.take(pa.array([r[0] for r in rows], pa.int64()))]
-                yield pa.RecordBatch.from_pydict({"doc_id": cols[0], "item_id": pa.array([r[1] for r in rows]).cast(item_type), **{c: pa.array([r[k] for r in rows], pa.int32()) for k, c in enumerate(("distance", "start", "end"), 2)}})
-
-        item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-        parts.append(docs.mapInArrow(run, schema))
-    if not parts:
+        part = _search(docs, sent, item_type, schema, chars_per_edit, min_chars)
+        if not single:  # written at once, so that no block outlives its pass
+            part = materialize(part)
+            sent.destroy()
+        out = part if out is None else out.union(part)
+    if out is None:
         return spark.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
     best = F.min(F.struct("distance", "start", "end")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.distance", "best.start", "best.end")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no test item occurs."""
-    bad = materialize(leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
-    return ids_join(docs, bad, "doc_id", "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs in which no test item occurs, rows of null and of repeated ids among them. No shuffle."""
+    single = _one_block(benchmark, block_chars)
+    for block in read_items(benchmark, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = _clean(docs, sent, chars_per_edit, min_chars)
+        if not single:
+            docs = materialize(docs)
+            sent.destroy()
+    return docs

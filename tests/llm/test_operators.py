@@ -68,6 +68,10 @@ def test_decontamination(spark, awkward, empty):
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(docs, bench, block_chars=300).collect()}
     assert got == {(1, 0): 0, (3, 1): 3, (4, 8): 0}
     assert ids(decontaminate.drop_leaks(docs, bench).collect()) == [2, 5]
+    assert decontaminate.leaks(docs, bench).exceptAll(decontaminate.leaks(docs, bench, block_chars=300)).isEmpty()
+    assert ids(decontaminate.drop_leaks(docs, bench, block_chars=300).collect()) == [2, 5]
+    unnamed = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("clash").alias("item_id"), "text")  # rows of one id are judged one by one
+    assert sorted(r.text or "" for r in decontaminate.drop_leaks(unnamed, bench).collect()) == ["", prose(80, 3)]
     assert decontaminate.leaks(awkward, bench).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert ids(decontaminate.drop_leaks(awkward, bench).collect()) == ALL_IDS
