@@ -154,18 +154,83 @@ def figure_overview(results: DataFrame, targeted: int | None = None) -> DataFram
 def live_results(results: DataFrame) -> DataFrame:
     """The last record of each site (lower-cased, trimmed key); records without a key stay."""
     key = F.lower(F.trim(F.coalesce(F.nullif(F.trim("site_etld1"), F.lit("")), F.col("input"))))
-    df = results.withColumn("__key", F.coalesce(key, F.concat(F.lit("row#"), F.col("ingest_seq").cast("string"))))
+    df = results.withColumn("__key", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("row#"), F.col("ingest_seq").cast("string"))))
     last = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("ingest_seq")))
     return df.withColumn("__at", last).where("__at = 1").drop("__at", "__key")
 
 
-def live_summary(results: DataFrame) -> DataFrame:
-    """Counters of the last record of each site; here an unmapped service is one that is not mapped."""
-    live = live_results(results)
+def explorer_results(sites: DataFrame) -> DataFrame:
+    """Explorer rows as records: services without a name are left out, none has a source file, and no site is qualified."""
+    no = F.lit(None).cast("string")
+    tp = lambda t: F.struct(t["name"].alias("third_party_etld1"), t["entity"].alias("entity"), t["categories"].alias("categories"), t["prevalence"].alias("prevalence"), t["policyUrl"].alias("policy_url"), *[no.alias(c) for c in ("tracker_radar_source_domain_file", "trackerdb_source_pattern_file", "trackerdb_source_org_file")], t["extractionMethod"].alias("policy_extraction_method"))
+    named = F.filter("thirdParties", lambda t: t["name"] != "")
+    return sites.select(
+        "ingest_seq", "run_id", F.col("site").alias("input"), F.col("site").alias("site_etld1"), "rank", F.col("mainCategory").alias("main_category"), "status", "policy_is_english",
+        F.lit(0).alias("first_party_policy_word_count"), F.lit(0).alias("third_party_with_english_policy_count"), F.transform(named, tp).alias("third_parties"),
+    )
+
+
+def _live(results: DataFrame, sites: DataFrame | None) -> DataFrame:
+    return live_results(explorer_results(sites) if sites is not None and results.isEmpty() else results)
+
+
+def live_summary(results: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Counters of the last record of each site; of explorer rows only where there is no record.
+
+    Here a service with any source file is mapped, and an unmapped one is one that is not mapped;
+    without_source is the summary's number of services without a file.
+    """
+    live = _live(results, sites)
     o = occurrences(live)
+    m, p, r, t = F.col("mapped") | F.col("radar") | F.col("trackerdb"), F.col("has_policy"), F.col("radar"), F.col("trackerdb")
     uniq = lambda cond: F.count_distinct(F.when(cond, F.col("count_key")))
-    a = o.agg(F.count(F.lit(1)).alias("total"), F.count_if("mapped").alias("mapped"), uniq(F.lit(True)).alias("unique_services"), uniq(F.col("mapped")).alias("unique_mapped"), uniq(~F.col("mapped")).alias("unique_unmapped"))
-    return overview(live).select("processed_sites", "ok_sites", "success_rate").crossJoin(a)  # one row each
+    a = o.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(m).alias("mapped"), F.count_if(~m).alias("unmapped"), F.count_if(m & ~p).alias("no_policy_url"), F.count_if(r).alias("radar_mapped"), F.count_if(t).alias("trackerdb_mapped"),
+        uniq(F.lit(True)).alias("unique_services"), uniq(m).alias("unique_mapped"), uniq(~m).alias("unique_unmapped"), uniq(m & p).alias("unique_with_policy"), uniq(r).alias("unique_radar"), uniq(t).alias("unique_trackerdb"),
+    )
+    a = a.withColumn("without_source", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("radar_mapped") - F.col("trackerdb_mapped")))
+    ok, english = F.col("status") == "ok", F.coalesce("policy_is_english", F.lit(False))
+    qualified = ok & english & (F.coalesce("first_party_policy_word_count", F.lit(0)) >= 100) & (F.coalesce("third_party_with_english_policy_count", F.lit(0)) > 0)
+    if "qualified_site" in live.columns:
+        qualified = F.coalesce("qualified_site", F.lit(False)) | qualified
+    s = live.agg(F.count(F.lit(1)).alias("processed_sites"), F.count_if(ok).alias("ok_sites"), F.count_if(english).alias("english_policy_count"), F.count_if(qualified).alias("qualified_site_count"))
+    rate = F.when(F.col("processed_sites") > 0, F.round(F.col("ok_sites") / F.col("processed_sites") * 100, 2)).otherwise(0.0)
+    return s.withColumn("success_rate", rate).crossJoin(a)  # one row each
+
+
+def live_categories(results: DataFrame, sites: DataFrame | None = None, n: int = 20) -> DataFrame:
+    """Distinct services of each category, known categories in display order first, then others by number and name."""
+    order = F.create_map(*[x for i, c in enumerate(K.SERVICE_CATEGORIES) for x in (F.lit(c), F.lit(i))])
+    counts = _coverage(occurrences(_live(results, sites))).withColumn("position", order[F.col("category")])
+    return counts.orderBy(F.asc_nulls_last("position"), F.desc("n"), "category").limit(n)
+
+
+def resolve_summary(persisted: DataFrame, live: DataFrame) -> DataFrame:
+    """The persisted summary where it has more processed sites, else the live one (one row each)."""
+    both = live.withColumn("origin", F.lit("live")).unionByName(persisted.withColumn("origin", F.lit("persisted")), allowMissingColumns=True)
+    return both.orderBy(F.desc("processed_sites"), "origin").limit(1)
+
+
+def mapping_shares(counters: DataFrame) -> DataFrame:
+    """Services by source and whole percentages of them, from one row of counters.
+
+    Counters without unique numbers by source (older summaries) share the unique services out by
+    occurrences; without occurrences every mapped service counts for the first source.
+    """
+    half_up = lambda c: F.floor(c + 0.5)
+    n, rest = F.coalesce("unique_services", F.lit(0)), lambda *c: F.greatest(F.lit(0).cast("long"), *c)
+    known = [c if c in counters.columns else None for c in ("unique_radar", "unique_trackerdb", "unique_unmapped")]
+    own_radar, own_tdb, own_rest = [F.col(c) if c else F.lit(None).cast("long") for c in known]
+    raw = [F.coalesce(c, F.lit(0)) for c in ("radar_mapped", "trackerdb_mapped", "without_source")]
+    total = raw[0] + raw[1] + raw[2]
+    new, shared = own_radar.isNotNull() | own_tdb.isNotNull(), (total > 0) & (n > 0)
+    radar = F.when(new, F.coalesce(own_radar, F.lit(0))).when(shared, half_up(n * raw[0] / total)).otherwise(F.coalesce("unique_mapped", F.lit(0)))
+    tdb = F.when(new, F.coalesce(own_tdb, F.lit(0))).when(shared, half_up(n * raw[1] / total)).otherwise(0)
+    df = counters.select(n.alias("services"), radar.alias("radar"), tdb.alias("trackerdb"), F.when(new, own_rest).alias("__rest"))
+    pct = lambda c: F.when(F.col("services") > 0, half_up(F.col(c) / F.col("services") * 100)).otherwise(0)
+    df = df.select("services", "radar", "trackerdb", F.coalesce("__rest", rest(F.col("services") - F.col("radar") - F.col("trackerdb"))).alias("unmapped"), pct("radar").alias("radar_pct"), pct("trackerdb").alias("trackerdb_pct"))
+    df = df.withColumn("unmapped_pct", rest(100 - F.col("radar_pct") - F.col("trackerdb_pct")))
+    return df.withColumn("mapped_pct", rest(100 - F.col("unmapped_pct")))
 
 
 def failure_shares(results: DataFrame) -> DataFrame:
@@ -199,9 +264,24 @@ def recover_english_flag(results: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def explorer(results: DataFrame) -> DataFrame:
-    """Flat records for browsing: the site with its third parties' names, entities, categories and fetch methods."""
-    one = lambda tp: F.struct(tp["third_party_etld1"].alias("name"), tp["entity"].alias("entity"), taxonomy.tracker_categories(tp["categories"]).alias("categories"), tp["prevalence"].alias("prevalence"), tp["policy_url"].alias("policyUrl"), tp["policy_extraction_method"].alias("extractionMethod"))
-    return results.where("coalesce(site_etld1, input) is not null").select(F.coalesce("site_etld1", "input").alias("site"), "rank", "status", "policy_is_english", F.transform("third_parties", one).alias("thirdParties"))
+    """Flat records for browsing: the site with its third parties' names, entities, raw categories and fetch methods.
+
+    A service without a method of its own takes that of its last fetch, where the records have fetches.
+    """
+    fetches = F.col("third_party_policy_fetches") if "third_party_policy_fetches" in results.columns else None
+
+    def one(tp: Column) -> Column:
+        method = F.nullif(tp["policy_extraction_method"], F.lit(""))
+        if fetches is not None:
+            method = F.coalesce(method, F.try_element_at(F.filter(fetches, lambda f: f["third_party_etld1"] == tp["third_party_etld1"]), F.lit(-1))["extraction_method"])
+        raw = F.coalesce(tp["categories"], F.array().cast("array<string>"))
+        return F.struct(tp["third_party_etld1"].alias("name"), tp["entity"].alias("entity"), raw.alias("categories"), tp["prevalence"].alias("prevalence"), tp["policy_url"].alias("policyUrl"), method.alias("extractionMethod"))
+
+    site = F.coalesce(F.nullif("site_etld1", F.lit("")), F.col("input"))
+    first = F.col("first_party_policy") if "first_party_policy" in results.columns else F.lit(None).cast("struct<url: string, extraction_method: string>")
+    return results.where(site.isNotNull()).select(
+        "ingest_seq", "run_id", site.alias("site"), "rank", F.col("main_category").alias("mainCategory"), "status", "policy_is_english", first["url"].alias("policyUrl"), first["extraction_method"].alias("extractionMethod"), F.transform("third_parties", one).alias("thirdParties"),
+    )
 
 
 def filter_explorer(df: DataFrame, status: str | None = None, min_third_parties: int = 0, query: str = "") -> DataFrame:

@@ -346,12 +346,54 @@ def _(spark, sf):
     return summary.figure_overview(A.site_results(spark, sf), 1000)
 
 
-@query("live_summary", OCC + """, a as (select count(*) total, count(*) filter (mapped) mapped, count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) unique_mapped, count(distinct count_key) filter (not mapped) unique_unmapped from occ),
-s as (select count(*) processed_sites, count(*) filter (status = 'ok') ok_sites, round(count(*) filter (status = 'ok') / count(*) * 100, 2) success_rate from res) select * from s, a""")
+def _live_sql(mapped: str, radar: str, tdb: str, qualified: str) -> str:
+    """One row of live counters, from what makes a service mapped and from which source."""
+    return OCC + f""", l as (select *, {mapped} m, {radar} lr, {tdb} lt, policy_url is not null p from occ),
+a as (select count(*) total, count(*) filter (m) mapped, count(*) filter (not m) unmapped, count(*) filter (m and not p) no_policy_url, count(*) filter (lr) radar_mapped, count(*) filter (lt) trackerdb_mapped,
+  count(distinct count_key) unique_services, count(distinct count_key) filter (m) unique_mapped, count(distinct count_key) filter (not m) unique_unmapped, count(distinct count_key) filter (m and p) unique_with_policy,
+  count(distinct count_key) filter (lr) unique_radar, count(distinct count_key) filter (lt) unique_trackerdb, greatest(0, count(*) - count(*) filter (lr) - count(*) filter (lt)) without_source from l),
+s as (select count(*) processed_sites, count(*) filter (status = 'ok') ok_sites, count(*) filter (en) english_policy_count, {qualified} qualified_site_count, round(count(*) filter (status = 'ok') / count(*) * 100, 2) success_rate from res)
+select * from s, a"""
+
+
+_LIVE = _live_sql("(mapped or tdb)", "radar", "tdb", "count(*) filter (status = 'ok' and en and coalesce(word_count, 0) >= 100 and tp_en > 0)")
+
+
+@query("live_summary", _LIVE)
 def _(spark, sf):
     return summary.live_summary(A.site_results(spark, sf))
 
 
+@query("live_explorer_summary", _live_sql("(entity is not null or policy_url is not null or coalesce(prevalence, 0) <> 0 or service_key in (select service_key from cats))", "false", "false", "0"))
+def _(spark, sf):
+    r = A.site_results(spark, sf)
+    return summary.live_summary(r.where("status = 'none such'"), summary.explorer(r))
+
+
+@query("live_categories", OCC + f"select list_position({K.SERVICE_CATEGORIES!r}, category) - 1 as position, category, count(distinct service_id) n from occ join ncats using (service_key) group by all order by position nulls last, n desc, category limit 20")
+def _(spark, sf):
+    return summary.live_categories(A.site_results(spark, sf))
+
+
+@query("resolved_summary", f"select *, 'live' origin from ({_LIVE})")
+def _(spark, sf):
+    r = A.site_results(spark, sf)
+    return summary.resolve_summary(summary.live_summary(r.where("status = 'ok'")), summary.live_summary(r))
+
+
+_SHARES = """select {kind} kind, services, radar, trackerdb, unmapped, radar_pct, trackerdb_pct, greatest(0, 100 - radar_pct - trackerdb_pct) unmapped_pct, 100 - greatest(0, 100 - radar_pct - trackerdb_pct) mapped_pct from (
+  select *, floor(radar / services * 100 + 0.5)::bigint radar_pct, floor(trackerdb / services * 100 + 0.5)::bigint trackerdb_pct from ({rows}))"""
+_OLD = "select n services, floor(n * r / t + 0.5)::bigint radar, floor(n * d / t + 0.5)::bigint trackerdb, greatest(0, n - floor(n * r / t + 0.5)::bigint - floor(n * d / t + 0.5)::bigint) unmapped from (select count(distinct count_key) n, count(*) filter (radar) r, count(*) filter (tdb) d, count(*) t from occ)"
+_NEW = "select count(distinct count_key) services, count(distinct count_key) filter (radar) radar, count(distinct count_key) filter (tdb) trackerdb, count(distinct count_key) filter (not radar and not tdb) unmapped from occ"
+
+
+@query("mapping_shares", OCC + _SHARES.format(kind="'by unique services'", rows=_NEW) + " union all " + _SHARES.format(kind="'by occurrences'", rows=_OLD))
+def _(spark, sf):
+    c = summary.third_party_counters(A.site_results(spark, sf))
+    old = c.drop("unique_radar", "unique_trackerdb", "unique_unmapped")
+    return summary.mapping_shares(c).withColumn("kind", F.lit("by unique services")).unionByName(summary.mapping_shares(old).withColumn("kind", F.lit("by occurrences")))
+
+
 @query("failure_shares", P + "x as (select 1) select status, n, round(n / sum(n) over () * 100, 2) pct, status in ('home_fetch_failed', 'exception', 'non_browsable') is_failure from (select status, count(*) n from sites group by 1)")
 def _(spark, sf):
     return summary.failure_shares(A.site_results(spark, sf))
@@ -362,10 +404,19 @@ def _(spark, sf):
     return summary.progress(A.site_results(spark, sf), 200)
 
 
-@query("explorer", OCC + ", t as (select site_key, count(*) n, string_agg(service_domain, '|' order by service_domain) names from occ group by 1) select site, rank, status, is_english policy_is_english, n::int n, names from sites join t using (site_key) where status = 'ok' and n >= 3 and contains(lower(site), '#0000001')")
+@query("explorer", OCC + ", t as (select site_key, count(*) n, string_agg(service_domain, '|' order by service_domain) names from occ group by 1) select site, rank, main_category mainCategory, status, is_english policy_is_english, n::int n, names from sites join t using (site_key) where status = 'ok' and n >= 3 and contains(lower(site), '#0000001')")
 def _(spark, sf):
     df = summary.filter_explorer(summary.explorer(A.site_results(spark, sf)), "ok", 3, "#0000001")
-    return df.withColumns({"n": F.size("thirdParties"), "names": F.array_join(F.array_sort(F.transform("thirdParties", lambda t: t["name"])), "|")}).drop("thirdParties")
+    names = F.array_join(F.array_sort(F.transform("thirdParties", lambda t: t["name"])), "|")
+    return df.select("site", "rank", "mainCategory", "status", "policy_is_english", F.size("thirdParties").alias("n"), names.alias("names"))
+
+
+@query("explorer_methods", OCC + "select site, service_domain as name, case when policy_url is not null then 'method of ' || service_domain end as method from occ")
+def _(spark, sf):
+    fetch = lambda tp: F.array(F.struct(tp["third_party_etld1"].alias("third_party_etld1"), F.lit("old").alias("extraction_method")), F.struct(tp["third_party_etld1"].alias("third_party_etld1"), F.concat(F.lit("method of "), tp["third_party_etld1"]).alias("extraction_method")))
+    fetched = F.flatten(F.transform(F.filter("third_parties", lambda tp: tp["policy_url"].isNotNull()), fetch))
+    df = summary.explorer(A.site_results(spark, sf).withColumn("third_party_policy_fetches", fetched))
+    return df.select("site", F.explode("thirdParties").alias("t")).select("site", F.col("t.name").alias("name"), F.col("t.extractionMethod").alias("method"))
 
 
 @query("dataset_state", P + "x as (select 1) select greatest(3000, count(distinct lower(site))) total, count(distinct lower(site)) processed, max(rank) filter (status = 'ok') last_successful_rank, least(100.0, round(count(distinct lower(site)) / greatest(3000, count(distinct lower(site))) * 100, 1)) progress_pct from sites")

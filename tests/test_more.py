@@ -153,3 +153,52 @@ def test_cost_bands(spark):
     assert abs(r.usd_high - ((4200 + 3 * 1615) * 2.5 + 450 * 10) / 1e6) < 1e-12
     est = lambda n, u: spark.range(1).select(X.estimate_tokens(F.lit(n), F.lit(u)).alias("x")).first().x
     assert [est(10, "tokens"), est(10, "words"), est(2, "kb"), est(10, "chars"), est(-5, "words")] == [10, 13, 512, 3, 0]
+
+
+def test_live_rules(spark):
+    from plumbline.operators import summary
+    from plumbline.schemas import schema
+
+    tp = lambda name, **kw: {"third_party_etld1": name, **kw}
+    rows = [
+        {"ingest_seq": 1, "site_etld1": "A.com", "status": "exception", "third_parties": [tp("gone.com")]},
+        {"ingest_seq": 2, "site_etld1": " a.com", "status": "ok", "qualified_site": True, "third_parties": [tp("t.com", trackerdb_source_org_file="o"), tp("u.com"), tp(None)]},
+        {"ingest_seq": 3, "input": " ", "status": None, "third_parties": None},
+        {"ingest_seq": 4, "input": " ", "status": "", "third_parties": [], "policy_is_english": True},
+    ]
+    df = spark.createDataFrame(rows, schema("site_result"))
+    got = summary.live_summary(df).first()
+    assert (got.processed_sites, got.ok_sites, got.qualified_site_count, got.english_policy_count, got.success_rate) == (3, 1, 1, 1, 33.33)
+    assert (got.total, got.mapped, got.unmapped, got.unique_services, got.unique_unmapped, got.trackerdb_mapped, got.without_source) == (3, 1, 2, 2, 1, 1, 2)
+    sites = summary.explorer(df)
+    alone = summary.live_summary(df.limit(0), sites).first()
+    assert (alone.processed_sites, alone.total, alone.mapped, alone.trackerdb_mapped, alone.qualified_site_count) == (3, 2, 0, 0, 0)
+    assert summary.live_summary(df, sites.limit(0)).first() == got
+    live, persisted = summary.live_summary(df), summary.live_summary(df)
+    assert summary.resolve_summary(persisted, live).first().origin == "live"
+    assert summary.resolve_summary(persisted.withColumn("processed_sites", F.lit(4).cast("long")), live).first().origin == "persisted"
+    empty = summary.live_summary(df.limit(0)).first()
+    assert (empty.processed_sites, empty.success_rate, empty.total) == (0, 0.0, 0) and summary.live_categories(df.limit(0)).count() == 0
+
+
+def test_mapping_shares(spark):
+    from plumbline.operators import summary
+
+    kind = "unique_services long, unique_mapped long, radar_mapped long, trackerdb_mapped long, without_source long"
+    old = spark.createDataFrame([(10, 4, 1, 1, 2), (10, 4, 0, 0, 0), (0, 0, 5, 0, 0), (None, None, None, None, None)], kind)
+    got = [tuple(r) for r in summary.mapping_shares(old).collect()]
+    assert got == [(10, 3, 3, 4, 30, 30, 40, 60), (10, 4, 0, 6, 40, 0, 60, 40), (0, 0, 0, 0, 0, 0, 100, 0), (0, 0, 0, 0, 0, 0, 100, 0)]
+    new = old.limit(1).select("*", F.lit(7).cast("long").alias("unique_radar"), F.lit(None).cast("long").alias("unique_trackerdb"))
+    assert tuple(summary.mapping_shares(new).first()) == (10, 7, 0, 3, 70, 0, 30, 70)
+
+
+def test_explorer_methods(spark):
+    from plumbline.operators import summary
+    from plumbline.schemas import schema
+
+    fetches = [{"third_party_etld1": "a.com", "extraction_method": "first"}, {"third_party_etld1": "a.com", "extraction_method": "last"}, {"third_party_etld1": "b.com", "extraction_method": "first"}, {"third_party_etld1": "b.com"}]
+    tps = [{"third_party_etld1": n, "policy_extraction_method": m, "categories": c} for n, m, c in (("a.com", "", ["x", "x"]), ("b.com", None, None), ("c.com", None, []), ("a.com", "own", []), (None, None, []))]
+    rows = [{"ingest_seq": 1, "site_etld1": "", "input": "in", "third_parties": tps, "third_party_policy_fetches": fetches, "first_party_policy": {"url": "p", "extraction_method": "m"}}, {"ingest_seq": 2, "site_etld1": "s", "third_parties": tps}, {"ingest_seq": 3}]
+    got = {r.site: r for r in summary.explorer(spark.createDataFrame(rows, schema("site_result"))).collect()}
+    assert [t.extractionMethod for t in got["in"].thirdParties] == ["last", None, None, "own", None] and [t.categories for t in got["in"].thirdParties][:2] == [["x", "x"], []]
+    assert (got["in"].policyUrl, got["in"].extractionMethod) == ("p", "m") and [t.extractionMethod for t in got["s"].thirdParties] == [None, None, None, "own", None] and len(got) == 2
