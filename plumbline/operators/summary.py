@@ -57,18 +57,35 @@ def overview(results: DataFrame) -> DataFrame:
     return agg.select("processed_sites", "ok_sites", rate.alias("success_rate"), F.col("last.rank").alias("last_processed_rank"), F.col("last.site").alias("last_processed_site"), F.col("last_ok.rank").alias("last_successful_rank"), F.col("last_ok.site").alias("last_successful_site"), "english_policy_count", "qualified_site_count")
 
 
-def third_party_counters(results: DataFrame) -> DataFrame:
-    """Occurrence counters and unique service counts, in one pass over the occurrences."""
+def third_party_counters(results: DataFrame, *by: str) -> DataFrame:
+    """Occurrence counters and unique service counts, in one pass over the occurrences; of all records or by some columns."""
     o = occurrences(results)
     m, p, r, t = (F.col(c) for c in ("mapped", "has_policy", "radar", "trackerdb"))
     uniq = lambda cond: F.count_distinct(F.when(cond, F.col("count_key")))
-    out = o.agg(
+    out = o.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(m).alias("mapped"), F.count_if(~m).alias("unmapped"), F.count_if(m & ~p).alias("no_policy_url"), F.count_if(r).alias("radar_mapped"), F.count_if(t).alias("trackerdb_mapped"),
         uniq(F.lit(True)).alias("unique_services"), uniq(m).alias("unique_mapped"), uniq(m & p).alias("unique_with_policy"), uniq(r).alias("unique_radar"), uniq(t).alias("unique_trackerdb"), uniq(~r & ~t).alias("unique_unmapped"),
     )
     return out.withColumn("without_source", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("radar_mapped") - F.col("trackerdb_mapped")))
 
 
+def run_summaries(results: DataFrame) -> DataFrame:
+    """One row for each run: sites, ok, English and qualified ones, success rate, last successful rank and the service counters."""
+    sites = overview_by(results, "run_id")
+    counters = third_party_counters(results, "run_id")
+    out = sites.join(counters, "run_id", "left")
+    return out.fillna(0, [c for c in counters.columns if c != "run_id"])
+
+
+def overview_by(results: DataFrame, *by: str) -> DataFrame:
+    ok, english = F.col("status") == "ok", F.coalesce("policy_is_english", F.lit(False))
+    qualified = ok & english & (F.coalesce("first_party_policy_word_count", F.lit(0)) >= 100) & (F.coalesce("third_party_with_english_policy_count", F.lit(0)) > 0)
+    return results.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("processed_sites"), F.count_if(ok).alias("ok_sites"), F.round(F.count_if(ok) / F.count(F.lit(1)) * 100, 2).alias("success_rate"), F.count_if(english).alias("english_policy_count"), F.count_if(qualified).alias("qualified_site_count"),
+        F.max(F.when(ok & (F.col("rank") > 0), F.col("rank"))).alias("last_successful_rank"),
+    )
+
+
 def _coverage(o: DataFrame) -> DataFrame:
     """(category, n): distinct services of each category; a record without a key counts by itself."""
     by = o.select("ingest_seq", "tp_no", "service_key", F.explode(F.array_distinct("categories")).alias("category"))

@@ -47,18 +47,18 @@ def dataset_state(results: DataFrame, persisted_total: int = 0, persisted_proces
     return a.withColumn("progress_pct", F.when(F.col("total") > 0, F.least(F.lit(100.0), F.round(F.col("processed") / F.col("total") * 100, 1))).otherwise(0.0))
 
 
-def upsert_results(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A new record removes every earlier one that shares any of site_etld1, input, site; records without a key stay.
+def upsert_results(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A new record removes every earlier one (of the same run, with by=("run_id",)) that shares any of site_etld1, input, site; records without a key stay.
 
     A record stays if it is the last for all its keys: one that is itself
     removed later has already removed those before it.
     """
     df = old.unionByName(new, allowMissingColumns=True)
     keys = [c for c in ("site_etld1", "input", "site") if c in df.columns]
-    each = df.select("ingest_seq", F.explode(F.array_distinct(F.filter(F.array(*[F.trim(k) for k in keys]), lambda k: k != ""))).alias("k"))
-    last = each.withColumn("newest", F.max("ingest_seq").over(Window.partitionBy("k")))
-    gone = last.where("ingest_seq < newest").select("ingest_seq").distinct()
-    return df.join(gone, "ingest_seq", "left_anti")
+    each = df.select(*by, "ingest_seq", F.explode(F.array_distinct(F.filter(F.array(*[F.trim(k) for k in keys]), lambda k: k != ""))).alias("k"))
+    last = each.withColumn("newest", F.max("ingest_seq").over(Window.partitionBy(*by, "k")))
+    gone = last.where("ingest_seq < newest").select(*by, "ingest_seq").distinct()
+    return df.join(gone, [*by, "ingest_seq"], "left_anti")
 
 
 def upsert_explorer(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -298,6 +298,16 @@ def _(spark, sf):
     return summary.third_party_counters(A.site_results(spark, sf))
 
 
+@query("run_summaries", OCC + """, a as (select run_id, count(*) total, count(*) filter (mapped) mapped, count(*) filter (not mapped) unmapped, count(*) filter (mapped and policy_url is null) no_policy_url, count(*) filter (radar) radar_mapped, count(*) filter (tdb) trackerdb_mapped,
+  count(distinct count_key) unique_services, count(distinct count_key) filter (mapped) unique_mapped, count(distinct count_key) filter (mapped and policy_url is not null) unique_with_policy, count(distinct count_key) filter (radar) unique_radar,
+  count(distinct count_key) filter (tdb) unique_trackerdb, count(distinct count_key) filter (not radar and not tdb) unique_unmapped, greatest(0, count(*) - count(*) filter (radar) - count(*) filter (tdb)) without_source from occ group by 1),
+s as (select run_id, count(*) processed_sites, count(*) filter (status = 'ok') ok_sites, round(count(*) filter (status = 'ok') / count(*) * 100, 2) success_rate, count(*) filter (en) english_policy_count,
+  count(*) filter (status = 'ok' and en and coalesce(word_count, 0) >= 100 and tp_en > 0) qualified_site_count, max(case when status = 'ok' and rank > 0 then rank end) last_successful_rank from res group by 1)
+select * from s join a using (run_id)""")
+def _(spark, sf):
+    return summary.run_summaries(A.site_results(spark, sf))
+
+
 @query("category_coverage", OCC + "select category, count(distinct service_id) n from occ join ncats using (service_key) group by 1 order by n desc, category limit 20")
 def _(spark, sf):
     return summary.category_coverage(A.site_results(spark, sf))

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions import constants as K
+from plumbline.operators import summary, views
 from plumbline.schemas import schema
+from plumbline.sources import sinks
 
 TYPES = ["run_started", "run_completed", "stage_started", "stage_finished", "site_started", "site_stage", "site_finished", "site_failed", "run_progress", "log"]
 METRICS = ["statements", "chunks", "blocks", "tokens_in", "tokens_out"]
@@ -134,6 +137,40 @@ def summarize_stream(stream: DataFrame, store, merge, checkpoint: str):
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _merge_records(batch: DataFrame, root: str) -> None:
+    """Upsert records into root/results, run by run, and sum the touched runs anew into root/summaries. Repeating a batch changes nothing."""
+    spark, path = batch.sparkSession, f"{root}/results"
+    batch = batch.where("run_id is not null")
+    batch.limit(0).write.mode("ignore").partitionBy("run_id").parquet(path)  # so that there is something to read
+    stored = lambda: spark.read.schema(batch.schema).parquet(path).join(batch.select("run_id").distinct(), "run_id", "left_semi")
+    old = stored().join(batch.select("run_id", "ingest_seq"), ["run_id", "ingest_seq"], "left_anti")
+    sinks.write_by_run(views.upsert_results(old, batch, ("run_id",)), path)
+    sinks.write_by_run(summary.run_summaries(stored()), f"{root}/summaries")
+
+
+def summarize_records(records: DataFrame, root: str, checkpoint: str):
+    """Start an incremental summary of a stream of site records: root/results holds the last record of each site of a run, root/summaries one row for each run.
+
+    Distinct counts can't be kept as running sums, so each micro-batch recomputes the runs that it touches and no others.
+    """
+    return summarize_stream(records, lambda done: None, lambda batch, spark: _merge_records(batch, root), checkpoint)
+
+
+def replay_stream(outbox: DataFrame, results: DataFrame, root: str, checkpoint: str):
+    """Apply a stream of pending events: their records go into root as in summarize_records; events that found none, or whose batch could not be applied, go to root/pending, one folder for each batch."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        applied, failed = replay_outbox(batch, results)
+        try:
+            _merge_records(applied.drop("event_id", "site"), root)
+        except PySparkException as e:  # the whole batch waits for the next attempt
+            again = {"attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "last_error": F.lit(str(e)[:500])}
+            failed = failed.unionByName(batch.join(failed.select("event_id"), "event_id", "left_anti").withColumns(again))
+        failed.write.mode("overwrite").json(f"{root}/pending/batch={batch_id}")
+
+    return outbox.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def replay_outbox(outbox: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Result rows that pending events stand for, and the events that found none (attempt_count + 1, with the error).
 
@@ -143,7 +180,7 @@ def replay_outbox(outbox: DataFrame, results: DataFrame) -> tuple[DataFrame, Dat
     at = outbox.select("event_id", "run_id", "site", "result_offset").join(r, ["run_id", "site"])
     pick = at.groupBy("event_id", "run_id", "site").agg(F.coalesce(F.max(F.when(F.col("ingest_seq") == F.col("result_offset"), F.col("ingest_seq"))), F.max("ingest_seq")).alias("ingest_seq"))
     applied = results.join(pick.select("event_id", "run_id", "site", "ingest_seq"), ["run_id", "site", "ingest_seq"])
-    failed = outbox.join(pick.select("event_id"), "event_id", "left_anti").withColumns({"attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "last_error": F.lit("result not found")})
+    failed = outbox.join(pick.select("event_id"), "event_id", "left_anti").withColumns({"attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "last_error": F.lit("result_not_found")})
     return applied, failed
 
 

@@ -128,3 +128,28 @@ def test_eta(spark):
     kept = E.eta_samples(s)
     assert sorted((r.processed_sites, r.timestamp_ms) for r in kept.collect()) == [(3, 160000), (13, 260000), (23, 360000)]
     assert E.eta(kept, spark.createDataFrame([("r", 130000)], "run_id string, started_at_ms long")).first().eta_ms in (770000, 770001)  # the rate is 0.1 up to its last bit
+
+
+def test_incremental_summary_and_replay(spark, tmp_path):
+    rows = [(1, "r0", "a.com", "ok", 5), (2, "r0", "b.com", "exception", 3), (3, "r1", "a.com", "ok", 1)], [(4, "r0", "b.com", "ok", 9), (5, "r0", " ", "ok", 2), (6, None, "z.com", "ok", 2)]
+    kind = schema("site_result")
+    for i, batch in enumerate(rows):
+        spark.createDataFrame([{"ingest_seq": q, "run_id": r, "site_etld1": s, "status": st, "rank": k, "third_parties": [{"third_party_etld1": f"t{q}.com"}]} for q, r, s, st, k in batch], kind).coalesce(1).write.json(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    root = str(tmp_path / "out")
+    for name in ("one", "two"):  # a second reader repeats every batch
+        E.summarize_records(stream, root, str(tmp_path / name)).awaitTermination()
+        got = {r.run_id: r for r in spark.read.parquet(f"{root}/summaries").collect()}
+        assert {k: (r.processed_sites, r.ok_sites, r.last_successful_rank, r.total, r.unique_services) for k, r in got.items()} == {"r0": (3, 3, 9, 3, 3), "r1": (1, 1, 1, 1, 1)}
+    assert sorted(r.ingest_seq for r in spark.read.parquet(f"{root}/results").collect()) == [1, 3, 4, 5]
+    box = [("e1", "r0", None, "a.com", None, 0, None, 1, None), ("e2", "r0", None, "q.com", None, 2, None, 7, None)]
+    spark.createDataFrame(box, schema("outbox_event")).write.json(str(tmp_path / "box"))
+    results = spark.read.schema(kind).json(str(tmp_path / "in")).drop("b").withColumn("site", F.col("site_etld1"))
+    pending = spark.readStream.schema(schema("outbox_event")).json(str(tmp_path / "box"))
+    E.replay_stream(pending, results, str(tmp_path / "new"), str(tmp_path / "three")).awaitTermination()
+    assert [(r.run_id, r.processed_sites) for r in spark.read.parquet(str(tmp_path / "new" / "summaries")).collect()] == [("r0", 1)]
+    waiting = spark.read.json(str(tmp_path / "new" / "pending")).collect()
+    assert [(r.event_id, r.attempt_count, r.last_error) for r in waiting] == [("e2", 3, "result_not_found")]
+    E.replay_stream(pending, results.withColumn("rank", F.assert_true(F.lit(False), "lost").cast("int")), str(tmp_path / "bad"), str(tmp_path / "four")).awaitTermination()
+    broken = {r.event_id: (r.attempt_count, r.last_error) for r in spark.read.json(str(tmp_path / "bad" / "pending")).collect()}
+    assert broken["e2"] == (3, "result_not_found") and broken["e1"][0] == 1 and "lost" in broken["e1"][1]
