@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SLICE_ROWS = 256
 #: Distinct words a worker remembers before it starts over; bounds its memory.
 WORD_CACHE = 300_000
+#: Rows of a range partition of running().
+PART_ROWS = 100_000
 #: Largest id set, in rows, that is sent to every executor; more are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -127,6 +129,24 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def running(df: DataFrame, order: list[Column], amount: Column, rows: int, before: str) -> DataFrame:
+    """df with the sum of amount over all rows that come earlier in a total order; written to the shared folder.
+
+    Rows are dealt into range partitions; one sum of each goes through the driver (rows / PART_ROWS of them).
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    at, offsets = 0, []
+    for r in dealt.groupBy("__part").agg(F.sum(amount).alias("n")).orderBy("__part").collect():
+        offsets.append((r["__part"], at))
+        at += r.n
+    inside = F.sum(amount).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = spark.createDataFrame(offsets, "__part int, __first long")
+    out = dealt.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(firsts), "__part")
+    return materialize(out.withColumn(before, F.col("__first") + F.col("__inside")).drop("__part", "__first", "__inside"))
+
+
 def ids_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Join on an id set: broadcast when its counted size is under BROADCAST_IDS, else by shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
