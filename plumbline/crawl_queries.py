@@ -8,7 +8,7 @@ from plumbline import adapters as A
 from plumbline.functions import constants as K
 from plumbline.functions import text as X
 from plumbline.functions import urls
-from plumbline.operators import mapping, pages, sites, statements, summary, views
+from plumbline.operators import domains, mapping, pages, sites, statements, summary, views
 from plumbline.plans import annotation
 from plumbline.queries import OCC, ORACLE_SQL, P, query
 from plumbline.streaming import events as E
@@ -158,18 +158,57 @@ def _(spark, sf):
     return p.select("page_id", "i", urls.low_value(u, F.col("url")).alias("low"), urls.full_page_scan(u).alias("full_scan"), urls.is_hub(a, u).alias("hub"), F.round(urls.score_link(a, u, F.col("same")), 6).alias("score"))
 
 
-_HREFS = {0: "mailto:x@y.z", 1: "  #top", 2: "//cdn.example.org/x", 3: "/abs?q=1", 4: "?page=2", 5: "./leaf.html", 6: "sub/leaf", 7: "HTTPS://Other.example/z", 8: "  ", 9: "javascript:void(0)"}
+_HREFS = dict(enumerate([
+    "mailto:x@y.z", "  #top", "//cdn.example.org/x", "/abs?q=1", "?page=2", "./leaf.html", "sub/leaf", "HTTPS://Other.example/z", "  ", "javascript:void(0)",
+    "../up", "..", ".", "../../..", "a/b/../c", "./k/./m", "/x/../y/./z/..", "g;x=1/../y", "?q=a/../b#f", "leaf?", "leaf#part", "../../../../deep/../up?x=/../y", "http:same", "a//b///c", "..g/g..", "/..//x",
+]))
 
 
 @query("resolved_links", rf"""
-with a as (select page_id, i, trim({_case('i', _HREFS)}) h, regexp_extract(url, '^([a-z]+)://', 1) s, regexp_extract(url, '^[a-z]+://[^/?#]+') root, case when regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) end p from pages, range(10) r(i))
-select page_id, i::int i, case i when 2 then s || ':' || h when 3 then root || h when 4 then root || p || h when 5 then root || regexp_replace(p, '[^/]*$', '') || 'leaf.html' when 6 then root || regexp_replace(p, '[^/]*$', '') || h else h end target from a where h <> '' and i not in (0, 1, 9)""")
-def _(spark, sf):
-    p = A.table(spark, sf, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+with a as (select page_id, i, url, trim({_case('i', _HREFS)}) h, regexp_extract(url, '^([a-z]+)://', 1) s, regexp_extract(url, '^[a-z]+://[^/?#]+') root, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) p, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) q from pages, range({len(_HREFS)}) r(i)),
+b as (select *, regexp_extract(h, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$', ['rs', 'rh', 'rp', 'rq', 'rf']) r from a where h <> '' and not regexp_matches(h, '^(mailto:|tel:|javascript:|#)')),
+c as (select *, case when r.rp[1] = '/' then string_split(r.rp, '/') else list_concat(case when p = '' then [''] else string_split(p, '/')[:-2] end, string_split(r.rp, '/')) end seg from b),
+d as (select *, case when r.rp[1] = '/' then seg else list_concat(seg[1:1], list_filter(seg[2:len(seg) - 1], lambda x: x <> ''), seg[len(seg):]) end sg from c),
+e as (select *, list_reduce(list_prepend('', list_transform(sg, lambda x: '/' || x)), lambda done, x: case x when '/..' then regexp_replace(done, '/[^/]*$', '') when '/.' then done else done || x end) || case when sg[len(sg)] in ('.', '..') then '/' else '' end folded from d)
+select page_id, i::int i, case
+    when r.rs <> '' and lower(r.rs) <> s then h
+    when r.rh <> '' then s || '://' || r.rh || r.rp || tail
+    when r.rp = '' then root || p || case when r.rq in ('', '?') then q else '' end || tail
+    else root || case when folded = '' then '/' when sg[1] = '' or not starts_with(folded, '/') then case when starts_with(folded[2:], '/') then folded[2:] when starts_with(folded, '//') then folded[2:] else folded end else folded end || tail end target
+from (select *, case when r.rq = '?' then '' else r.rq end || case when r.rf = '#' then '' else r.rf end tail from e)""")
+def _(spark, sf):
+    p = A.table(spark, sf, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(len(_HREFS) - 1))).alias("i"))
     p = p.withColumn("href", urls.clean_href(_pick(F.col("i"), *_HREFS.values()))).where("href is not null")
     return p.select("page_id", "i", urls.join_url(F.col("url"), F.col("href")).alias("target"))
 
 
+_RULES = ", ".join(f"({i}, '{r}')" for i, r in enumerate(K.SUFFIX_RULES))
+_BEFORE = "case page_id % 4 when 0 then '' when 1 then 'own.' when 2 then 'www.own' || page_id || '.' else 'a.b.c.' end"
+
+
+@query("registrable_domains", rf"""
+with rules(i, rule) as (values {_RULES}),
+h as (
+  select page_id, {_BEFORE} || replace(replace(rule, '*', 'zone' || page_id % 3), '!', '') host from pages join rules on i = page_id % {len(K.SUFFIX_RULES)}
+  union all select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) from pages),
+l as (select distinct host, string_split(host, '.') ls from h),
+t as (select host, k, array_to_string(ls[len(ls) - k + 1:], '.') tail, array_to_string(ls[len(ls) - k + 2:], '.') rest from (select host, ls, unnest(range(1, len(ls) + 1)) k from l)),
+held as (
+  select host, k, false ex from t join rules on rule = tail union all select host, k, false from t join rules on rule = '*.' || rest where rest <> '' union all select host, k - 1, true from t join rules on rule = '!' || tail),
+best as (select host, max(row(ex, k))[2] k from held group by 1),
+d as (select l.host, best.k, case when len(ls) > coalesce(best.k, 1) then array_to_string(ls[len(ls) - coalesce(best.k, 1):], '.') else l.host end own, case when best.k is not null and len(ls) > best.k then array_to_string(ls[len(ls) - best.k:], '.') else l.host end listed, array_to_string(ls[len(ls) - best.k + 1:], '.') suffix from l left join best using (host))
+select page_id, host, own as domain, case when k is not null then suffix end suffix, listed listed_domain from h join d using (host)""")
+def _(spark, sf):
+    p = A.table(spark, sf, "pages").select("page_id", "url")
+    rules = spark.createDataFrame([(i, r) for i, r in enumerate(K.SUFFIX_RULES)], "i int, rule string")
+    n = F.col("page_id") % 4
+    front = F.when(n == 0, "").when(n == 1, "own.").when(n == 2, F.concat(F.lit("www.own"), "page_id", F.lit("."))).otherwise("a.b.c.")
+    named = F.replace(F.replace("rule", F.lit("*"), F.concat(F.lit("zone"), (F.col("page_id") % 3).cast("string"))), F.lit("!"), F.lit(""))
+    made = p.withColumn("i", (F.col("page_id") % len(K.SUFFIX_RULES)).cast("int")).join(F.broadcast(rules), "i").select("page_id", F.concat(front, named).alias("host"))
+    h = made.union(p.select("page_id", urls.host_of(F.col("url")))).withColumn("domain", urls.registrable_domain(F.col("host")))
+    return h.join(domains.host_domains(h, rules).withColumnRenamed("domain", "listed_domain"), "host").select("page_id", "host", "domain", "suffix", "listed_domain")
+
+
 @query("home_policies", "select doc_id, length(text) >= 1000 and doc_id % 12 >= 8 and (doc_id % 2 = 0 or contains(lower(text), 'privacy policy') or contains(lower(text), 'privacy notice')) is_policy from documents")
 def _(spark, sf):
     url = F.when(F.col("doc_id") % 2 == 0, "https://x.example/Privacy").otherwise("https://privacy.example/")

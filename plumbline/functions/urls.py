@@ -30,16 +30,45 @@ def path(url: Column) -> Column:
     return F.when(_part(url, 4) == "", "/").otherwise(_part(url, 4))
 
 
-def registrable_domain(value: Column) -> Column:
-    """The last labels of a host or URL up to one before the longest public suffix; a bare suffix is itself; null without a host."""
-    bare = F.lower(F.regexp_replace(F.regexp_extract(F.trim(value), r"^([^/?#:]+)", 1), r"^\.+|\.+$", ""))
-    long = F.array(*[F.lit(s) for s in K.PUBLIC_SUFFIXES])
+def host_of(value: Column) -> Column:
+    """Host of a URL, or of a text that begins with one; lower case, without dots at its ends; null if there is none."""
+    bare = F.regexp_replace(F.regexp_extract(F.trim(value), r"^([^/?#:]+)", 1), r"^\.+|\.+$", "")
+    return F.coalesce(hostname(value), F.nullif(F.lower(bare), F.lit("")))
+
+
+def tails(host: Column) -> Column:
+    """A host's own suffixes, from its last label to the whole host; none of an IPv4 address."""
+    labels = F.split(host, r"\.")
+    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    return F.when(host.rlike(r"^[\d.]+$"), F.array().cast("array<string>")).otherwise(every)
+
+
+def suffix_labels(tail: Column, rule: Column) -> Column:
+    """How many labels the public suffix has by a rule that holds for a host's tail: a rule names the tail itself (plain, !) or what stands before its first label (*.)."""
+    n = F.size(F.split(tail, r"\."))
+    return F.when(F.startswith(rule, F.lit("!")), n - 1).otherwise(n)
+
+
+def registrable_domain(value: Column, rules: list[str] | None = None) -> Column:
+    """The last labels of a host or URL up to one before its public suffix; a bare suffix or an address is itself; null without a host.
+
+    Of the rules that hold an exception wins, then the longest; without one the suffix is one
+    label. For short lists of rules; operators.domains joins whole lists.
+    """
+    rules = K.SUFFIX_RULES if rules is None else rules
+    plain = [r for r in rules if r[0] not in "*!"]
+    wild, out = ([r.removeprefix(p) for r in rules if r.startswith(p)] for p in ("*.", "!"))
+    some = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
 
     def of(host: Column) -> Column:
-        tail = lambda n: F.substring_index(host, ".", -n)
-        return F.when(host.isNull(), None).when(host.rlike(r"^[\d.]+$"), host).when(F.array_contains(long, tail(2)), tail(3)).otherwise(tail(2))
+        every = tails(host)
+        held = lambda keep: F.array_max(F.transform(F.filter(every, keep), lambda t: F.size(F.split(t, r"\."))))
+        exception = held(lambda t: F.array_contains(some(out), t)) - 1
+        longest = held(lambda t: F.array_contains(some(plain), t) | (F.array_contains(some(wild), F.regexp_replace(t, r"^[^.]*\.", "")) & F.contains(t, F.lit("."))))
+        n = F.coalesce(exception, longest, F.lit(1))
+        return F.when(host.isNull() | (F.size(every) <= n), host).otherwise(F.get(every, n))
 
-    return _let(F.coalesce(hostname(value), F.nullif(bare, F.lit(""))), of)
+    return _let(host_of(value), of)
 
 
 def normalize_policy_url(url: Column) -> Column:
@@ -64,16 +93,51 @@ def clean_href(href: Column) -> Column:
     return F.when((h != "") & ~h.rlike(r"^(mailto:|tel:|javascript:|#)"), h)
 
 
+_REFERENCE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _folded(segments: Column) -> Column:
+    """Path of segments in which .. takes away what stands before it and . nothing."""
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    last = F.element_at(segments, -1)
+    joined = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def join_url(base: Column, href: Column) -> Column:
-    """Resolve href against base: absolute, //host, /path, ?query or a path beside the base's."""
-    def of(x: Column) -> Column:
-        scheme, host, port, at, href = (x[n] for n in ("scheme", "host", "port", "at", "href"))
-        root = F.concat(scheme, F.lit("://"), host, F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)))
-        joined = F.concat(root, F.regexp_replace(at, r"[^/]*$", ""), F.regexp_replace(href, r"^(\./)+", ""))
-        begins = lambda s: F.startswith(href, F.lit(s))
-        return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(begins("//"), F.concat(scheme, F.lit(":"), href)).when(begins("/"), F.concat(root, href)).when(begins("?"), F.concat(root, at, href)).otherwise(joined)
+    """Resolve a reference against a base URL as RFC 3986, section 5.2 has it: a fold over the path's segments.
+
+    A reference with the base's scheme and no host counts as relative; one with another scheme or with a host
+    keeps its path as it is; empty segments inside a joined path and empty queries or
+    fragments go; an empty reference is the base.
+    """
+    part = lambda url, n: F.regexp_extract(url, _REFERENCE, n)
 
-    return _let(F.struct(_part(base, 1).alias("scheme"), _part(base, 2).alias("host"), _part(base, 3).alias("port"), path(base).alias("at"), href.alias("href")), of)
+    def of(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        scheme, path = F.lower(b["scheme"]), r["path"]
+        tail = F.concat(F.nullif(r["query"], F.lit("?")), F.lit(""))
+        query, fragment = F.coalesce(tail, F.lit("")), F.coalesce(F.nullif(r["fragment"], F.lit("#")), F.lit(""))
+        root = F.concat(scheme, F.lit("://"), b["host"])
+        other = (r["scheme"] != "") & (F.lower(r["scheme"]) != scheme)
+        own, theirs = F.split(b["path"], "/"), F.split(path, "/")
+        beside = F.concat(F.when(b["path"] == "", F.array(F.lit(""))).otherwise(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0)))), theirs)
+        inner = F.filter(F.slice(beside, 2, F.greatest(F.size(beside) - 2, F.lit(0))), lambda s: s != "")
+        beside = F.concat(F.slice(beside, 1, 1), inner, F.slice(beside, -1, 1))
+        at = F.when(F.startswith(path, F.lit("/")), theirs).otherwise(beside)
+        same_path = F.concat(root, b["path"], F.when(query == "", F.coalesce(F.nullif(b["query"], F.lit("?")), F.lit(""))).otherwise(query), fragment)
+        with_host = F.concat(scheme, F.lit("://"), r["host"], path, query, fragment)
+        return F.when(r["whole"] == "", b["whole"]).when(other, r["whole"]).when(r["host"] != "", with_host).when(path == "", same_path).otherwise(F.concat(root, _folded(at), query, fragment))
+
+    def parts(url: Column) -> Column:
+        clean = F.regexp_replace(F.trim(url), r"[\t\r\n]", "")
+        names = ("scheme", "host", "path", "query", "fragment")
+        return F.struct(clean.alias("whole"), *[part(clean, i).alias(n) for i, n in enumerate(names, 1)])
+
+    return _let(F.struct(parts(base).alias("b"), parts(href).alias("r")), of)
 
 
 def is_http(url: Column) -> Column:
@@ -95,9 +159,9 @@ def is_hub(anchor: Column, url: Column) -> Column:
     return any_of(F.lower(anchor), K.HUB_WORDS) | any_of(F.lower(url), K.HUB_URL_WORDS)
 
 
-def allow_external(site_domain: Column, url: Column, anchor: Column, source: Column) -> Column:
+def allow_external(site_domain: Column, url: Column, anchor: Column, source: Column, domain: Column | None = None) -> Column:
     """Whether a link may be a site's policy: its own domain, a known hoster, its name in the URL, or keyword evidence (links of the body need it in anchor and URL)."""
-    own = registrable_domain(url)
+    own = registrable_domain(url) if domain is None else domain
     label = F.lower(F.substring_index(site_domain, ".", 1))
     says, points = any_of(F.lower(squeeze(anchor)), K.PRIVACY_WORDS), any_of(F.lower(url), K.EXTERNAL_URL_SIGNALS)
     evidence = F.when(source.isin("footer", "hub", "fallback"), says | points).otherwise(says & points)

@@ -245,14 +245,14 @@ def site_bundles(results: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
         tps = tps.withColumn("f", F.lit(None).cast("struct<fetch_success:boolean,status_code:int,extraction_method:string,error_message:string>"))
     tps = tps.join(texts.where("service_domain is not null and trim(text) <> ''").select(*KEY, F.lower("service_domain").alias("service_domain"), "text"), [*KEY, "service_domain"], "left").withColumn("url", X.text_or_null(F.col("tp.policy_url")))
     theirs = document("third_party", tps.where("text is not null"), F.when(X.is_english(F.col("text")), "en").otherwise("other"))
-    cols = ["document_id", "scope", "url", "content_hash", "language", "word_count", "char_count"]
+    cols = ["document_id", "scope", "url", "content_hash", "language", "word_count", "char_count", "ingest_seq"]
     linked = tps.join(theirs.select(*KEY, "service_domain", "document_id").distinct(), [*KEY, "service_domain"], "left")
     tp = F.col("tp")
     return {
         "sites": res.select(*KEY, "rank", "main_category", "status"),
-        "documents": own.select(*cols).unionByName(theirs.select(*cols)).dropDuplicates(["document_id"]),
+        "documents": latest(own.select(*cols).unionByName(theirs.select(*cols)), ["document_id"], F.desc("ingest_seq"), "language").drop("ingest_seq"),
         "site_policies": own.select(*KEY, "document_id"),
         "services": latest(tps.select("service_domain", X.text_or_null(tp["entity"]).alias("entity"), "url", X.mapping_source(tp["tracker_radar_source_domain_file"], tp["trackerdb_source_pattern_file"], tp["trackerdb_source_org_file"]).alias("mapping_source"), "ingest_seq"), ["service_domain"], F.desc("ingest_seq")).drop("ingest_seq"),
         "service_categories": tps.select("service_domain", F.explode(taxonomy.tracker_categories(tp["categories"])).alias("category")).distinct(),
-        "site_services": linked.select(*KEY, "service_domain", tp["prevalence"].alias("prevalence"), F.coalesce("f.fetch_success", F.lit(False)).alias("fetch_success"), F.col("f.status_code").alias("fetch_status_code"), F.col("document_id").alias("fetched_policy_document_id")).dropDuplicates([*KEY, "service_domain"]),
+        "site_services": linked.select(*KEY, "service_domain", tp["prevalence"].alias("prevalence"), F.coalesce("f.fetch_success", F.lit(False)).alias("fetch_success"), F.col("f.status_code").alias("fetch_status_code"), F.col("document_id").alias("fetched_policy_document_id")).transform(lambda df: latest(df, [*KEY, "service_domain"], F.desc_nulls_last("prevalence"), F.desc_nulls_last("fetched_policy_document_id"))),
     }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
+from plumbline.operators.domains import with_domain
 
 
 def _lookup(index: DataFrame, name: str) -> DataFrame:
@@ -38,10 +39,10 @@ def exclude_same_entity(mapped: DataFrame, entities: DataFrame) -> DataFrame:
     return mapped.join(entities, "site_etld1", "left").where(~F.coalesce(F.col("entity") == F.col("site_entity"), F.lit(False))).drop("site_entity")
 
 
-def third_parties(requests: DataFrame) -> DataFrame:
-    """Of (site_url, url, event_type): each site's third-party domains, sorted."""
+def third_parties(requests: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Of (site_url, url, event_type): each site's third-party domains, sorted; by the rules of a suffix list, where given."""
     asked = requests.where(F.col("event_type").isin("request", "request_failed") & urls.is_http(F.col("url")))
-    df = asked.select("site_url", urls.registrable_domain(F.col("site_url")).alias("site_etld1"), urls.registrable_domain(F.col("url")).alias("tp"))
+    df = with_domain(with_domain(asked.select("site_url", "url"), F.col("site_url"), "site_etld1", rules), F.col("url"), "tp", rules)
     return df.where("tp is not null and not (tp <=> site_etld1)").distinct().groupBy("site_url", "site_etld1").agg(F.array_sort(F.collect_set("tp")).alias("third_parties"))
 
 

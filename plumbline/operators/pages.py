@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import constants as K
 from plumbline.functions import text as X
 from plumbline.functions import urls
+from plumbline.operators.domains import with_domain
 
 _ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]*)[^>]*>(.*?)</a\s*>"
 _FOOTER = r"(?is)<footer\b.*?</footer\s*>"
@@ -27,11 +28,11 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return df.withColumn("target", urls.join_url(F.col("url"), F.col("href"))).where(urls.is_http(F.col("target")))
 
 
-def link_candidates(pages: DataFrame) -> DataFrame:
-    """Links that may be policies, scored; of one target the best, the earlier on ties."""
-    df = extract_links(pages).withColumns({"site_domain": urls.registrable_domain(F.col("url")), "target_domain": urls.registrable_domain(F.col("target"))})
+def link_candidates(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Links that may be policies, scored; of one target the best, the earlier on ties. Domains by the rules of a suffix list, where given."""
+    df = with_domain(with_domain(extract_links(pages), F.col("url"), "site_domain", rules), F.col("target"), "target_domain", rules)
     df = df.withColumn("same_site", F.coalesce(F.col("target_domain") == F.col("site_domain"), F.lit(False)))
-    df = df.where(urls.allow_external(F.col("site_domain"), F.col("target"), F.col("anchor"), F.col("source")))
+    df = df.where(urls.allow_external(F.col("site_domain"), F.col("target"), F.col("anchor"), F.col("source"), F.col("target_domain")))
     df = df.withColumn("score", urls.score_link(F.col("anchor"), F.col("target"), F.col("same_site")))
     best = F.row_number().over(Window.partitionBy("url", "target").orderBy(F.desc("score"), "ord"))
     return df.withColumn("__at", best).where("__at = 1").select("url", "target", "anchor", "source", "same_site", "score", "ord")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import constants as K
-from plumbline.functions import taxonomy, urls
+from plumbline.functions import taxonomy
+from plumbline.operators.domains import with_domain
 
 
 def filter_scrapable(sites: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def exclude_domains(sites: DataFrame, suffixes: list[str] = K.EXCLUDED_SUFFIXES,
     return df.withColumn("__d", name).join(listed, "__d", "left_anti").drop("__d")
 
 
-def unique_ranked(ranked: DataFrame, n: int, start_after: int = 0, suffixes: list[str] = K.EXCLUDED_SUFFIXES) -> DataFrame:
-    """Registrable domains with their earliest rank; de-duplicated first, then those after a rank, the first n."""
-    by = ranked.select("rank", urls.registrable_domain(F.col("domain")).alias("domain")).where("domain is not null")
+def unique_ranked(ranked: DataFrame, n: int, start_after: int = 0, suffixes: list[str] = K.EXCLUDED_SUFFIXES, rules: DataFrame | None = None) -> DataFrame:
+    """Registrable domains (by the rules of a suffix list, where given) with their earliest rank; de-duplicated first, then those after a rank, the first n."""
+    by = with_domain(ranked.select("rank", F.col("domain").alias("__name")), F.col("__name"), "domain", rules).select("rank", "domain").where("domain is not null")
     by = exclude_domains(by, suffixes).groupBy("domain").agg(F.min("rank").alias("rank"))
     return by.where(F.col("rank") > start_after).orderBy("rank", "domain").limit(n).select("rank", "domain")
 

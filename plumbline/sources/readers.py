@@ -88,6 +88,13 @@ def read_tree(spark: SparkSession, root: str, name: str = "*.json") -> DataFrame
     return df.select(F.substring_index(F.col("_metadata.file_path"), f"/{tail}/", -1).alias("path"), F.col("value").alias("text"))
 
 
+def read_suffix_list(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
+    """Rules of a public suffix list file, without comments; those of private registries only on request."""
+    text = spark.read.text(path, wholetext=True).select(F.col("value") if private else F.regexp_replace("value", r"(?s)// ===BEGIN PRIVATE DOMAINS===.*?(// ===END PRIVATE DOMAINS===|\z)", "").alias("value"))
+    rules = text.select(F.explode(F.split("value", r"\r?\n")).alias("line")).select(F.regexp_extract("line", r"^\s*(\S*)", 1).alias("rule"))
+    return rules.where("rule <> '' and not startswith(rule, '//')")
+
+
 def read_network_requests(df: DataFrame) -> DataFrame:
     """Requests and failed requests with a URL, from (site_url, network_requests array)."""
     r = df.select("site_url", F.explode("network_requests").alias("r")).select("site_url", "r.url", "r.event_type")

@@ -1,4 +1,4 @@
-"""Sinks. Spark's committer makes each write atomic: readers see all of it or nothing."""
+"""Plain sinks. A write that breaks leaves no _SUCCESS; versions.Store is the sink whose readers see all of a write or nothing."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def write_report(df: DataFrame, path: str, name: str) -> None:
 
 
 def write_by_run(df: DataFrame, path: str) -> None:
-    """Replace only the runs that df has."""
+    """Replace only the runs that df has, one folder after another: for tables that can be written again, not for the only copy."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 

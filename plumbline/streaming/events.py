@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.functions import constants as K
 from plumbline.operators import summary, views
 from plumbline.schemas import schema
-from plumbline.sources import sinks
+from plumbline.sources.versions import Store
 
 TYPES = ["run_started", "run_completed", "stage_started", "stage_finished", "site_started", "site_stage", "site_finished", "site_failed", "run_progress", "log"]
 METRICS = ["statements", "chunks", "blocks", "tokens_in", "tokens_out"]
@@ -51,18 +51,13 @@ def replay(events: DataFrame, after: int, last: int = 500) -> DataFrame:
 def active_sites(events: DataFrame) -> DataFrame:
     """Sites of each run that have started or moved on and not finished since; a start of the run clears those before it.
 
-    Two aggregates and a join of a row for each run; active_sites_stream is the form for a stream.
+    Two aggregates and a join of a row for each run; stateful.active_sites_stream is the form for a stream.
     """
     start = events.where("type = 'run_started'").groupBy("run_id").agg(F.max("seq").alias("__start"))
     last = _last_of_site(events).join(start, "run_id", "left")
     return last.where(F.col("__start").isNull() | (F.col("seq") > F.col("__start"))).drop("__start")
 
 
-def active_sites_stream(events: DataFrame) -> DataFrame:
-    """The last event of each site that is under way, in update mode; a reader leaves out those before its run's last start."""
-    return _last_of_site(events)
-
-
 def _last_of_site(events: DataFrame) -> DataFrame:
     at = F.struct("seq", F.col("type").alias("type"), F.col("rank").alias("rank"))
     last = events.where(F.col("type").isin("site_started", "site_stage", "site_finished", "site_failed")).groupBy("run_id", "site").agg(F.max(at).alias("last"))
@@ -137,36 +132,89 @@ def summarize_stream(stream: DataFrame, store, merge, checkpoint: str):
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _merge_records(batch: DataFrame, root: str) -> None:
-    """Upsert records into root/results, run by run, and sum the touched runs anew into root/summaries. Repeating a batch changes nothing."""
-    spark, path = batch.sparkSession, f"{root}/results"
+def _of_runs(store: Store, name: str, runs: list[str], like: DataFrame) -> DataFrame:
+    return store.read(name, runs) if store.has(name) else like.limit(0)
+
+
+def _records_parts(store: Store, batch: DataFrame) -> dict:
+    """Parts of a commit that upserts records and sums the runs they touch anew."""
     batch = batch.where("run_id is not null")
-    batch.limit(0).write.mode("ignore").partitionBy("run_id").parquet(path)  # so that there is something to read
-    stored = lambda: spark.read.schema(batch.schema).parquet(path).join(batch.select("run_id").distinct(), "run_id", "left_semi")
-    old = stored().join(batch.select("run_id", "ingest_seq"), ["run_id", "ingest_seq"], "left_anti")
-    sinks.write_by_run(views.upsert_results(old, batch, ("run_id",)), path)
-    sinks.write_by_run(summary.run_summaries(stored()), f"{root}/summaries")
+    runs = [r.run_id for r in batch.select("run_id").distinct().collect()]  # the runs of a batch
+    old = _of_runs(store, "results", runs, batch).join(batch.select("run_id", "ingest_seq"), ["run_id", "ingest_seq"], "left_anti")
+    return {"results": ("run_id", views.upsert_results(old, batch, ("run_id",))), "summaries": ("run_id", lambda written: summary.run_summaries(written("results")))}
+
+
+def _is_done(store: Store, stream: str, batch_id: int) -> bool:
+    """Has a batch of a stream been committed? A restarted stream repeats its last batch if it fell between commit and checkpoint."""
+    return store.manifest()["info"].get("batches", {}).get(stream, -1) >= batch_id
+
+
+def _batches(store: Store, stream: str, batch_id: int) -> dict:
+    return {"batches": {**store.manifest()["info"].get("batches", {}), stream: batch_id}}
 
 
 def summarize_records(records: DataFrame, root: str, checkpoint: str):
-    """Start an incremental summary of a stream of site records: root/results holds the last record of each site of a run, root/summaries one row for each run.
+    """Start an incremental summary of a stream of site records in the store at root: table results has the last record of each site of a run, table summaries one row for each run.
 
-    Distinct counts can't be kept as running sums, so each micro-batch recomputes the runs that it touches and no others.
+    Distinct counts can't be kept as running sums, so each micro-batch recomputes the runs that it
+    touches and no others. Both tables change in one version, so a crash leaves the version before and a
+    repeated batch is left out.
     """
-    return summarize_stream(records, lambda done: None, lambda batch, spark: _merge_records(batch, root), checkpoint)
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        store = Store(batch.sparkSession, root)
+        if not _is_done(store, checkpoint, batch_id) and not batch.isEmpty():
+            store.commit(_records_parts(store, batch), info=_batches(store, checkpoint, batch_id))
+
+    return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+PENDING = "event_id string, run_id string, out_dir string, site string, queued_at string, attempt_count int, last_error string, result_offset long, replay_key string"
 
-def replay_stream(outbox: DataFrame, results: DataFrame, root: str, checkpoint: str):
-    """Apply a stream of pending events: their records go into root as in summarize_records; events that found none, or whose batch could not be applied, go to root/pending, one folder for each batch."""
+
+def apply_pending(store: Store, events: DataFrame | None, results: DataFrame, most: int = 5, info: dict | None = None) -> int:
+    """One attempt at all pending events of a store: those that earlier attempts left, and new ones. The new version's number.
+
+    Records of events that are found go into results and summaries, the events into applied; the others
+    get one attempt more and the error, and after most attempts they go to dead. All of it is one
+    version. Where applying breaks, every event whose record was found counts as failed by that error. An
+    event that has been applied or given up is not taken up again; of one id the first copy counts.
+    """
+    spark = store.spark
+    fields = [f.split()[0] for f in PENDING.split(", ")]
+    left = store.read("pending").select(*fields) if store.has("pending") else spark.createDataFrame([], PENDING)
+    new = left.limit(0) if events is None else events.select(*fields)
+    for name in ("applied", "dead"):
+        if store.has(name):
+            new = new.join(store.read(name).select("event_id"), "event_id", "left_anti")
+    both = left.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy("__new", F.desc_nulls_last("attempt_count"), "queued_at"))
+    due = both.withColumn("__at", first).where("__at = 1").select(*fields)
+
+    def parts(done: DataFrame, failed: DataFrame) -> dict:
+        given_up = F.col("attempt_count") >= most
+        now = f"after-{store.manifest()['version']}"  # applied and dead only grow: by a part for each attempt
+        part = lambda df, name: ("part", df.select(*fields).withColumn("part", F.lit(name)))
+        return {"applied": part(done, now), "dead": part(failed.where(given_up), now), "pending": part(failed.where(~given_up), "all")}
+
+    gone = {"pending": ["all"]}
+    records, failed = replay_outbox(due, results)
+    try:
+        done = due.join(records.select("event_id"), "event_id", "left_semi").withColumn("attempt_count", F.coalesce("attempt_count", F.lit(0)))
+        return store.commit({**_records_parts(store, records.drop("event_id", "site")), **parts(done, failed)}, gone, info)
+    except PySparkException as e:
+        again = {"attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "last_error": F.lit(str(e)[:500])}
+        failed = failed.select(*fields).unionByName(due.join(failed.select("event_id"), "event_id", "left_anti").withColumns(again).select(*fields))
+        return store.commit(parts(due.limit(0), failed), gone, info)
+
+
+def replay_stream(outbox: DataFrame, results: Callable[[], DataFrame], root: str, checkpoint: str, most: int = 5):
+    """Apply a stream of pending events to the store at root, each micro-batch together with what earlier ones left; results() gives the records as they are by then."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        applied, failed = replay_outbox(batch, results)
-        try:
-            _merge_records(applied.drop("event_id", "site"), root)
-        except PySparkException as e:  # the whole batch waits for the next attempt
-            again = {"attempt_count": F.coalesce("attempt_count", F.lit(0)) + 1, "last_error": F.lit(str(e)[:500])}
-            failed = failed.unionByName(batch.join(failed.select("event_id"), "event_id", "left_anti").withColumns(again))
-        failed.write.mode("overwrite").json(f"{root}/pending/batch={batch_id}")
+        store = Store(batch.sparkSession, root)
+        if not _is_done(store, checkpoint, batch_id):
+            apply_pending(store, batch, results(), most, _batches(store, checkpoint, batch_id))
 
     return outbox.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

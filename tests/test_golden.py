@@ -1,6 +1,7 @@
 """Golden cases of the operators, restated on small inputs."""
 
 import json
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import Row
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import taxonomy, urls
 from plumbline.functions import text as X
 from plumbline.operators import catalog as C
-from plumbline.operators import mapping, pages, sites, statements, summary, views
+from plumbline.operators import domains, mapping, pages, sites, statements, summary, views
 from plumbline.plans import annotation
 from plumbline.schemas import schema
+from plumbline.sources import readers
 
 
 def one(spark, *cols):
@@ -41,6 +43,9 @@ def test_url_functions(spark):
     assert n(" HTTPS://User:pw@EX.com:443/P;v=1?q=1#f ") == "https://ex.com/P?q=1"
     assert n("http://a.b:8080") == "http://a.b:8080/" and n("//Host/p") == "https://host/p" and n("nothing") == "nothing" and n("") == ""
     j = lambda b, h: one(spark, urls.join_url(F.lit(b), F.lit(h)).alias("x")).x
+    resolved = [(b, h, urljoin(b, h)) for b in ("http://a/b/c/d;p?q", "https://a.com", "https://u:p@A.com:8080/x/y/z/?k#f") for h in [*"g:h g ./g g/ /g //g ?y g?y #s g#s g?y#s ;x g;x g;x?y#s . ./ .. ../ ../g ../.. ../../ ../../g ../../../g ../../../../g /./g /../g g. .g g.. ..g ./../g ./g/. g/./h g/../h g;x=1/./y g;x=1/../y g?y/./x g?y/../x g#s/./x g#s/../x http:g a//b/ x?".split(), ""]]
+    got = spark.createDataFrame(resolved, "b string, h string, want string").withColumn("got", urls.join_url(F.col("b"), F.col("h")))
+    assert [tuple(r) for r in got.where("not (got <=> want)").collect()] == []  # the examples of RFC 3986, section 5.4, and more
     base = "https://a.com/x/y?z=1"
     assert [j(base, h) for h in ("http://b.org/", "//c.net/q", "/p", "?k=2", "w.html", "./w")] == ["http://b.org/", "https://c.net/q", "https://a.com/p", "https://a.com/x/y?k=2", "https://a.com/x/w.html", "https://a.com/x/w"]
     assert one(spark, urls.service_key(F.lit(" A.com "), F.lit("E"), F.lit("u")).alias("a"), urls.unique_key(F.lit("A.com"), F.lit("E"), F.lit("https://u.com")).alias("b"), urls.service_key(F.lit(""), F.lit(" En "), F.lit(None).cast("string")).alias("c")) == Row(a="a.com", b="https://u.com/", c="entity:en")
@@ -48,6 +53,22 @@ def test_url_functions(spark):
     assert one(spark, urls.low_value(F.lit("https://a.com/"), F.lit("http://A.com/x")).alias("a"), urls.low_value(F.lit("https://a.com/sitemap"), F.lit("http://b.com")).alias("b"), urls.full_page_scan(F.lit("https://x.onetrust.com/a")).alias("c")) == Row(a=True, b=True, c=True)
 
 
+HOSTS = {"a.asn.au": "a.asn.au", "www.foo.ltd.uk": "foo.ltd.uk", "foo.gob.es": "foo.gob.es", "foo.gouv.fr": "foo.gouv.fr", "www.foo.gc.ca": "foo.gc.ca", "a.b.kobe.jp": "a.b.kobe.jp", "x.a.b.kobe.jp": "a.b.kobe.jp", "x.city.kobe.jp": "city.kobe.jp", "kobe.jp": "kobe.jp", "co.uk": "co.uk", "www.gov.uk": "www.gov.uk", "https://www.Foo.co.uk:8/x": "foo.co.uk", "1.2.3.4": "1.2.3.4", "localhost": "localhost", "x.www.ck": "www.ck", "foo.bar.ck": "foo.bar.ck", "": None}
+
+
+def test_registrable_domains(spark, tmp_path):
+    df = spark.createDataFrame([(h,) for h in HOSTS], "h string")
+    assert dict(map(tuple, df.select("h", urls.registrable_domain(F.col("h"))).collect())) == HOSTS
+    (tmp_path / "list.dat").write_text("// ===BEGIN ICANN DOMAINS===\n// comment\ncom\nuk\nco.uk\njp\n*.kobe.jp\n!city.kobe.jp\n\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\nblogs.com\n// ===END PRIVATE DOMAINS===\n")
+    rules = readers.read_suffix_list(spark, str(tmp_path / "list.dat"))
+    assert rules.count() == 6 and readers.read_suffix_list(spark, str(tmp_path / "list.dat"), private=True).count() == 7
+    named = ["a.b.co.uk", "x.a.b.kobe.jp", "x.city.kobe.jp", "my.blogs.com", "what.is.this", "com", "9.9.9.9", None]
+    got = domains.with_domain(spark.createDataFrame([(h,) for h in named], "h string"), F.col("h"), "d", rules)
+    assert {r.h: r.d for r in got.collect()} == {"a.b.co.uk": "b.co.uk", "x.a.b.kobe.jp": "a.b.kobe.jp", "x.city.kobe.jp": "city.kobe.jp", "my.blogs.com": "blogs.com", "what.is.this": "what.is.this", "com": "com", "9.9.9.9": "9.9.9.9", None: None}
+    wide = domains.with_domain(spark.createDataFrame([("my.blogs.com",)], "h string"), F.col("h"), "d", readers.read_suffix_list(spark, str(tmp_path / "list.dat"), private=True))
+    assert wide.first().d == "my.blogs.com"
+
+
 def test_text_functions(spark):
     english = " ".join(["we use the data of you and our partners"] * 12)
     french = " ".join(["nous utilisons vos informations avec nos partenaires pour cela"] * 12)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.schemas import schema
 from plumbline.sources import readers, sinks
+from plumbline.sources.versions import Store
 from plumbline.streaming import events as E
 
 
@@ -139,17 +140,17 @@ def test_incremental_summary_and_replay(spark, tmp_path):
     root = str(tmp_path / "out")
     for name in ("one", "two"):  # a second reader repeats every batch
         E.summarize_records(stream, root, str(tmp_path / name)).awaitTermination()
-        got = {r.run_id: r for r in spark.read.parquet(f"{root}/summaries").collect()}
+        got = {r.run_id: r for r in Store(spark, root).read("summaries").collect()}
         assert {k: (r.processed_sites, r.ok_sites, r.last_successful_rank, r.total, r.unique_services) for k, r in got.items()} == {"r0": (3, 3, 9, 3, 3), "r1": (1, 1, 1, 1, 1)}
-    assert sorted(r.ingest_seq for r in spark.read.parquet(f"{root}/results").collect()) == [1, 3, 4, 5]
+    assert sorted(r.ingest_seq for r in Store(spark, root).read("results").collect()) == [1, 3, 4, 5]
     box = [("e1", "r0", None, "a.com", None, 0, None, 1, None), ("e2", "r0", None, "q.com", None, 2, None, 7, None)]
     spark.createDataFrame(box, schema("outbox_event")).write.json(str(tmp_path / "box"))
     results = spark.read.schema(kind).json(str(tmp_path / "in")).drop("b").withColumn("site", F.col("site_etld1"))
     pending = spark.readStream.schema(schema("outbox_event")).json(str(tmp_path / "box"))
-    E.replay_stream(pending, results, str(tmp_path / "new"), str(tmp_path / "three")).awaitTermination()
-    assert [(r.run_id, r.processed_sites) for r in spark.read.parquet(str(tmp_path / "new" / "summaries")).collect()] == [("r0", 1)]
-    waiting = spark.read.json(str(tmp_path / "new" / "pending")).collect()
-    assert [(r.event_id, r.attempt_count, r.last_error) for r in waiting] == [("e2", 3, "result_not_found")]
-    E.replay_stream(pending, results.withColumn("rank", F.assert_true(F.lit(False), "lost").cast("int")), str(tmp_path / "bad"), str(tmp_path / "four")).awaitTermination()
-    broken = {r.event_id: (r.attempt_count, r.last_error) for r in spark.read.json(str(tmp_path / "bad" / "pending")).collect()}
+    E.replay_stream(pending, lambda: results, str(tmp_path / "new"), str(tmp_path / "three")).awaitTermination()
+    new = Store(spark, str(tmp_path / "new"))
+    assert [(r.run_id, r.processed_sites) for r in new.read("summaries").collect()] == [("r0", 1)]
+    assert [(r.event_id, r.attempt_count, r.last_error) for r in new.read("pending").collect()] == [("e2", 3, "result_not_found")]
+    E.replay_stream(pending, lambda: results.withColumn("rank", F.assert_true(F.lit(False), "lost").cast("int")), str(tmp_path / "bad"), str(tmp_path / "four")).awaitTermination()
+    broken = {r.event_id: (r.attempt_count, r.last_error) for r in Store(spark, str(tmp_path / "bad")).read("pending").collect()}
     assert broken["e2"] == (3, "result_not_found") and broken["e1"][0] == 1 and "lost" in broken["e1"][1]
