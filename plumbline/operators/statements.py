@@ -114,7 +114,7 @@ def chunk_by_heading(docs: DataFrame, most: int = 60_000) -> DataFrame:
 
 
 _WRAP = re.compile(r"<\|[^|>]*\|>")
-_LOOSE = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/|,(?=\s*[\]}])', re.S)
+_LOOSE = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/|,(?=(?:\s|//[^\n]*|/\*.*?\*/)*[\]}])', re.S)
 
 
 def balanced(text: str) -> Iterator[str]:
@@ -281,11 +281,53 @@ def block_coverage(phrase_rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return blocks.join(hit, "doc_id", "left").select("doc_id", F.when(F.size("blocks") > 0, F.round(F.coalesce("hit", F.lit(0)) * 100 / F.size("blocks"))).otherwise(0.0).cast("int").alias("coverage_pct"))
 
 
-def block_infos(phrase_rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, block_index, chunk_index (the last that has it), statements, fields of every block."""
+def numbered_statements(statements: DataFrame) -> DataFrame:
+    """Statements with statement_index, their place in the document from 0, by chunk and number."""
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "statement_no")) - 1
+    return statements.withColumn("statement_index", at)
+
+
+def block_infos(statements: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, block_index, text, chunk_index (the last that has it), statements (indices) and highlights (statement_index, field, phrase; by statement, field and place) of every block.
+
+    Phrases that are empty or name a block that the document lacks count nowhere. Lists are as long as one block has phrases.
+    """
     own = chunks.select("doc_id", F.posexplode("chunks").alias("chunk_index", "c")).select("doc_id", "chunk_index", F.explode("c.block_map").alias("b")).groupBy("doc_id", F.col("b.index").alias("block_index")).agg(F.max("chunk_index").alias("chunk_index"))
-    said = phrase_rows.groupBy("doc_id", "block_index").agg(F.count_distinct("chunk_index", "statement_no").alias("n_statements"), F.array_sort(F.collect_set("field")).alias("fields"))
-    return own.join(said, ["doc_id", "block_index"], "left").select("doc_id", "block_index", "chunk_index", F.coalesce("n_statements", F.lit(0)).alias("n_statements"), F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
+    every = chunks.select("doc_id", F.posexplode("blocks").alias("block_index", "text")).join(own, ["doc_id", "block_index"], "left")
+    st = numbered_statements(statements)
+
+    def of(no: int, f: str) -> Column:
+        return F.transform(f, lambda p, i: F.struct(F.lit(no).alias("no"), i.alias("at"), F.lit(f).alias("field"), p["phrase"].alias("phrase"), p["block_index"].alias("block_index")))
+
+    each = F.concat(*[of(no, f) for no, f in enumerate(FIELDS)])
+    said = st.select("doc_id", "statement_index", F.explode(each).alias("p")).where("p.phrase <> ''")
+    row = F.struct("statement_index", "p.no", "p.at", "p.field", "p.phrase")
+    lists = said.groupBy("doc_id", F.col("p.block_index").alias("block_index")).agg(F.array_sort(F.collect_set("statement_index")).alias("statements"), F.array_sort(F.collect_list(row)).alias("h"))
+    df = every.join(lists, ["doc_id", "block_index"], "left")
+    shown = F.transform("h", lambda h: F.struct(h["statement_index"].alias("statement_index"), h["field"].alias("field"), h["phrase"].alias("phrase")))
+    none = "array<struct<statement_index:int,field:string,phrase:string>>"
+    return df.select("doc_id", "block_index", "text", "chunk_index", F.coalesce("statements", F.array().cast("array<int>")).alias("statements"), F.coalesce(shown, F.array().cast(none)).alias("highlights"))
+
+
+def overlaps(spans: DataFrame, ranges: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """Pairs of a span and a range (both with start and end, end excluded) of one key that share a place; the columns of spans, range_start, range_end and the other columns of ranges.
+
+    Both sides are cut into buckets of width places and joined on (key, bucket); a pair that meets in
+    several buckets is kept in the one where it begins. So no pair is compared that lies in no common bucket.
+    """
+    cut = lambda df: df.where(F.col("end") > F.col("start")).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    r = cut(ranges).withColumnsRenamed({"start": "range_start", "end": "range_end"})
+    both = cut(spans).join(r, [key, "__bucket"])
+    meet = (F.col("start") < F.col("range_end")) & (F.col("range_start") < F.col("end"))
+    first = F.floor(F.greatest("start", "range_start") / width) == F.col("__bucket")
+    return both.where(meet & first).drop("__bucket")
+
+
+def block_spans(texts: DataFrame, needles: DataFrame, blocks: DataFrame, width: int = 1024) -> DataFrame:
+    """doc_id, block_index, start, end, field: the merged highlights of each document's needles, cut to its blocks (doc_id, block_index, start, end in the document's text); places count from the block's beginning."""
+    found = overlaps(highlight_spans(texts, needles), blocks, "doc_id", width)
+    at = F.col("range_start")
+    return found.select("doc_id", "block_index", (F.greatest("start", at) - at).alias("start"), (F.least("end", "range_end") - at).alias("end"), "field")
 
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -298,15 +340,15 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def highlight_spans(texts: DataFrame, needles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All places, whatever the case, of each document's needles (key, field, phrase) in its text, merged."""
-    df = texts.join(needles.where("phrase <> ''"), key).withColumns({"low": F.lower("text"), "n": F.lower("phrase")})
+    """All places, whatever the case, of each document's needles (key, field, phrase) in its text (one of each key), merged."""
+    asked = needles.where("phrase <> ''").select(key, "field", F.lower("phrase").alias("n")).distinct()
+    df = texts.join(asked, key).withColumn("low", F.lower("text"))
     # cut before every place, so that a place is the length of all pieces before it
     before = F.concat(F.lit(r"(?=\Q"), F.replace("n", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    sizes = F.transform(F.split("low", before), F.length)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    later = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), none, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["starts"], F.array(a["at"] + x)).alias("starts")))["starts"]
-    starts = F.concat(F.when(F.startswith("low", F.col("n")), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), later)
-    spans = df.select(key, "field", F.length("phrase").alias("size"), F.explode(starts).alias("start")).select(key, "field", "start", (F.col("start") + F.col("size")).alias("end"))
+    pieces = df.select(key, "field", "n", F.length("n").alias("size"), F.startswith("low", F.col("n")).alias("first"), F.posexplode(F.transform(F.split("low", before), F.length)).alias("i", "piece"))
+    ahead = F.sum("piece").over(Window.partitionBy(key, "field", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    starts = pieces.withColumn("start", F.coalesce(ahead, F.lit(0)).cast("int")).where("i > 0 or first")
+    spans = starts.select(key, "field", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
     return merge_spans(spans, [key])
 
 

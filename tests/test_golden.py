@@ -249,7 +249,8 @@ def test_statements(spark):
     ph = statements.phrases(st)
     assert statements.block_coverage(ph, ch).first().coverage_pct == 100 and statements.statement_stats(st).first().prohibition_rate == 50.0
     assert {r.phrase: r.n for r in statements.phrase_frequency(ph).where("field = 'data'").collect()} == {"emails": 2, "phone numbers": 1}
-    assert statements.block_infos(ph, ch).count() == 2 and statements.entity_sets(st).first().prohibitions == 1 and statements.top_action(ph).first().top_action == "collect"
+    infos = statements.block_infos(st, ch).orderBy("block_index").collect()
+    assert len(infos) == 2 and sum(len(r.highlights) for r in infos) == ph.count() and {i for r in infos for i in r.statements} == set(range(st.count())) and statements.entity_sets(st).first().prohibitions == 1 and statements.top_action(ph).first().top_action == "collect"
     spans = spark.createDataFrame([("d", 0, 5, "a"), ("d", 3, 9, "b"), ("d", 9, 12, "c")], "doc_id string, start int, end int, field string")
     assert sorted((r.start, r.end, r.field) for r in statements.merge_spans(spans, ["doc_id"]).collect()) == [(0, 9, "a"), (9, 12, "c")]
     texts = spark.createDataFrame([("d", r"Aaa b\E. aaB\E."), ("e", ""), ("f", None)], "doc_id string, text string")
