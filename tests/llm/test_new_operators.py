@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import periodic, shards, turns
+from plumbline.llm import passages, periodic, shards, turns
 from tests.llm.test_operators import ALL_IDS, AWKWARD, DOCS, ids
 
 
@@ -236,3 +236,45 @@ def test_conversations_without_rows(spark):
     long = " ".join(["word"] * 200_000) + "."
     got = turns.repair(spark.createDataFrame([(1, 0, "user", long, ""), (1, 1, "assistant", long, "")], CONV)).first()
     assert (got.cost, got.audit) == (0, "KK") and got.repaired_sha256 == hashlib.sha256(f"user:{long}\nassistant:{long}".encode()).hexdigest()
+
+
+def test_passages_of_repeated_ids(spark):
+    """Every text of an id is searched: on either side, against other ids only."""
+    from tests.llm.test_operators import prose
+
+    one, two = prose(80, 501), prose(80, 502)
+    rows = [(1, f"{prose(20, 1)} {one}"), (2, prose(60, 2)), (2, f"{prose(5, 3)} {one}"), (2, f"{one} {prose(9, 4)}"), (3, f"{prose(7, 5)} {two}"), (3, f"{two} {prose(30, 6)}"), (4, f"{prose(11, 7)} {two} {prose(3, 8)}"), (4, f"{prose(11, 7)} {two} {prose(3, 8)}"), (None, one)]
+    got = {(r.doc_id, r.start, r.end, r.home_id, r.home_end - r.home_start) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 5, 85, 1, 80), (2, 0, 80, 1, 80), (4, 11, 91, 3, 80)}
+
+
+def test_passages_go_on_beyond_any_margin(spark):
+    """Behind the last seed in common a passage may go on over short runs between changes, further than what is fetched at first."""
+    from tests.llm.test_operators import prose
+
+    base = prose(400, 77).split()
+    new = [*base[:40], *[f"x{i}" if i % 7 == 6 else w for i, w in enumerate(base[40:])]]
+    got = passages.shared_passages(spark.createDataFrame([(1, " ".join(base)), (2, " ".join(new))], "doc_id long, text string")).collect()
+    assert [(r.start, r.end) for r in got] == [(0, 396)]  # three words behind the last change are too few to go on
+
+
+def test_alignment_of_long_sides():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(60):
+        a = [rng.randrange(30) for _ in range(rng.randint(0, 90))]
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = [rng.randrange(30)] * rng.randint(0, 2)
+        assert passages.common(np.array(a, np.uint32), np.array(b, np.uint32)) == passages.lcs(a, b)
+    long = np.array([rng.randrange(1 << 32) for _ in range(200_000)], np.uint32)
+    other = np.delete(long, range(500, 200_000, 1000))
+    other[70_000] += 1
+    tracemalloc.start()
+    assert passages.common(long, other) == len(other) - 1
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
