@@ -209,6 +209,37 @@ def _(spark, sf):
     return h.join(domains.host_domains(h, rules).withColumnRenamed("domain", "listed_domain"), "host").select("page_id", "host", "domain", "suffix", "listed_domain")
 
 
+_LINKS = r"""
+with a as (select page_id, url, unnest(ms) a, generate_subscripts(ms, 1) - 1 ord from (select page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref="[^"]*"[^>]*>.*?</a>') ms from pages)),
+l as (select page_id, url, ord, replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') href, regexp_extract(url, '^[a-z]+://[^/?#]+') root,
+  trim(regexp_replace(replace(regexp_replace(regexp_extract(a, '(?s)^<[^>]*>(.*)</a>$', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) anchor from a)
+"""
+
+
+@query("strict_links", _LINKS + "select url, ord::int ord, 'body' as source, anchor, href, root || href target from l where href <> ''")
+def _(spark, sf):
+    return pages.parse_links(A.table(spark, sf, "pages"))
+
+
+_SCORED = f"""
+, s as (select *, root || href target, lower(root || href) u, lower(anchor) t from l where href <> ''),
+c as (
+  select url, target, anchor, ord, round(case when {ANY('u', K.URL_SIGNALS)} then 5 else 0 end - case when contains(u, 'cookie') then 1 else 0 end + case when {ANY('t', K.PRIVACY_WORDS)} then 4 else 0 end
+    - case when {ANY('t', K.COOKIE_WORDS)} then 0.5 else 0 end - case when {ANY('u', K.NOT_POLICY_URL)} then 2 else 0 end + 0.8, 6)::double score from s)
+select url, target, anchor, 'body' as source, true same_site, score, ord::int ord from c qualify row_number() over (partition by url, target order by score desc, ord) = 1"""
+ORACLE_SQL["link_candidates"] = _LINKS + _SCORED
+
+
+@query("strict_candidates", _LINKS + _SCORED)
+def _(spark, sf):
+    return pages.link_candidates(A.table(spark, sf, "pages"), strict=True)
+
+
+ORACLE_SQL["main_text"] = r"""
+with a as (select url, list_filter(list_transform(string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') ls from pages)
+select url, replace(replace(replace(replace(replace(replace(replace(array_to_string(ls, chr(10)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as text, 'main' as method from a"""
+
+
 @query("home_policies", "select doc_id, length(text) >= 1000 and doc_id % 12 >= 8 and (doc_id % 2 = 0 or contains(lower(text), 'privacy policy') or contains(lower(text), 'privacy notice')) is_policy from documents")
 def _(spark, sf):
     url = F.when(F.col("doc_id") % 2 == 0, "https://x.example/Privacy").otherwise("https://privacy.example/")

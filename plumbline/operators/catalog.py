@@ -167,6 +167,43 @@ def quality_metrics(search: DataFrame) -> DataFrame:
     return a.select("total", *[F.round(F.col(k) / total * 100, 2).alias(f"{k}_rate") for k in conds], "third_party_count", "third_party_with_policy_count", "third_party_with_english_policy_count")
 
 
+#: Sites that count as qualified.
+QUALIFIED = Request(site_statuses=["ok"], first_party_english=True, first_party_word_count_min=100, requires_third_party_english_policy=True)
+
+
+def metrics(c: Catalog, search: DataFrame | None = None, ingestions: DataFrame | None = None, pending: DataFrame | None = None, applied: DataFrame | None = None, samples: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Everything that is measured of a catalog as rows (section, name, value): tables, policies, quality, dedup, breakdowns, word counts and, where their tables are given, ingestion, outbox and latency.
+
+    The search table is aggregated once for policies and quality; every other row is an aggregate of its own table.
+    """
+    search = site_search(c) if search is None else search
+
+    def told(section: str, df: DataFrame, name: str | None = None, value: str = "n") -> DataFrame:
+        df = df.select(name, value).toDF("name", "value") if name else df.unpivot([], df.columns, "name", "value")
+        return df.select(F.lit(section).alias("section"), "name", F.col("value").cast("double").alias("value"))
+
+    def numbers(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(x).cast("double").alias(x) for x in df.columns])
+
+    one = F.count(F.lit(1)).alias("n")
+    tables = {"runs": c.runs, "sites": c.sites, "documents": c.documents, "services": c.services, "site_search": search}
+    out = [df.agg(one).select(F.lit("tables").alias("section"), F.lit(name).alias("name"), F.col("n").cast("double").alias("value")) for name, df in tables.items()]
+    good = (F.col("status") == "ok") & F.col("is_english") & (F.col("word_count") >= 100) & (F.col("third_party_with_english_policy_count") > 0)  # QUALIFIED
+    out.append(told("policies", numbers(search.agg(F.count_if("is_english").alias("english"), F.count_if(good).alias("qualified")))))
+    out += [told("quality", numbers(quality_metrics(search))), told("dedup", numbers(dedup_ratio(c.documents))), told("word_count", word_buckets(c.documents), "bucket")]
+    parts = breakdowns(c)
+    out.append(parts.select(F.concat(F.lit("by_"), "kind").alias("section"), "name", F.col("n").cast("double").alias("value")))
+    if ingestions is not None:
+        out.append(told("ingestion", numbers(ingestion_audit(ingestions))))
+    if pending is not None and applied is not None:
+        every = outbox_status(pending, applied, F.current_timestamp() if now is None else now).where("run_id is null")
+        out.append(told("outbox", every.select(F.col("pending").cast("double"), F.col("oldest_pending_sec").cast("double"), F.unix_timestamp("last_success_at").cast("double").alias("last_success_at"), F.col("ready").cast("int").cast("double").alias("ready"))))
+    if samples is not None:
+        for q in ("p50", "p95"):
+            out.append(told(f"latency_{q}", latency_percentiles(samples), "op", q))
+    return reduce(DataFrame.unionByName, out)
+
+
 def dedup_ratio(documents: DataFrame) -> DataFrame:
     a = documents.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("content_hash").alias("unique_hashes"))
     return a.withColumn("dedup_ratio", F.when(F.col("documents") > 0, F.round(1 - F.col("unique_hashes") / F.col("documents"), 6)).otherwise(0.0))

@@ -3,34 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import constants as K
+from plumbline.functions import html, urls
 from plumbline.functions import text as X
-from plumbline.functions import urls
 from plumbline.operators.domains import with_domain
 
 _ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]*)[^>]*>(.*?)</a\s*>"
 _FOOTER = r"(?is)<footer\b.*?</footer\s*>"
 
 
+def parse_links(pages: DataFrame) -> DataFrame:
+    """extract_links by a parser that keeps a stack of open elements: for nested footers, quoted > and entities."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(url, i, *x) for url, h in zip(b["url"], b["html"], strict=True) for i, x in enumerate(html.links(h))]
+            yield pd.DataFrame(found, columns=["url", "ord", "source", "anchor", "href"])
+
+    df = pages.select("url", "html").mapInPandas(run, "url string, ord int, source string, anchor string, href string")
+    return _usable(df.withColumn("href", urls.clean_href(F.col("href"))))
+
+
+def _usable(links: DataFrame) -> DataFrame:
+    return links.where("href is not null").withColumn("target", urls.join_url(F.col("url"), F.col("href"))).where(urls.is_http(F.col("target")))
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """url, ord, source, anchor, href, target: links of the footer first, then those of the rest; unusable ones are left out."""
+    """url, ord, source, anchor, href, target: links of the footer first, then those of the rest; unusable ones are left out.
+
+    The native form, by regular expressions; parse_links is the strict one.
+    """
     foot = F.array_join(F.regexp_extract_all("html", F.lit(_FOOTER), F.lit(0)), " ")
     rest = F.regexp_replace("html", _FOOTER, " ")
     found = lambda part, name: F.transform(F.regexp_extract_all(part, F.lit(_ANCHOR), F.lit(0)), lambda a: F.struct(F.lit(name).alias("source"), F.regexp_extract(a, _ANCHOR, 1).alias("href"), urls.squeeze(F.regexp_replace(F.regexp_extract(a, _ANCHOR, 2), r"<[^>]*>", " ")).alias("anchor")))
     df = pages.select("url", F.posexplode(F.concat(found(foot, "footer"), found(rest, "body"))).alias("ord", "a"))
-    df = df.select("url", "ord", "a.source", "a.anchor", urls.clean_href(F.col("a.href")).alias("href")).where("href is not null")
-    return df.withColumn("target", urls.join_url(F.col("url"), F.col("href"))).where(urls.is_http(F.col("target")))
+    df = df.select("url", "ord", "a.source", "a.anchor", urls.clean_href(F.col("a.href")).alias("href"))
+    return _usable(df)
 
 
-def link_candidates(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Links that may be policies, scored; of one target the best, the earlier on ties. Domains by the rules of a suffix list, where given."""
-    df = with_domain(with_domain(extract_links(pages), F.col("url"), "site_domain", rules), F.col("target"), "target_domain", rules)
+def link_candidates(pages: DataFrame, rules: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Links that may be policies, scored; of one target the best, the earlier on ties. Domains by the rules of a suffix list, where given; strict reads pages by parse_links."""
+    df = with_domain(with_domain(parse_links(pages) if strict else extract_links(pages), F.col("url"), "site_domain", rules), F.col("target"), "target_domain", rules)
     df = df.withColumn("same_site", F.coalesce(F.col("target_domain") == F.col("site_domain"), F.lit(False)))
     df = df.where(urls.allow_external(F.col("site_domain"), F.col("target"), F.col("anchor"), F.col("source"), F.col("target_domain")))
     df = df.withColumn("score", urls.score_link(F.col("anchor"), F.col("target"), F.col("same_site")))
@@ -77,49 +94,17 @@ def page_quality(pages: DataFrame) -> DataFrame:
     return df.select("url", F.length("text").alias("text_len"), "n_links", X.looks_like_html(F.col("html")).alias("is_html"), X.non_browsable_reason(F.col("status"), F.col("text"), F.col("n_links")).alias("reason"), X.policy_likeliness(F.col("text")).alias("likeliness"))
 
 
-def visible_text(html):
+def visible_text(source: Column) -> Column:
     """Text between tags, without scripts, styles and comments, space squeezed. A native form for measures; main_text parses."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    bare = F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     return urls.squeeze(F.regexp_replace(bare, r"<[^>]*>", " "))
 
 
-class _Text(HTMLParser):
-    """Collects lines of text outside of skipped elements; main is what article or main elements hold."""
-
-    SKIP, MAIN = {"script", "style", "nav", "footer", "noscript", "head", "template"}, {"article", "main"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skipped = self.inside = 0
-        self.body: list[str] = []
-        self.main: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.skipped += tag in self.SKIP
-        self.inside += tag in self.MAIN
-
-    def handle_endtag(self, tag):
-        self.skipped -= tag in self.SKIP and self.skipped > 0
-        self.inside -= tag in self.MAIN and self.inside > 0
-
-    def handle_data(self, data):
-        if not self.skipped:
-            lines = [s for line in data.splitlines() if (s := line.strip())]
-            self.body += lines
-            if self.inside:
-                self.main += lines
-
-
 def main_text(pages: DataFrame) -> DataFrame:
-    """url, text, method: the first of main element, body text, stripped tags that is not blank."""
+    """url, text, method: the first that is not blank of main elements, body text, all text, source without tags; null for a page without text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for html in b["html"]:
-                p = _Text()
-                p.feed(html or "")
-                p.close()
-                rows.append(("\n".join(p.main), "main") if p.main else ("\n".join(p.body), "body") if p.body else (None, None))
+            rows = [html.main_text(x) for x in b["html"]]
             yield pd.DataFrame({"url": b["url"], "text": [r[0] for r in rows], "method": [r[1] for r in rows]})
 
     return pages.select("url", "html").mapInPandas(run, "url string, text string, method string")

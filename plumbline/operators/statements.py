@@ -375,6 +375,12 @@ def annotation_stats(status: DataFrame, statements: DataFrame) -> DataFrame:
     return df.select(F.coalesce("site", "__site").alias("site"), F.coalesce("tp", "__tp").alias("tp"), n.alias("statements"), state.isin("completed", "reused").alias("completed"), state.alias("status"))
 
 
+def annotation_totals(stats: DataFrame) -> DataFrame:
+    """Of annotation_stats' rows, for first parties (tp null) and third parties: policies, completed ones, statements."""
+    party = F.when(F.col("tp").isNull(), "first").otherwise("third").alias("party")
+    return stats.groupBy(party).agg(F.count(F.lit(1)).alias("policies"), F.count_if("completed").alias("completed"), F.sum("statements").alias("statements"))
+
+
 def entity_sets(statements: DataFrame) -> DataFrame:
     """Of each document and chunk, and site and round where they are there: distinct lower-case action, data, processor and purpose phrases, and prohibitions."""
     keys = [k for k in ("site", "doc_id", "chunk_index", "round") if k in statements.columns]

@@ -264,6 +264,24 @@ def progress(results: DataFrame, total_override: int | None = None) -> DataFrame
     return results.groupBy("run_id").agg(F.min("ingest_seq").alias("first_seq"), seen.alias("sites_seen"), F.greatest(seen, F.lit(total_override or 0).cast("long")).alias("total_sites"))
 
 
+def run_starts(results: DataFrame, persisted: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """run_id, started_at: the persisted one (run_id, started_at), else that of the run's first record that has one, else now; runs without a record too."""
+    said = F.nullif(F.trim("started_at"), F.lit(""))
+    first = results.groupBy("run_id").agg(F.min_by("started_at", F.when(said.isNotNull(), F.col("ingest_seq"))).alias("first"))
+    if persisted is not None:
+        first = first.join(persisted.groupBy("run_id").agg(F.min(F.when(said.isNotNull(), F.col("started_at"))).alias("kept")), "run_id", "full")
+    else:
+        first = first.withColumn("kept", F.lit(None).cast("string"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if now is None else now
+    return first.select("run_id", F.coalesce("kept", "first", now).alias("started_at"))
+
+
+def snapshot_totals(snapshots: DataFrame) -> DataFrame:
+    """run_id, target_total: of (summary_total, state_total, expected_total, top_n) the first that is there; null when that is not positive."""
+    total = F.coalesce("summary_total", "state_total", "expected_total", "top_n")
+    return snapshots.select("run_id", F.when(total > 0, total).alias("target_total"))
+
+
 def enrich_policy_metrics(results: DataFrame, texts: DataFrame) -> DataFrame:
     """First-party word count and number of English third-party policies, from (run_id, site_etld1, service_domain, text)."""
     from plumbline.functions import text as X

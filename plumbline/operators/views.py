@@ -21,12 +21,15 @@ def audit_backlog(results: DataFrame, verified: DataFrame, overrides: DataFrame,
 
 
 def consistency_pairs(results: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of each run, sites with a policy by their third parties with one, with both texts' lengths and word counts."""
+    """Of each run, sites with a policy by their third parties with one: both texts, how they were extracted, their lengths and word counts."""
     from plumbline.functions.text import space_words
 
-    t = texts.select("run_id", "site_etld1", "service_domain", F.length("text").alias("chars"), space_words(F.col("text")).alias("words"))
-    own = t.where("service_domain is null").select("run_id", "site_etld1", F.col("chars").alias("site_chars"), F.col("words").alias("site_words"))
-    pairs = results.where("status = 'ok'").select("run_id", "site_etld1", F.explode("third_parties").alias("tp")).where("tp.policy_url <> ''").select("run_id", "site_etld1", F.col("tp.third_party_etld1").alias("service_domain"), F.col("tp.policy_url").alias("policy_url"))
+    method = F.col("first_party_policy.extraction_method") if "first_party_policy" in results.columns else F.lit(None).cast("string")
+    t = texts.select("run_id", "site_etld1", "service_domain", "text", F.length("text").alias("chars"), space_words(F.col("text")).alias("words"))
+    own = t.where("service_domain is null").select("run_id", "site_etld1", *[F.col(c).alias(f"site_{c}") for c in ("text", "chars", "words")])
+    tp = F.col("tp")
+    pairs = results.where("status = 'ok'").select("run_id", "site_etld1", method.alias("site_method"), F.explode("third_parties").alias("tp")).where("tp.policy_url <> ''")
+    pairs = pairs.select("run_id", "site_etld1", "site_method", tp["third_party_etld1"].alias("service_domain"), tp["policy_url"].alias("policy_url"), tp["policy_extraction_method"].alias("method"))
     return pairs.join(own, ["run_id", "site_etld1"]).join(t.where("service_domain is not null"), ["run_id", "site_etld1", "service_domain"], "left")
 
 

@@ -448,7 +448,7 @@ def _(spark, sf):
     c = _catalog(spark, sf)
     own = c.site_policies.select("run_id", "site_etld1", F.lit(None).cast("string").alias("service_domain"), F.col("document_id").alias("doc_id"))
     tp = c.site_services.where("fetched_policy_document_id is not null").select("run_id", "site_etld1", "service_domain", F.col("fetched_policy_document_id").alias("doc_id"))
-    return views.consistency_pairs(A.site_results(spark, sf), own.union(tp).join(d, "doc_id").select("run_id", "site_etld1", "service_domain", "text"))
+    return views.consistency_pairs(A.site_results(spark, sf), own.union(tp).join(d, "doc_id").select("run_id", "site_etld1", "service_domain", "text")).drop("site_text", "text", "site_method", "method")
 
 
 @query("result_upsert", """

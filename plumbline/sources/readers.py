@@ -113,6 +113,26 @@ def read_markers(spark: SparkSession, root: str) -> DataFrame:
     return s.join(a, "site", "full").select("site", F.coalesce("scraped", F.lit(False)).alias("scraped"), F.coalesce("annotated", F.lit(False)).alias("annotated"), "policy_is_english")
 
 
+def read_statements(spark: SparkSession, root: str) -> DataFrame:
+    """Statement files of a tree of policies: base (folder from root on), site, tp, annotated, seq, chunk_index, source_text, statement (JSON).
+
+    A folder with an annotated file gives its lines, others the plain file's; Spark's readers leave out files of no byte, so an
+    empty annotated file counts as none. Lines that
+    are no object or lack a statement are dropped; a chunk_index that is no number is 0.
+    """
+    tail = root.rstrip("/").rsplit("/", 1)[-1]
+    folder = lambda path: F.regexp_extract(F.substring_index(path, f"/{tail}/", -1), r"^(.*?)/?[^/]*$", 1)
+    tree = lambda kind, name: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    have = tree("binaryFile", "policy_statements_annotated.jsonl").select(folder(F.col("path")).alias("base")).distinct()
+    path = F.col("_metadata.file_path")
+    lines = tree("text", "policy_statements*.jsonl").select("value", folder(path).alias("base"), F.endswith(path, F.lit("_annotated.jsonl")).alias("annotated"), F.monotonically_increasing_id().alias("seq"))
+    kept = lines.where("annotated").unionByName(lines.where("not annotated").join(have, "base", "left_anti"))
+    value = F.expr("try_parse_json(value)")
+    part = lambda name, kind: F.try_variant_get(value, f"$.{name}", kind)
+    rows = kept.select("base", F.regexp_extract("base", "^([^/]*)", 1).alias("site"), F.nullif(F.regexp_extract("base", "/third_party/([^/]+)$", 1), F.lit("")).alias("tp"), "annotated", "seq", F.coalesce(part("chunk_index", "int"), F.lit(0)).alias("chunk_index"), F.coalesce(part("source_text", "string"), F.lit("")).alias("source_text"), F.to_json(part("statement", "variant")).alias("statement"))
+    return rows.where("statement is not null and statement not in ('null', 'false', '0', '\"\"')")
+
+
 def preferred_statements(annotated: DataFrame, base: DataFrame) -> DataFrame:
     """Annotated statements, and the plain ones of policies that have none; lines without a statement are dropped."""
     have = annotated.select("doc_id").distinct()
