@@ -46,8 +46,8 @@ def normal(text: str | None) -> str:
     return f" {t} " if t else ""
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """Least edit distance between pattern and any substring of text, and the end of the first such substring."""
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """Least edit distance between pattern and any substring of text (anchored: any beginning of it), and the end of the first such substring."""
     m = len(pattern)
     ones, top = (1 << m) - 1, 1 << (m - 1)
     peq: dict[str, int] = defaultdict(int)
@@ -64,7 +64,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = (ph << 1) & ones, (mh << 1) & ones
+        ph, mh = (ph << 1 | anchored) & ones, (mh << 1) & ones
         pv = mh | ~(xv | ph) & ones
         mv = ph & xv
         if score < best:
@@ -111,7 +111,11 @@ class Matcher:
                 d, end = myers(pattern, t[lo:run_hi])
                 done = min(len(t), run_hi)
                 if d <= e and (best is None or d < best[0]):
-                    best = (d, max(0, lo + end - len(pattern)), lo + end)
+                    best = (d, -1, lo + end)
+            if best and best[1] < 0:  # from the end that was found backwards, the beginning at the same distance
+                d, _, end = best
+                before = t[max(0, end - len(pattern) - e) : end]
+                best = (d, end - myers(pattern[::-1], before[::-1], True)[1], end)
             if best:
                 found.append((item, *best))
         return found
@@ -174,7 +178,11 @@ def _one_block(benchmark: DataFrame, block_chars: int) -> bool:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, distance, start, end: every test item that occurs in a document within its error budget."""
+    """doc_id, item_id, distance, start, end: every test item that occurs in a document within its error budget.
+
+    start and end (excluded) are characters of the text as normal() gives it, spaces at both
+    ends included; that stretch is distance edits away from the normalised item.
+    """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start int, end int"

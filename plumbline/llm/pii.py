@@ -1,18 +1,20 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements. DataFrame functions only.
 
-Detection is one regular expression over e-mail addresses, IPv4 addresses, card-like
-and phone numbers, long hexadecimal secrets, and names that follow a title or begin with a
+Detection is one regular expression over e-mail addresses, IPv4 and IPv6 addresses, IBANs, card-like
+numbers, phone numbers with a country code or in a national form, national ids (3-2-4 digits), long
+hexadecimal secrets, and names of any length that follow a title or begin with a
 listed given name. A replacement is a function of key, type and the entity's
 canonical form (letters and digits, lower case), so one entity has one
 replacement in every document and spelling:
 
 * Characters are shifted within their own alphabet (digits, letters of a case and
-  script, hexadecimal digits) by a keyed hash of what stands before them. Such a map
+  script, hexadecimal digits) by a keyed hash of what stands before them - of the characters
+  in their own block of BLOCK and a hash of the blocks before, so time is linear. Such a map
   can be undone from left to right, so different entities of a format stay
   different, format and script stay, and no shift is zero, so no entity stays. Letters
   and digits outside the listed alphabets have alphabets by rule: those of their case and
   script in Unicode's tables, upper and lower case in one order.
-* Address octets stay octets, card numbers keep whether their check digit is right,
+* Address octets stay octets, hexadecimal groups stay such, an IBAN keeps its country, card numbers keep whether their check digit is right,
   domains keep their last label and are mapped alike for all addresses.
 * Names keep their title; given names are drawn by the hash from a list of the same
   gender and script, so here two may meet. From the second attempt on the family name is
@@ -41,16 +43,20 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import materialize
 
 MAX_LITERAL, ROUNDS, GROW = 1000, 100, 8
+#: Characters of an entity between which the hash of what stands before starts over.
+BLOCK = 32
 
 # Given names by script and gender, titles by gender.
 MALE = {"latin": ["James", "John", "Robert", "Michael", "David", "Thomas", "Daniel", "Peter", "Hans", "Pierre", "Carlos", "Juan"], "cyrillic": ["Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"]}
 FEMALE = {"latin": ["Mary", "Anna", "Linda", "Susan", "Laura", "Emma", "Julia", "Sarah", "Ingrid", "Marie", "Carmen", "Elena"], "cyrillic": ["Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина"]}
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа"]
+NEUTRAL_TITLES = ["Dr", "Doctor", "Prof", "Professor"]
 # Alphabets within which characters are shifted, lower and upper case in one order.
 DIGITS = "0123456789"
 ALPHABETS = [DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäåæçèéêëìíîïñòóôöøùúûüý", "ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 HEX = [DIGITS + "abcdef", "ABCDEF"]
+PLAIN = [DIGITS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 # The same letters as vowels and consonants, for names that can be spoken.
 SPOKEN = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäåæèéêëìíîïòóôöøùúûü", "çñý", "ÀÁÂÄÅÆÈÉÊËÌÍÎÏÒÓÔÖØÙÚÛÜ", "ÇÑÝ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 
@@ -93,8 +99,8 @@ def other_letters(most: int = 256) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 _GIVEN = "|".join(x for names in (*MALE.values(), *FEMALE.values()) for x in names)
-_TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
-_NAME = r"\p{Lu}\p{L}{1,40}"
+_TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
+_NAME = r"\p{Lu}\p{L}++"
 NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]*[\p{L}\p{N}])+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -102,21 +108,25 @@ IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 PHONE = r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
 CARD = r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"
 SECRET = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{24,}(?![\p{L}\p{N}])"
-PATTERN = "|".join([EMAIL, SECRET, CARD, IP, PHONE, NAME])
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+IP6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])"
+NATIONAL = r"(?<![\p{L}\d+.,/-])(?:\d{3}-\d{2}-\d{4}|0\d{2,4}[ /-]\d{5,8})(?![\p{L}\d-])"
+PATTERN = "|".join([EMAIL, SECRET, IBAN, CARD, IP6, IP, PHONE, NATIONAL, NAME])
 #: Texts without any of these have no entity.
 HINT = rf"[0-9@]|(?=\p{{Lu}})(?:{_TITLES}|{_GIVEN})\.? \p{{Lu}}"
 IS_IP, IS_SECRET, IS_CARD, IS_PHONE = rf"^{IP}$", r"^[0-9a-fA-F]{24,}$", rf"^(?:{CARD})$", r"^[+(\d]"
+IS_IP6, IS_IBAN = r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:]*$", r"^[A-Z]{2}\d{2}[ A-Z0-9]*\d[ A-Z0-9]*$"
 
 
 def kind(m: Column) -> Column:
     """Type of a match of PATTERN."""
-    return F.when(F.contains(m, F.lit("@")), "email").when(m.rlike(IS_IP), "ip").when(m.rlike(IS_SECRET), "secret").when(m.rlike(IS_CARD), "card").when(m.rlike(IS_PHONE), "phone").otherwise("name")
+    return F.when(F.contains(m, F.lit("@")), "email").when(m.rlike(IS_IP), "ip").when(m.rlike(IS_SECRET), "secret").when(m.rlike(IS_CARD), "card").when(m.rlike(IS_IP6), "ip6").when(m.rlike(IS_IBAN), "iban").when(m.rlike(IS_PHONE), "phone").otherwise("name")
 
 
 def canonical(m: Column) -> Column:
     """Letters and digits, lower case: what all spellings of an entity share."""
     bare = F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", "")
-    return F.lower(F.regexp_replace(bare, F.when(F.contains(m, F.lit("@")), r"\s").when(m.rlike(IS_IP), r"\s").otherwise(r"[^\p{L}\p{N}]"), F.lit("")))
+    return F.lower(F.regexp_replace(bare, F.when(F.contains(m, F.lit("@")), r"\s").when(m.rlike(IS_IP) | m.rlike(IS_IP6), r"\s").otherwise(r"[^\p{L}\p{N}]"), F.lit("")))
 
 
 def _let(value: Column, body) -> Column:
@@ -128,16 +138,34 @@ def _hash(seed: Column, before: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", seed, before), 256), 1, 12), 16, 10).cast("long")
 
 
+def _bare(part: Column) -> Column:
+    return F.lower(F.regexp_replace(part, r"[^\p{L}\p{N}]", ""))
+
+
+def _states(text: Column) -> Column:
+    """Of every block of BLOCK characters a hash of all blocks before it; empty for the first."""
+    def add(states: Column, n: Column) -> Column:
+        return F.concat(states, F.array(F.sha2(F.concat(F.element_at(states, -1), _bare(F.substring(text, (n - 1) * BLOCK + 1, F.lit(BLOCK)))), 256)))
+
+    first = F.array(F.lit(""))
+    return F.when(F.length(text) <= BLOCK, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.floor((F.length(text) - 1) / BLOCK).cast("int")), first, add))
+
+
 def _shift(text: Column, seed: Column, alphabets: list[str]) -> Column:
     """Every character moved within its alphabet by a keyed hash of what stands before it."""
+    return F.when(F.length(text) == 0, text).otherwise(_let(_states(text), lambda states: _shifted(text, states, seed, alphabets)))
+
+
+def _shifted(text: Column, states: Column, seed: Column, alphabets: list[str]) -> Column:
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
-        h = _hash(seed, F.lower(F.regexp_replace(F.substring(text, F.lit(1), i - 1), r"[^\p{L}\p{N}]", "")))
+        block = F.floor((i - 1) / BLOCK).cast("int")
+        h = _hash(seed, F.concat(F.get(states, block), _bare(F.substring(text, block * BLOCK + 1, i - 1 - block * BLOCK))))
         by = lambda at, n: (at + 1 + h % F.greatest(n - 1, F.lit(1))) % n
         move = lambda a: F.substring(a, (by(F.position(c, a) - 1, F.length(a)) + 1).cast("int"), F.lit(1))
         moved = lambda found: F.get(F.transform(F.slice(F.filter(found, lambda a: F.contains(a, c)), 1, 1), move), F.lit(0))
         own = moved(F.array(*[F.lit(a) for a in alphabets]))
-        if alphabets in ([DIGITS], HEX):
+        if alphabets in ([DIGITS], HEX, PLAIN):
             return F.coalesce(own, c)
         others, runs = other_letters()
         step = lambda r: F.decode(F.unhex(F.lpad(F.hex(r["at"] + by(F.ascii(c) - r["at"], r["n"])), 8, "0")), "UTF-32")
@@ -146,7 +174,7 @@ def _shift(text: Column, seed: Column, alphabets: list[str]) -> Column:
         rest = F.coalesce(moved(F.split(F.lit("|".join(others)), r"\|")), near)
         return F.coalesce(own, F.when(c.rlike(r"[\p{L}\p{N}]"), rest), c)
 
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
 
 
 def _octets(ip: Column, seed: Column) -> Column:
@@ -197,7 +225,7 @@ def _name(m: Column, seed: Column, attempt: Column) -> Column:
     given = F.when(F.contains(name, F.lit(" ")), F.substring_index(name, " ", 1)).otherwise("")
     family = F.substring_index(name, " ", -1)
     lists = {(s, g): names for g, by in (("m", MALE), ("f", FEMALE)) for s, names in by.items()}
-    female = F.when(title != "", title.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? $")).otherwise(given.isin([x for names in FEMALE.values() for x in names]))
+    female = F.when((title != "") & ~title.rlike(rf"^(?:{'|'.join(NEUTRAL_TITLES)})\.? $"), title.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? $")).otherwise(given.isin([x for names in FEMALE.values() for x in names]))
     cyrillic = given.rlike(r"^\p{IsCyrillic}")
     draw = lambda names: F.get(F.array(*[F.lit(x) for x in names]), (_hash(seed, F.lower(given)) % len(names)).cast("int"))
     new = F.when(female & cyrillic, draw(lists["cyrillic", "f"])).when(female, draw(lists["latin", "f"])).when(cyrillic, draw(lists["cyrillic", "m"])).otherwise(draw(lists["latin", "m"]))
@@ -214,6 +242,8 @@ def surrogate(m: Column, key: str, attempt: Column) -> Column:
         .when(m.rlike(IS_IP), _octets(m, seed("ip")))
         .when(m.rlike(IS_SECRET), _shift(m, seed("secret"), HEX))
         .when(m.rlike(IS_CARD), _card(m, seed("card")))
+        .when(m.rlike(IS_IP6), _shift(m, seed("ip6"), HEX))
+        .when(m.rlike(IS_IBAN), F.concat(F.substring(m, F.lit(1), F.lit(2)), _shift(F.substring(m, F.lit(3), F.length(m)), F.concat_ws("|", seed("iban"), F.substring(m, F.lit(1), F.lit(2))), PLAIN)))
         .when(m.rlike(IS_PHONE), _phone(m, seed("phone")))
         .otherwise(_name(m, seed("name"), attempt))
     )

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import passages, periodic, shards, turns
+from plumbline.llm import decontaminate, passages, periodic, pii, shards, turns
 from tests.llm.test_operators import ALL_IDS, AWKWARD, DOCS, ids
 
 
@@ -278,3 +278,56 @@ def test_alignment_of_long_sides():
     assert passages.common(long, other) == len(other) - 1
     assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
+
+
+def test_reported_span_has_the_reported_distance(spark):
+    from tests.llm.test_operators import prose
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng, items, rows = random.Random(12), [], []
+    for i in range(30):
+        item = prose(20, 3000 + i)
+        text = list(item)
+        for _ in range(5):
+            at = rng.randrange(8, len(text) - 8)
+            text[at : at + rng.randint(0, 2)] = rng.choice(["", "q", "zz"])
+        items.append((i, item))
+        rows.append((i, f"{prose(12, 4000 + i)} {''.join(text)} {prose(9, 5000 + i)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert len(got) >= 15  # the others have more edits than their budget
+    for r in got:
+        assert distance(decontaminate.normal(items[r.item_id][1]), decontaminate.normal(rows[r.doc_id][1])[r.start : r.end]) == r.distance
+
+
+def test_more_kinds_of_personal_data(spark):
+    long = "Z" + "abcdefghij" * 6
+    cases = {f"Mr {long}": r"Mr \w+", "Dr Smith": r"Dr \w+", "Prof. Anna Weber": r"Prof\. \w+ \w+", "123-45-6789": r"\d{3}-\d\d-\d{4}", "0171 5551234": r"\d{4} \d{7}", "DE89 3704 0044 0532 0130 00": r"DE\d\d(?: \d{4}){4} \d\d", "GB29NWBK60161331926819": r"GB\d\d[A-Z]{4}\d{14}", "2001:0db8:85a3:0:0:8a2e:0370:7334": r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", "fe80::1ff:fe23": r"[0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}"}
+    kept = ["at 12:30:45", "10:11", "1999-12-31", "a::b c", "chapter 0 12 345", "IT21"]
+    rows = [f"see {x}, then" for x in (*cases, *kept)]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for old, new, shape in zip(rows, got, [*cases.values(), *[None] * len(kept)], strict=True):
+        if shape is None:
+            assert new == old
+        else:
+            was, now = old[4:-6], new[4:-6]
+            assert re.fullmatch(shape, now) and now != was and len(now) >= len(was), (old, new)
+            assert now.removeprefix("Mr ")[-20:] != was[-20:]
+
+
+def test_long_entities_take_linear_time(spark):
+    import time
+
+    docs = lambda n: spark.createDataFrame([(1, "x" * n + "@y.org"), (2, "x" * (n - 1) + "z@y.org")], "doc_id long, text string")
+    pii.pseudonymize(docs(20), "k").collect()
+    start = time.time()
+    a, b = (r.text.split("@")[0] for r in pii.pseudonymize(docs(6000), "k").orderBy("doc_id").collect())
+    assert len(a) == len(b) == 6000 and a[:-1] == b[:-1] and a[-1] != b[-1] and "x" * 9 not in a
+    assert time.time() - start < 60
