@@ -15,9 +15,9 @@ are settled and leave the tree. Survivors that can't win any more are dropped: "
 cost the letters from where they part decide, all of them; the letters and the rows fix
 the cost, so neither is the other's beginning and the order can't change later.
 
-Rows of equal turn, role and text are counted before they are sorted: all but the first are
-duplicates. Conversations of up to BLOCK such lines are repaired whole, in streams of sorted
-rows. Longer ones are cut into blocks of BLOCK lines, each searched from all four states in a task of its own;
+Conversations of up to BLOCK rows are repaired whole, in streams of sorted rows: their texts are
+shuffled once. Of longer ones rows of equal turn, role and text are counted before they are sorted (all but
+the first are duplicates), and the counted lines are cut into blocks of BLOCK, each searched from all four states in a task of its own;
 the same search then runs over a conversation's blocks, and the chosen letters go back to
 the blocks. Only that search and the hash of the repaired text, which can't be cut, see a conversation's
 blocks one after another.
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import materialize, running
 
-#: Lines of a conversation (or of a block of a longer one) that one search sees.
+#: Rows of a conversation (or counted lines of a block of a longer one) that one search sees.
 BLOCK = 4096
 
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
@@ -199,9 +199,9 @@ def breaks(lines: list[tuple[str, str, int, int]]) -> int:
     return sum(n - 1 for *_, n, _ in lines if n) + sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:], strict=False))
 
 
-LINE = ["role", "text", "n", "fault"]
+LINE, ROW = ["role", "text", "n", "fault"], ["turn", "role", "text", "n"]
 TURNS = T.StructType([T.StructField("position", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("edit", T.StringType())])
-FOUND = T.StructType([T.StructField("cost", T.LongType()), T.StructField("audit", T.StringType()), T.StructField("illegal", T.LongType()), T.StructField("repaired_sha256", T.StringType())])
+FOUND = T.StructType([*[T.StructField(c, T.LongType()) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], T.StructField("audit", T.StringType()), T.StructField("repaired_sha256", T.StringType())])
 WAYS = T.StructType([T.StructField("illegal", T.LongType()), T.StructField("first_role", T.StringType()), T.StructField("last_role", T.StringType()), T.StructField("entry", T.IntegerType()), T.StructField("exit", T.IntegerType()), T.StructField("cost", T.LongType()), T.StructField("letters", T.StringType())])
 
 
@@ -240,10 +240,32 @@ def _kind(t: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "date": pa.date32()}[t.simpleString()]
 
 
-def lines_of(turns: DataFrame, repeats: Column | None = None) -> DataFrame:
-    """Counted lines (conv_id, turn, role, text, n, fault) of the rows of turns; repeats: how often a row counts."""
+def rows_by_conversation(turns: DataFrame, repeats: Column | None = None) -> DataFrame:
+    """conv_id, turn, role, text, n (how often the row counts) of turns, nulls of role and text as one space."""
     blank = F.lit(" ")
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), blank).alias("role"), F.coalesce(F.col("text").cast("string"), blank).alias("text"), (F.lit(1) if repeats is None else repeats).cast("long").alias("n"))
+    return turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), blank).alias("role"), F.coalesce(F.col("text").cast("string"), blank).alias("text"), (F.lit(1) if repeats is None else repeats).cast("long").alias("n"))
+
+
+_SPACE = " \t\n\v\f\r"
+
+
+def counted(rows: list[tuple]) -> list[tuple[str, str, int, int]]:
+    """Counted lines (role, text, repeats, fault of the first) of the sorted rows (turn, role, text, repeats) of a conversation."""
+    out: list[tuple[str, str, int, int]] = []
+    seen, last = set(), None
+    for turn, role, text, n in rows:
+        if n and (turn, role, text) == last:
+            out[-1] = (*out[-1][:2], out[-1][2] + n, out[-1][3])
+        elif n:
+            bare = text.rstrip(_SPACE)
+            out.append((role, text, n, BLANK if not bare else DUPLICATE if (role, text) in seen else FINE if bare[-1] in ".!?" else TRUNCATED))
+            seen.add((role, text))
+            last = (turn, role, text)
+    return out
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Counted lines (conv_id, turn, role, text, n, fault) of rows_by_conversation's rows."""
     lines = materialize(rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n")))
     same = [F.xxhash64("role", "text").alias("__a"), F.xxhash64(F.lit(1), "text", "role").alias("__b")]  # 128 bits tell texts apart
     there = lines.where("n > 0").select("conv_id", *same, F.struct(F.col("turn").isNotNull().alias("later"), F.col("turn").alias("at")).alias("__turn"))
@@ -259,30 +281,32 @@ class Repair:
     """What repair and repaired_turns share: counted lines, short conversations, long ones by block."""
 
     def __init__(self, turns: DataFrame, repeats: Column | None, block: int) -> None:
-        self.lines = materialize(lines_of(turns, repeats))
+        rows = rows_by_conversation(turns, repeats)
+        sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("__rows"))
+        large = materialize(sizes.where(F.col("__rows") > block).select(F.col("conv_id").alias("__conv"), F.lit(True).alias("__long")))  # all rows / block at most
+        self.has_long = not large.isEmpty()
+        if self.has_long:
+            joined = rows.join(large, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").drop("__conv")
+            rows, long = joined.where("__long is null").drop("__long"), joined.where("__long").drop("__long")
+            self._read_long(lines_of(long), block)
+        self.short = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+
+    def _read_long(self, lines: DataFrame, block: int) -> None:
+        lines = materialize(lines)
         n, fault = F.col("n"), F.col("fault")
         first = lambda f: F.sum(F.when(fault == f, 1).otherwise(0) * (n > 0).cast("int"))
         turn = F.when(n > 0, F.col("turn"))
         self.stats = materialize(
-            self.lines.groupBy("conv_id").agg(
+            lines.groupBy("conv_id").agg(
                 F.sum((n > 0).cast("long")).alias("n_lines"), F.coalesce(F.max(turn) - F.min(turn) + 1 - F.count_distinct(turn), F.lit(0)).cast("long").alias("gaps"),
                 F.sum(F.when(fault == BLANK, n).otherwise(0)).alias("blank"), F.sum(F.when(fault == BLANK, 0).when(fault == DUPLICATE, n).otherwise(F.greatest(n - 1, F.lit(0)))).alias("duplicate"), first(TRUNCATED).alias("truncated"),
             )
         )
-        large = materialize(self.stats.where(F.col("n_lines") > block).select(F.col("conv_id").alias("__conv"), F.lit(True).alias("__long"), "n_lines"))
-        self.n_long = large.agg(F.sum("n_lines")).first()[0] or 0  # of conversations of over a block
-        there = self.lines.where("n > 0")
-        if self.n_long:
-            large = large.select("__conv", "__long")
-            joined = there.join(large, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").drop("__conv")
-            short, long = joined.where("__long is null").drop("__long"), joined.where("__long").drop("__long")
-            placed = running(long, [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.col("role"), F.col("text")], F.lit(1), self.n_long, "__at")
-            begin = placed.groupBy(F.col("conv_id").alias("__conv")).agg(F.min("__at").alias("__begin"))
-            self.long = materialize(placed.join(begin, F.col("conv_id").eqNullSafe(F.col("__conv"))).withColumn("__block", F.floor((F.col("__at") - F.col("__begin")) / block)).drop("__conv", "__begin"))
-            self.choice = self._choose()
-        else:
-            short = there
-        self.short = short.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+        there = lines.where("n > 0")
+        placed = running(there, [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.col("role"), F.col("text")], F.lit(1), self.stats.agg(F.sum("n_lines")).first()[0] or 0, "__at")
+        begin = placed.groupBy(F.col("conv_id").alias("__conv")).agg(F.min("__at").alias("__begin"))
+        self.long = materialize(placed.join(begin, F.col("conv_id").eqNullSafe(F.col("__conv"))).withColumn("__block", F.floor((F.col("__at") - F.col("__begin")) / block)).drop("__conv", "__begin"))
+        self.choice = self._choose()
 
     def blocks(self, extra: DataFrame | None = None) -> DataFrame:
         rows = self.long if extra is None else self.long.unionByName(extra, allowMissingColumns=True)
@@ -325,31 +349,32 @@ class Repair:
         return grouped(self.blocks(extra), ["conv_id", "__block"], LINE, out, lambda _, rows: make(rows[1:], rows[0][1], rows[0][3], rows[0][2]))
 
     def conversations(self) -> DataFrame:
-        def whole(_: tuple, lines: list[tuple]) -> list[tuple]:
+        def whole(_: tuple, rows: list[tuple]) -> list[tuple]:
+            lines = counted(rows)
+            turns = {turn for turn, *_, n in rows if n and turn is not None}
+            faults = [fault for *_, fault in rows_of(lines)]
             cost, audit, _ = search(lines).end()
-            return [(cost, audit, breaks(lines), hashlib.sha256(_text(lines, audit, STARTS).encode("utf-8", "replace")).hexdigest())]
-
-        found = grouped(self.short, ["conv_id"], LINE, FOUND, whole)
-        if self.n_long:
-            parts = materialize(self.replayed(T.StructType([T.StructField("part", T.StringType())]), lambda lines, letters, state, _: [(_text(lines, letters, state),)] if set(letters) - {"D"} else []))
-            hashes = hashed(parts)
-            totals = self.choice.where("__block = -1").select(F.col("conv_id").alias("__conv"), "cost", "letters", "illegal")
-            totals = totals.join(hashes.withColumnRenamed("conv_id", "__id"), F.col("__conv").eqNullSafe(F.col("__id")), "left")
-            nothing = F.lit(hashlib.sha256().hexdigest())
-            found = found.unionByName(totals.select(F.col("__conv").alias("conv_id"), "cost", F.col("letters").alias("audit"), "illegal", F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")))
-        f = found.withColumnRenamed("conv_id", "__conv")
-        out = self.stats.join(f, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
-        return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", F.coalesce("illegal", F.lit(0)).alias("illegal"), F.coalesce("cost", F.lit(0)).alias("cost"), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+            digest = hashlib.sha256(_text(lines, audit, STARTS).encode("utf-8", "replace")).hexdigest()
+            return [(max(turns) - min(turns) + 1 - len(turns) if turns else 0, *map(faults.count, (BLANK, DUPLICATE, TRUNCATED)), breaks(lines), cost, audit, digest)]
+
+        out = grouped(self.short, ["conv_id"], ROW, FOUND, whole)
+        if not self.has_long:
+            return out
+        parts = materialize(self.replayed(T.StructType([T.StructField("part", T.StringType())]), lambda lines, letters, state, _: [(_text(lines, letters, state),)] if set(letters) - {"D"} else []))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        hashes = hashed(parts).withColumnRenamed("conv_id", "__id")
+        totals = self.choice.where("__block = -1").select(F.col("conv_id").alias("__conv"), "cost", F.col("letters").alias("audit"), "illegal")
+        long = self.stats.join(totals, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("__id")), "left")
+        nothing = F.lit(hashlib.sha256().hexdigest())
+        return out.unionByName(long.select("conv_id", "gaps", "blank", "duplicate", "truncated", zero("illegal"), zero("cost"), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")))
 
     def turns(self) -> DataFrame:
         def rows(lines: list[tuple], letters: str, state: int, place: int) -> list[tuple]:
             kept = [r for r in replay(lines, letters, state) if r[2] != "D"]
             return [(place + i, *r) for i, r in enumerate(kept)]
 
-        out = grouped(self.short, ["conv_id"], LINE, TURNS, lambda _, lines: rows(lines, search(lines).end()[1], STARTS, 0))
-        if self.n_long:
-            out = out.unionByName(self.replayed(TURNS, rows).drop("__block"))
-        return out
+        out = grouped(self.short, ["conv_id"], ROW, TURNS, lambda _, found: rows(lines := counted(found), search(lines).end()[1], STARTS, 0))
+        return out.unionByName(self.replayed(TURNS, rows).drop("__block")) if self.has_long else out
 
 
 def _text(lines: list[tuple], letters: str, state: int) -> str:
