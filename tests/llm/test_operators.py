@@ -347,3 +347,31 @@ def test_numerals_are_no_letters():
     assert languages.words_of("½ ² Ⅷ 12") == [] and languages.words_of("Été2½x Ⅷa") == ["été", "x", "a"]
     long = languages.features("ab" * 500, {})
     assert len(long) > 1500 and len(languages.features("ab", {"ab": 3})) == len(languages.features("ab", {})) + 1
+
+
+def test_fuzzy_passages_whose_seeds_have_other_homes(spark):
+    """Earlier and later fragments are the homes of all seeds; the documents between them are compared with each other all the same."""
+    rows, want = [], set()
+    for case in range(3):
+        base, at = prose(90, 61_000 + case).split(), 1000 * case
+        parts = [base[i : i + 30] for i in range(0, 75, 12)]
+        rows += [(at + o + i, f"{prose(30, 62_000 + at + o + i)} {' '.join(x)} {prose(30, 63_000 + at + o + i)}") for o in (0, 900) for i, x in enumerate(parts)]
+        for n in range(4):
+            new = list(base)
+            for e in range(4 + 5 * n, 90, 21):
+                new[e] = f"n{case}x{n}x{e}"
+            rows.append((at + 100 + n, f"{prose(20 + n, 64_000 + at + n)} {' '.join(new)} {prose(25, 65_000 + at + n)}"))
+        want |= {(at + 100 + a, at + 100 + b) for a in range(4) for b in range(a)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.home_id) for r in passages.shared_passages(docs).collect()}
+    alone = {(r.doc_id, r.home_id) for a, b in sorted(want)[:2] for r in passages.shared_passages(docs.where(F.col("doc_id").isin(a, b))).collect()}
+    assert alone == set(sorted(want)[:2]) and {p for p in want if p[0] % 1000 == 101} <= got
+    joined = {i: i for i, _ in rows}
+    for a, b in sorted(got):
+        joined = {i: joined[b] if x == joined[a] else x for i, x in joined.items()}
+    assert all(joined[a] == joined[b] for a, b in want)
+    wide, passages.WIDE = passages.WIDE, 1  # pairs of wide groups need a run in common beside the seed; none of these is lost
+    try:
+        assert {(r.doc_id, r.home_id) for r in passages.shared_passages(docs).collect()} >= got
+    finally:
+        passages.WIDE = wide
