@@ -350,3 +350,30 @@ def test_stages_on_awkward_tables(spark):
             want = sorted({*every})
         assert texts(out) == want, name
         assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_pairs_that_share_one_seed_are_not_chained(spark):
+    """Of documents whose texts share one place of one seed no seeds are joined; runs of a word and whole passages keep their chains, and repeated places make no square."""
+    stuff = lambda n, at: [f"w{at}x{i}" for i in range(n)]
+    texts = {1: stuff(80, 1), 2: ["of"] * 70 + stuff(9, 2), 3: stuff(9, 3) + ["of"] * 60, 4: stuff(80, 1)[:8] + stuff(70, 4)}
+    docs = passages.hashed(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"))
+    seeds = passages.seeds(docs, passages.K, 1).cache()
+    homes = passages.seed_homes(seeds)
+    pairs = spark.createDataFrame([(3, 2), (4, 1), (4, 2)], "doc_id long, home long")
+    got = {(r.doc_id, r.home, r.x0, r.x1, r.y0, r.y1) for r in passages.pair_chains(seeds, homes, pairs, passages.K).collect()}
+    assert got == {(3, 2, 9, 69, 0, 60), (4, 1, 0, 8, 0, 8)}
+    x, y = passages.meetings(list(range(60)), list(range(70)), True)
+    assert len(x) == len(y) == 60 and len(passages.meetings(list(range(60)), list(range(70)), False)[0]) == 60 + 59 + 69
+
+
+def test_short_runs_of_a_word_are_no_keys(spark):
+    """Runs inside a stretch of one word that is no passage make no pairs; those across its ends, beyond it, and of long stretches do."""
+    far = [f"y{i}" for i in range(40)]
+    texts = {1: ["a1", *["of"] * 40, "b1"], 2: ["a2", *["of"] * 44, "b2"], 3: ["a3", *["of"] * 40, *far], 4: ["a4", *["of"] * 45, *far], 5: ["a5", *["of"] * 60], 6: ["a6", *["of"] * 70]}
+    docs = passages.hashed(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"))
+    members = spark.createDataFrame([(7, i, list(range(1, 1 + t.count("of") - 5)), i == 1) for i, t in texts.items()], "seed long, doc_id long, at array<int>, main boolean")
+    keys = {}
+    for r in passages.beside(docs, members, passages.K, 50).collect():
+        keys.setdefault(r.doc_id, set()).add(r.key)
+    meet = {(a, b) for a in texts for b in texts if a < b and keys.get(a, set()) & keys.get(b, set())}
+    assert meet == {(3, 4), (5, 6)}
