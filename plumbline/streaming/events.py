@@ -251,19 +251,20 @@ def eta_samples(samples: DataFrame, hours: int = 6, most: int = 180) -> DataFram
 
 
 def eta(samples: DataFrame, runs: DataFrame, now_ms: Column | None = None) -> DataFrame:
-    """Milliseconds left of each run (run_id, started_at_ms): 0.7 of the last 15 minutes' rate and 0.3 of the whole run's, or the one there is.
+    """eta_ms, milliseconds left of each run (run_id, started_at_ms): by 0.7 of the last 15 minutes' rate and 0.3 of the whole run's, or the one there is.
 
     The rate is taken at the last sample or, if that is later, now. The recent one starts at the
     first sample of the window that is two sites back and 30 seconds away, else at the window's
-    first sample that is behind.
+    first sample that is behind; of one time the one with the fewest sites. A run beyond its total has 0 left; ahead_sites and ahead_ms, not
+    rounded, are below 0 there by what it has gone beyond.
     """
     last = samples.groupBy("run_id").agg(F.max(F.struct("timestamp_ms", "processed_sites", "total_sites")).alias("l"))
     if now_ms is not None:
         last = last.select("run_id", F.struct(F.greatest("l.timestamp_ms", now_ms).alias("timestamp_ms"), "l.processed_sites", "l.total_sites").alias("l"))
-    df = samples.join(last, "run_id")
+    df = samples.alias("df").join(last, "run_id")
     sites, secs = F.col("l.processed_sites") - F.col("processed_sites"), (F.col("l.timestamp_ms") - F.col("timestamp_ms")) / 1000
     near = (F.col("timestamp_ms") >= F.col("l.timestamp_ms") - 900_000) & (sites > 0)
-    one = F.struct("timestamp_ms", F.when(secs >= 30, sites / secs).alias("rate"))
+    one = F.struct("timestamp_ms", "df.processed_sites", F.when(secs >= 30, sites / secs).alias("rate"))
     recent = df.groupBy("run_id", "l").agg(F.min(F.when(near & (sites >= 2) & (secs >= 30), one)).alias("two"), F.min(F.when(near, one)).alias("any"))
     df = recent.join(runs, "run_id", "left")
     age = (F.col("l.timestamp_ms") - F.col("started_at_ms")) / 1000
@@ -271,8 +272,9 @@ def eta(samples: DataFrame, runs: DataFrame, now_ms: Column | None = None) -> Da
     life = F.when((F.col("started_at_ms") > 0) & (age >= 30) & seen, F.col("l.processed_sites") / age)
     fast = F.coalesce("two.rate", "any.rate")
     rate = F.when(seen, F.coalesce(fast * 0.7 + life * 0.3, fast, life))
-    left = F.greatest(F.col("l.total_sites") - F.col("l.processed_sites"), F.lit(0))
-    return df.select("run_id", F.when(left == 0, 0).otherwise(F.ceil(left / rate * 1000)).cast("long").alias("eta_ms"))
+    ahead = F.col("l.total_sites") - F.col("l.processed_sites")
+    ms = ahead / rate * 1000
+    return df.select("run_id", F.when(ahead <= 0, 0).otherwise(F.ceil(ms)).cast("long").alias("eta_ms"), ahead.alias("ahead_sites"), ms.alias("ahead_ms"))
 
 
 def token_rate(usage: DataFrame, seconds: int = 60) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 
 from plumbline import queries
 from plumbline.functions import html
+from plumbline.streaming import events as E
 from tests.test_sql import SF, TABLES, plain
 
 
@@ -29,3 +30,11 @@ def test_references_without_semicolon(spark, tmp_path):
     assert html.main_text("<p>a&amp;&amp</p><p>&lt;b&gt; &copy &#65; &#66 &none; &notit; &") == ("a&&amp\n<b> &copy A &#66 &none; &notit; &", "body")
     assert html.links('<a href="/x?a=1&amp;b&copy=2">&quot;t&quot</a>') == [("body", '"t&quot', "/x?a=1&b&copy=2")]
     same(spark, tmp_path, "main_text", pages="select * replace (replace(html, '<article>', '<article>cut &amp;&amp' || chr(10) || '&lt &copy; &#x27; ') as html) from pages0")
+
+
+def test_runs_beyond_their_total(spark, tmp_path):
+    got = same(spark, tmp_path, "run_eta", events="select * replace (event_id * 3000 as event_id) from events0")
+    assert all(int(r[0]) < 0 < int(r[1]) for r in got)  # eta_min, left_sites, run_id
+    s = spark.createDataFrame([("r", 90, 100, 1000), ("r", 120, 100, 101000), ("r", 100, 100, 1000)], "run_id string, processed_sites int, total_sites int, timestamp_ms long")
+    [r] = E.eta(s, spark.createDataFrame([], "run_id string, started_at_ms long")).collect()
+    assert (r.eta_ms, r.ahead_sites, round(r.ahead_ms)) == (0, -20, -66667)  # 30 sites in 100 s: of two samples of one time the first
