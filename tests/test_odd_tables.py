@@ -1,9 +1,11 @@
 """Queries against their SQL on tables with odd rows."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from plumbline import queries
 from plumbline.functions import html
+from plumbline.functions import text as X
 from plumbline.streaming import events as E
 from tests.test_sql import SF, TABLES, plain
 
@@ -38,3 +40,13 @@ def test_runs_beyond_their_total(spark, tmp_path):
     s = spark.createDataFrame([("r", 90, 100, 1000), ("r", 120, 100, 101000), ("r", 100, 100, 1000)], "run_id string, processed_sites int, total_sites int, timestamp_ms long")
     [r] = E.eta(s, spark.createDataFrame([], "run_id string, started_at_ms long")).collect()
     assert (r.eta_ms, r.ahead_sites, round(r.ahead_ms)) == (0, -20, -66667)  # 30 sites in 100 s: of two samples of one time the first
+
+
+ODD_TEXTS = "select * replace (case doc_id when 0 then '' when 1 then ' ' when 2 then chr(9) || chr(10) when 3 then chr(11) || 'a b' || chr(11) || 'c' when 4 then 'cookie' when 5 then 'PR\u0130VACY' when 10 then '' when 20 then chr(160) || 'a' || chr(133) || 'b' else text end as text) from documents0"
+
+
+def test_likeliness_of_odd_texts(spark, tmp_path):
+    got = same(spark, tmp_path, "policy_likeliness", documents=ODD_TEXTS.replace("case doc_id", "case doc_id when 6 then null"))
+    assert [r for r in got if r[0] == 0] == [(0, 0.0)]
+    t = spark.createDataFrame([("",), (None,), (" ",)], "text string").select(X.policy_likeliness(F.col("text")).alias("s")).collect()
+    assert [r.s for r in t] == [-10.0, -10.0, 0.0]
