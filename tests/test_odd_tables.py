@@ -50,3 +50,8 @@ def test_likeliness_of_odd_texts(spark, tmp_path):
     assert [r for r in got if r[0] == 0] == [(0, 0.0)]
     t = spark.createDataFrame([("",), (None,), (" ",)], "text string").select(X.policy_likeliness(F.col("text")).alias("s")).collect()
     assert [r.s for r in t] == [-10.0, -10.0, 0.0]
+
+
+def test_bundles_of_blank_texts(spark, tmp_path):
+    got = {t: n for n, t in same(spark, tmp_path, "site_bundles", documents=ODD_TEXTS.replace("case doc_id", "case doc_id when 6 then null when 7 then ''"), customer="select * replace (abs(c_acctbal) as c_acctbal) from customer0")}
+    assert got["site_policies"] == 150
