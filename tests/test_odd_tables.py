@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline import queries
 from plumbline.functions import html
 from plumbline.functions import text as X
+from plumbline.operators import views
 from plumbline.streaming import events as E
 from tests.test_sql import SF, TABLES, plain
 
@@ -55,3 +56,17 @@ def test_likeliness_of_odd_texts(spark, tmp_path):
 def test_bundles_of_blank_texts(spark, tmp_path):
     got = {t: n for n, t in same(spark, tmp_path, "site_bundles", documents=ODD_TEXTS.replace("case doc_id", "case doc_id when 6 then null when 7 then ''"), customer="select * replace (abs(c_acctbal) as c_acctbal) from customer0")}
     assert got["site_policies"] == 150
+
+
+def test_shared_texts_by_digest(spark):
+    tps = "array<struct<third_party_etld1: string, policy_url: string, policy_extraction_method: string>>"
+    res = spark.createDataFrame([("r", "a", "ok", [("s", "u", "m"), ("t", "u", None), ("v", "", "m")]), ("r", "b", "ok", [("s", "w", "m")]), ("r", "c", "failed", [("s", "u", "m")])], f"run_id string, site_etld1 string, status string, third_parties {tps}")
+    texts = spark.createDataFrame([("r", "a", None, "own a"), ("r", "b", None, " "), ("r", "a", "s", "of all  s"), ("r", "b", "s", "of all  s"), ("r", "c", "s", "of all  s")], "run_id string, site_etld1 string, service_domain string, text string")
+    whole = views.consistency_pairs(res, texts)
+    digest = F.sha2("text", 256).alias("text")
+    measures = [digest, F.length("text").alias("chars"), X.space_words(F.col("text")).alias("words")]
+    own = texts.where("service_domain is null").select("run_id", "site_etld1", "service_domain", *measures)
+    got = views.consistency_pairs(res, own, spark.createDataFrame([("s", "of all  s")], "service_domain string, text string").select("service_domain", *measures))
+    want = whole.withColumns({"site_text": F.sha2("site_text", 256), "text": F.sha2("text", 256)}).select(*got.columns)
+    rows = sorted(map(str, got.collect()))
+    assert len(rows) == 3 and rows == sorted(map(str, want.collect()))
