@@ -282,12 +282,22 @@ def snapshot_totals(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("run_id", F.when(total > 0, total).alias("target_total"))
 
 
-def enrich_policy_metrics(results: DataFrame, texts: DataFrame) -> DataFrame:
-    """First-party word count and number of English third-party policies, from (run_id, site_etld1, service_domain, text)."""
+def enrich_policy_metrics(results: DataFrame, texts: DataFrame, contents: DataFrame | None = None, empty: bool = False) -> DataFrame:
+    """First-party word count and number of English third-party policies, from (run_id, site_etld1, service_domain, text).
+
+    With contents (text_id, text), texts have a text_id in place of the text, and each text is measured
+    once. Empty texts are English with empty, else not.
+    """
     from plumbline.functions import text as X
 
+    def measured(df: DataFrame) -> DataFrame:
+        t = F.col("text")
+        english = X.is_english(t) if empty else (t != "") & X.is_english(t)
+        return df.select(*[c for c in df.columns if c != "text"], X.word_count(t).alias("__n"), english.alias("__en"))
+
     first = F.col("service_domain").isNull()
-    t = texts.groupBy("run_id", "site_etld1").agg(F.max(F.when(first, X.word_count(F.col("text")))).alias("__words"), F.count_if(~first & (F.col("text") != "") & X.is_english(F.col("text"))).cast("int").alias("__english"))
+    t = measured(texts) if contents is None else texts.join(measured(contents), "text_id")
+    t = t.groupBy("run_id", "site_etld1").agg(F.max(F.when(first, F.col("__n"))).alias("__words"), F.count_if(~first & F.col("__en")).cast("int").alias("__english"))
     df = results.drop("first_party_policy_word_count", "third_party_with_english_policy_count").join(t, ["run_id", "site_etld1"], "left")
     return df.withColumns({"first_party_policy_word_count": F.coalesce("__words", F.lit(0)), "third_party_with_english_policy_count": F.coalesce("__english", F.lit(0))}).drop("__words", "__english")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline import queries
 from plumbline.functions import html
 from plumbline.functions import text as X
-from plumbline.operators import views
+from plumbline.operators import summary, views
 from plumbline.streaming import events as E
 from tests.test_sql import SF, TABLES, plain
 
@@ -70,3 +70,13 @@ def test_shared_texts_by_digest(spark):
     want = whole.withColumns({"site_text": F.sha2("site_text", 256), "text": F.sha2("text", 256)}).select(*got.columns)
     rows = sorted(map(str, got.collect()))
     assert len(rows) == 3 and rows == sorted(map(str, want.collect()))
+
+
+def test_metrics_of_texts_by_id(spark, tmp_path):
+    same(spark, tmp_path, "policy_metrics", documents=ODD_TEXTS.replace("chr(11)", "chr(9)"))
+    res = spark.createDataFrame([("r", "a"), ("r", "b")], "run_id string, site_etld1 string")
+    texts = spark.createDataFrame([("r", "a", None, 1), ("r", "a", "s", 1), ("r", "a", "t", 2), ("r", "a", "u", 3)], "run_id string, site_etld1 string, service_domain string, text_id int")
+    contents = spark.createDataFrame([(1, "two words"), (2, ""), (3, None)], "text_id int, text string")
+    rows = lambda **more: sorted((r.site_etld1, r.first_party_policy_word_count, r.third_party_with_english_policy_count) for r in summary.enrich_policy_metrics(res, **more).collect())
+    assert rows(texts=texts, contents=contents) == rows(texts=texts.join(contents, "text_id")) == [("a", 2, 1), ("b", 0, 0)]
+    assert rows(texts=texts, contents=contents, empty=True) == [("a", 2, 2), ("b", 0, 0)]
