@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline import queries
 from plumbline.functions import html
 from plumbline.functions import text as X
-from plumbline.operators import summary, views
+from plumbline.operators import catalog, summary, views
 from plumbline.streaming import events as E
 from tests.test_sql import SF, TABLES, plain
 
@@ -80,3 +80,21 @@ def test_metrics_of_texts_by_id(spark, tmp_path):
     rows = lambda **more: sorted((r.site_etld1, r.first_party_policy_word_count, r.third_party_with_english_policy_count) for r in summary.enrich_policy_metrics(res, **more).collect())
     assert rows(texts=texts, contents=contents) == rows(texts=texts.join(contents, "text_id")) == [("a", 2, 1), ("b", 0, 0)]
     assert rows(texts=texts, contents=contents, empty=True) == [("a", 2, 2), ("b", 0, 0)]
+
+
+def bundles_by_both(spark):
+    """Bundles with texts of each site's services, and with texts that are shared."""
+    tps = "array<struct<third_party_etld1: string, entity: string, categories: array<string>, prevalence: double, policy_url: string, tracker_radar_source_domain_file: string, trackerdb_source_pattern_file: string, trackerdb_source_org_file: string>>"
+    fetches = "array<struct<third_party_etld1: string, fetch_success: boolean, status_code: int>>"
+    tp = lambda name, p, url: (name, None, None, p, url, None, None, None)
+    rows = [(1, "r", "a", "a", 1, None, "ok", True, [tp(" S", None, "u"), tp("s", 0.5, "v"), tp("t", 0.1, None), tp("", 1.0, "x")], [("s", False, 500), ("S ", True, 200), (None, True, 201)]), (2, "r", "b", "b", 2, None, "ok", None, [tp("s", 0.2, "u"), tp("none", 0.3, "u")], None)]
+    res = spark.createDataFrame(rows, f"ingest_seq long, run_id string, input string, site_etld1 string, rank int, main_category string, status string, policy_is_english boolean, third_parties {tps}, third_party_policy_fetches {fetches}")
+    own = spark.createDataFrame([("r", "a", None, "own")], "run_id string, site_etld1 string, service_domain string, text string")
+    shared = spark.createDataFrame([("S", "of s"), ("t", " ")], "service_domain string, text string")
+    each = res.select("run_id", "site_etld1").crossJoin(shared).select(*own.columns)
+    return catalog.site_bundles(res, own.union(each)), catalog.site_bundles(res, own, shared=shared)
+
+
+def test_services_of_shared_texts(spark):
+    whole, got = (sorted(tuple(r) for r in t["site_services"].select("site_etld1", "service_domain", "prevalence", "fetch_success", "fetch_status_code", F.col("fetched_policy_document_id").isNotNull()).collect()) for t in bundles_by_both(spark))
+    assert whole == got == [("a", "s", 0.5, True, 200, True), ("a", "t", 0.1, False, None, False), ("b", "none", 0.3, False, None, False), ("b", "s", 0.2, False, None, True)]
