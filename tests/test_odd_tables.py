@@ -98,3 +98,8 @@ def bundles_by_both(spark):
 def test_services_of_shared_texts(spark):
     whole, got = (sorted(tuple(r) for r in t["site_services"].select("site_etld1", "service_domain", "prevalence", "fetch_success", "fetch_status_code", F.col("fetched_policy_document_id").isNotNull()).collect()) for t in bundles_by_both(spark))
     assert whole == got == [("a", "s", 0.5, True, 200, True), ("a", "t", 0.1, False, None, False), ("b", "none", 0.3, False, None, False), ("b", "s", 0.2, False, None, True)]
+
+
+def test_documents_of_shared_texts(spark):
+    whole, got = (sorted(map(str, t["documents"].select("scope", "url", "document_id", "content_hash", "language", "word_count", "char_count").collect())) for t in bundles_by_both(spark))
+    assert whole == got and len(got) == 3  # the site's own, and that of s under u and v
